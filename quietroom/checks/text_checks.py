@@ -7,15 +7,12 @@ from .base import (ORACLE, QUERIES, messages, query, sql_hidden, sql_keep, sql_l
                    sql_norm, sql_plain, with_views)
 
 _W = r"\p{L}\p{N}_"
-_CHARS = ("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-          "óñíéèêçöäüÓÑÍÊÈÉÇÖÜÄß🎁 ")
-
-
 def _collapse_sql():
     x = "text"
-    for c in _CHARS + ".,-":
-        x = f"regexp_replace({x}, '[{c}]{{3,}}', '{c}{c}', 'g')"
-    return x
+    printable = [chr(c) for c in range(0x20, 0x7F)] + list("óñíéèêçöäüÓÑÍÊÈÉÇÖÜÄß🎁")
+    for c in printable:
+        x = f"regexp_replace({x}, '\\x{{{ord(c):X}}}{{3,}}', chr({ord(c)}) || chr({ord(c)}), 'g')"
+    return x.replace("chr(92) || chr(92)", "repeat(chr(92), 4)")
 
 
 def _text_query(name, fn, sql, out="result"):

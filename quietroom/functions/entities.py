@@ -18,17 +18,19 @@ URL = (
     r"(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+"
     rf"(?:{LINK_TLDS})(?![{WORD}])(?:/[^{SPACE}]*)?"
 )
-SPELLED_OUT_URL = (
-    rf"(?iu)(?<![{WORD}])[a-z0-9][a-z0-9-]{{1,61}}[{SPACE}]*[(\[{{]?[{SPACE}]*(?:dot|\.|,)"
-    rf"[{SPACE}]*[)\]}}]?[{SPACE}]*"
+SPELLED_OUT_END = (
+    rf"(?iu)(?:dot|\.|,)[{SPACE}]*[)\]}}]?[{SPACE}]*"
     rf"(?:com|net|org|io|xyz|top|vip|win|club|shop|live|me)(?![{WORD}])"
 )
+SPELLED_OUT_URL = (
+    rf"(?iu)(?<![{WORD}])[a-z0-9][a-z0-9-]{{1,61}}[{SPACE}]*[(\[{{]?[{SPACE}]*"
+    + SPELLED_OUT_END.removeprefix("(?iu)")
+)
 INVITE = r"(?i)(?:t\.me/\+|t\.me/joinchat/|telegram\.me/\+|telegram\.dog/)"
 MENTION = rf"(?<![{WORD}@/])@([A-Za-z][A-Za-z0-9_]{{4,31}})(?![{WORD}])"
 CRYPTO = (
-    rf"(?<![{WORD}])(?:bc1|[13])[a-hj-np-z0-9]{{25,62}}(?![{WORD}])"
-    rf"|(?<![{WORD}])0x[a-fA-F0-9]{{40}}(?![{WORD}])"
-    rf"|(?<![{WORD}])T[1-9A-HJ-NP-Za-km-z]{{33}}(?![{WORD}])"
+    rf"(?<![{WORD}])(?:(?:bc1|[13])[a-hj-np-z0-9]{{25,62}}|0x[a-fA-F0-9]{{40}}"
+    rf"|T[1-9A-HJ-NP-Za-km-z]{{33}})(?![{WORD}])"
 )
 PHONE = (
     rf"(?<![\p{{Nd}}+])0[35789]\p{{Nd}}(?:[{SPACE}.\-]?\p{{Nd}}){{7}}(?!\p{{Nd}})"
@@ -189,13 +191,14 @@ def emoji_count(c) -> Column:
 
 def caps_ratio(c) -> Column:
     """Share of capitals, or null below 25 letters."""
-    letters = F.regexp_count(col(c), F.lit(r"\p{L}"))
-    capitals = F.regexp_count(col(c), F.lit(r"\p{Lu}"))
+    letters = F.char_length(F.regexp_replace(col(c), r"[^\p{L}]+", ""))
+    capitals = F.char_length(col(c)) - F.char_length(F.regexp_replace(col(c), r"\p{Lu}+", ""))
     return F.when(letters >= 25, capitals / letters)
 
 
 def has_obfuscated_url(c) -> Column:
-    return has(c, SPELLED_OUT_URL)
+    """``name (dot) com`` and the like; its second half, quick to rule out, is tried first."""
+    return has(c, SPELLED_OUT_END) & has(c, SPELLED_OUT_URL)
 
 
 def has_invite_link(c) -> Column:

@@ -1,44 +1,31 @@
 """Phrase matching on canonical text.
 
 A dictionary hit is a *substring* of the canonical text, not a word match.  The dictionaries
-are fixed and short, so each tier is one regular expression with the phrases sharing their
-beginnings: a message without a hit is dismissed in one pass, and only messages with a hit
-are asked for each phrase in turn.
+are fixed and short; a chain of plain substring searches is generated into the scan's code and
+is several times faster than one regular expression with all phrases.
 """
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dictionaries import TIERS, WEIGHTS, squeezed_phrases
+from .dictionaries import TIERS, squeezed_phrases
 from .entities import no_strings
 from .text import (col, normalize, normalize_keep_accents, squeeze_spaces)
 
 
-def any_of(phrases) -> str:
-    """One pattern for many literal phrases, common beginnings written once."""
-    groups: dict[str, list[str]] = {}
-    done = False
-    for p in sorted(set(phrases)):
-        if p == "":
-            done = True
-        else:
-            groups.setdefault(p[0], []).append(p[1:])
-    if done or not groups:
-        return ""
-    parts = [re.escape(head) + any_of(tails) for head, tails in groups.items()]
-    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
-
-
 def keyword_hits(norm, tier: str) -> Column:
     """Phrases of one tier found in canonical text, in alphabetical order."""
     n = col(norm)
-    each = F.array(*[F.when(n.contains(p), F.lit(p)) for p in sorted(TIERS[tier])])
-    return F.when(n.rlike(any_of(TIERS[tier])), F.array_compact(each)).otherwise(no_strings())
+    return F.array_compact(F.array(*[F.when(n.contains(p), F.lit(p))
+                                     for p in sorted(TIERS[tier])]))
+
+
+def contains_any(c, phrases) -> Column:
+    return reduce(lambda a, b: a | b, [col(c).contains(p) for p in phrases])
 
 
 def keyword_points(hits, weight) -> Column:
@@ -47,23 +34,13 @@ def keyword_points(hits, weight) -> Column:
     return F.when(n > 0, F.lit(weight) + F.least(n - 1, F.lit(2))).otherwise(0)
 
 
-def squeezed_hit(squeezed, tier: str) -> Column:
-    return col(squeezed).rlike(any_of(squeezed_phrases(tier)))
-
-
-def noisy_keyword_points(norm, squeezed) -> Column:
+def noisy_keyword_points(strong_hits, medium_hits, squeezed) -> Column:
     """Phrases hidden by spaces between letters: 3 for a strong one, else 2 for a medium."""
-    n = col(norm)
-    strong = ~n.rlike(any_of(TIERS["strong"])) & squeezed_hit(squeezed, "strong")
-    medium = ~n.rlike(any_of(TIERS["medium"])) & squeezed_hit(squeezed, "medium")
+    strong = (F.size(col(strong_hits)) == 0) & contains_any(squeezed, squeezed_phrases("strong"))
+    medium = (F.size(col(medium_hits)) == 0) & contains_any(squeezed, squeezed_phrases("medium"))
     return F.when(strong, 3).when(medium, 2).otherwise(0)
 
 
-def dictionary_points(norm, squeezed) -> Column:
-    tiers = [keyword_points(keyword_hits(norm, t), w) for t, w in WEIGHTS.items()]
-    return reduce(lambda a, b: a + b, tiers) + noisy_keyword_points(norm, squeezed)
-
-
 def phrase_forms(phrase) -> Column:
     """The four spellings a banned phrase is looked for in."""
     keep, plain = normalize_keep_accents(phrase), normalize(phrase)

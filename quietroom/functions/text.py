@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 # --- fixed values -------------------------------------------------------------
 # Characters that are not drawn: soft hyphen, joiners, direction marks, selectors, BOM.
-INVISIBLE = (
-    r"[\x{AD}\x{34F}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}"
-    r"\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
+INVISIBLE_RANGES = (
+    (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x180E, 0x180E), (0x200B, 0x200F),
+    (0x202A, 0x202E), (0x2060, 0x2064), (0x2066, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF),
 )
 # Letters that look Latin, and what they look like.
 LOOKALIKES = dict(zip("авсеѕһіјкмнортухԁɡν", "abceshijkmhoptyxdgv"))  # Cyrillic and kin
@@ -41,6 +41,10 @@ SPACE = (r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
          r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 # ------------------------------------------------------------------------------
 
+INVISIBLE = "".join(chr(c) for lo, hi in INVISIBLE_RANGES for c in range(lo, hi + 1))
+# Classes of rare characters are slow to test; a look at "not ASCII" first spares most tests.
+ANY_INVISIBLE = rf"(?=[^\x00-\x7F])[{INVISIBLE}]"
+ANY_LOOKALIKE = rf"(?=[^\x00-\x7F])[{''.join(LOOKALIKES)}]"
 ICU_NORMALIZER = "com.ibm.icu.text.Normalizer"
 NOT_ASCII = r"[^\x00-\x7F]"
 
@@ -49,48 +53,14 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@lru_cache(maxsize=1)
-def _safe_class() -> str:
-    """Regex class of characters NFKC can never touch, derived from the Unicode tables.
-
-    Short runs are left out: treating a harmless character as unsafe only costs an ICU
-    call, never a different answer.
-    """
-    blocks = [(0, 0x2BFF), (0x3000, 0x33FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),
-              (0x1F000, 0x1FAFF)]
-    # second halves of composed pairs, and Hangul medial/final letters, join backwards
-    joins = {0x1161 + i for i in range(21)} | {0x11A8 + i for i in range(27)}
-    for lo, hi in blocks:
-        for cp in range(lo, hi + 1):
-            parts = unicodedata.decomposition(chr(cp)).split()
-            if len(parts) == 2 and not parts[0].startswith("<"):
-                joins.add(int(parts[1], 16))
-    runs = []
-    for lo, hi in blocks:
-        start = None
-        for cp in range(lo, hi + 2):
-            ch = chr(cp)
-            ok = (cp <= hi and cp not in joins and unicodedata.combining(ch) == 0
-                  and unicodedata.category(ch) != "Cn"
-                  and unicodedata.normalize("NFKC", ch) == ch)
-            if ok and start is None:
-                start = cp
-            elif not ok and start is not None:
-                if cp - start >= 8:
-                    runs.append((start, cp - 1))
-                start = None
-    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs)
-
-
 def nfkc(c) -> Column:
     t = col(c)
-    needs = t.rlike(NOT_ASCII) & t.rlike(f"[^{_safe_class()}]")
     icu = F.reflect(F.lit(ICU_NORMALIZER), F.lit("compose"), t, F.lit(True))
-    return F.when(needs, icu).otherwise(t)
+    return F.when(t.rlike(NOT_ASCII), icu).otherwise(t)
 
 
-def _translate(c: Column, table: dict[str, str]) -> Column:
-    return F.translate(c, "".join(table), "".join(table.values()))
+def _translate(c: Column, table: dict[str, str], drop: str = "") -> Column:
+    return F.translate(c, "".join(table) + drop, "".join(table.values()))
 
 
 def strip_diacritics(c) -> Column:
@@ -101,7 +71,7 @@ def strip_diacritics(c) -> Column:
 
 
 def remove_invisible(c) -> Column:
-    return F.regexp_replace(col(c), INVISIBLE, "")
+    return F.translate(col(c), INVISIBLE, "")
 
 
 def fold_homoglyphs(c) -> Column:
@@ -136,20 +106,14 @@ def _to_plain_letters() -> dict[str, str]:
     return {**LEET, **{k: LEET.get(v, v) for k, v in table.items()}}
 
 
-def _visible_lower(c) -> Column:
-    t = nfkc(c)
-    t = F.when(t.rlike(NOT_ASCII), F.regexp_replace(t, INVISIBLE, "")).otherwise(t)
-    return F.lower(t)
-
-
 def normalize(c) -> Column:
-    """Accent-free canonical form: ``[a-z0-9]`` words separated by single spaces."""
-    low = _visible_lower(c)
-    folded = F.when(
-        low.rlike(NOT_ASCII),
-        F.regexp_replace(_translate(low, _to_plain_letters()), r"\p{Mn}+", ""),
-    ).otherwise(_translate(low, LEET))
-    words = F.regexp_replace(folded, "[^a-z0-9]+", " ")
+    """Accent-free canonical form: ``[a-z0-9]`` words separated by single spaces.
+
+    One pass over the characters folds look-alikes, accents and leet and drops what is not
+    drawn.  Every step uses the one before it once, so nothing is computed twice.
+    """
+    folded = _translate(F.lower(nfkc(c)), _to_plain_letters(), INVISIBLE)
+    words = F.regexp_replace(F.regexp_replace(folded, r"\p{Mn}+", ""), "[^a-z0-9]+", " ")
     return F.trim(collapse_repeats(words))
 
 
@@ -164,8 +128,8 @@ def squeeze(c) -> Column:
 def normalize_keep_accents(c) -> Column:
     """Canonical form that keeps Vietnamese accents (``lừa đảo`` is not ``lựa đào``)."""
     table = {**LEET, **{k: LEET.get(v, v) for k, v in LOOKALIKES.items()}}
-    t = _translate(_visible_lower(c), table)
-    t = F.regexp_replace(t, r"[^0-9a-z\x{E0}-\x{1EF9}]+", " ")
+    t = _translate(F.lower(nfkc(c)), table, INVISIBLE)
+    t = F.regexp_replace(t, r"(?:(?![\x{E0}-\x{1EF9}])[^0-9a-z])+", " ")
     return F.btrim(collapse_repeats(t), F.lit(" \u1680"))
 
 
@@ -176,13 +140,14 @@ def squeeze_keep_accents(c) -> Column:
 def obfuscation_score(c) -> Column:
     """3 for hidden characters, 3 for look-alike letters, 2 for s.p.l.i.t letters."""
     t = col(c)
-    not_ascii = t.rlike(NOT_ASCII)
+    hidden = t.rlike(NOT_ASCII) & t.rlike(ANY_INVISIBLE)
     latin = F.regexp_count(t, F.lit(r"[A-Za-z\x{130}\x{212A}]"))
-    fakes = F.regexp_count(F.lower(t), F.lit("[" + "".join(LOOKALIKES) + "]"))
-    fake_enough = not_ascii & (fakes >= F.greatest(F.lit(2), F.floor(latin / 10)))
+    fakes = F.regexp_count(F.lower(t), F.lit(ANY_LOOKALIKE))
+    # letters are only counted in texts that hold a look-alike at all
+    fake_enough = (t.rlike(NOT_ASCII) & F.lower(t).rlike(ANY_LOOKALIKE)
+                   & (fakes >= F.greatest(F.lit(2), F.floor(latin / 10))))
     split_letters = t.rlike(rf"(?:[{WORD}][.\-_*|]){{4}}[{WORD}]")
-    points = (F.when(not_ascii & t.rlike(INVISIBLE), 3).otherwise(0)
-              + F.when(fake_enough, 3).otherwise(0)
+    points = (F.when(hidden, 3).otherwise(0) + F.when(fake_enough, 3).otherwise(0)
               + F.when(split_letters, 2).otherwise(0))
     return F.coalesce(points, F.lit(0)).cast("int")
 

@@ -76,10 +76,13 @@ def with_features(df: DataFrame, cfg: ModerationConfig) -> DataFrame:
     df = df.withColumns({
         **{f"{t}_hits": F.when(scan, keyword_hits("norm", t)).otherwise(E.no_strings())
            for t in WEIGHTS},
-        "noisy_points": F.when(scan, noisy_keyword_points("norm", "squeezed")).otherwise(0),
         "unknown_urls": E.unknown_urls("urls", "allow_domains"),
     })
-    return df.withColumn("unknown_hosts", E.real_hosts("unknown_urls"))
+    noisy = noisy_keyword_points("strong_hits", "medium_hits", "squeezed")
+    return df.withColumns({
+        "noisy_points": F.when(scan, noisy).otherwise(0),
+        "unknown_hosts": E.real_hosts("unknown_urls"),
+    })
 
 
 def signals(is_new: Column, cfg: ModerationConfig, threshold: Column) -> Column:
