@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from .views import load, view_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +34,7 @@ def with_views(body: str, *views: str, more: str = "", recursive: bool = False)
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The message view in the shape operators expect (payload as a list)."""
-    m = load(spark, sf_dir, "messages")
+    m = spread(load(spark, sf_dir, "messages"))
     payloads = F.when(F.col("qr_payload").isNotNull(), F.array("qr_payload")).otherwise(
         F.array().cast("array<string>"))
     return m.withColumn("qr_payloads", payloads).drop("qr_payload")

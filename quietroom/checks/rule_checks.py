@@ -10,7 +10,7 @@ from ..functions.dictionaries import MEDIUM, STRONG, WEAK, squeezed_phrases
 from ..functions.text import normalize, normalize_keep_accents
 from ..operators import lists as L
 from ..operators.scoring import (forced_reason, forced_verdict, is_benign_question,
-                                 score_messages, with_features)
+                                 list_features, score_messages, text_features, without_texts)
 from ..plans.moderate import attach_lists
 from .base import joined, messages, q, query, sql_keep, sql_norm, with_views
 from .entity_checks import (BODY_SQL, CRYPTO_SQL, EMOJI_SQL, INVITE_SQL, MONEY_SQL, SCAN_SQL,
@@ -125,7 +125,7 @@ BENIGN_SQL = (f"NOT (has_media OR has_buttons OR has_qr OR has_entities) AND "
     f"(SELECT *, {sql_norm('text')} AS n FROM messages)", "messages"))
 def _benign(spark, sf_dir):
     m = messages(spark, sf_dir)
-    return m.select("message_id", is_benign_question(m).alias("exempt"))
+    return m.select("message_id", is_benign_question().alias("exempt"))
 
 
 # --- features in SQL ------------------------------------------------------------------
@@ -261,14 +261,20 @@ def rule_sql(name, asks="FALSE"):
 
 
 def prepared(spark, sf_dir):
-    """Messages with their chat's lists and forward labels, ready for scoring."""
-    m = messages(spark, sf_dir).withColumn("forward_label", E.forward_label("forward_origin"))
-    return attach_lists(m, lists_of(spark, sf_dir, *LISTS), load(spark, sf_dir, "managed_chats"))
+    return messages(spark, sf_dir).withColumn("forward_label", E.forward_label("forward_origin"))
 
 
-def _rule(name, build):
+def attach(spark, sf_dir):
+    lists, chats = lists_of(spark, sf_dir, *LISTS), load(spark, sf_dir, "managed_chats")
+    return lambda features: attach_lists(features, lists, chats)
+
+
+def _rule(name, build, lists=False):
     def run(spark, sf_dir):
-        f = with_features(prepared(spark, sf_dir), CFG)
+        m = prepared(spark, sf_dir).drop("has_entities")  # no question exemption
+        f = text_features(m, CFG)
+        if lists:
+            f = list_features(attach(spark, sf_dir)(without_texts(f)), CFG)
         f = f.select("message_id", build().alias("r")).filter("r IS NOT NULL")
         return f.select("message_id", F.col("r.hard").cast("bigint").alias("hard"),
                         F.col("r.soft").cast("bigint").alias("soft"), "r.reason")
@@ -279,15 +285,17 @@ NEW = "is_new_member"
 _rule("rule_forward", lambda: R.rule_forward(
     "is_forward", "forward_label", "has_media", "has_qr", NEW, CFG))
 _rule("rule_channel_sender", lambda: R.rule_channel_sender("from_channel", CFG))
-_rule("rule_unknown_link", lambda: R.rule_unknown_link("unknown_urls", NEW, CFG))
+_rule("rule_unknown_link", lambda: R.rule_unknown_link("unknown_urls", NEW, CFG), True)
 _rule("rule_shortener", lambda: R.rule_shortener("hosts"))
 _rule("rule_risky_tld", lambda: R.rule_risky_tld("hosts"))
 _rule("rule_invite", lambda: R.rule_invite("body"))
 _rule("rule_obfuscated_url", lambda: R.rule_obfuscated_url("body", "hosts"))
-_rule("rule_qr_payload", lambda: R.rule_qr_payload("qr_payloads", "allow_domains")[0])
-_rule("rule_mentions", lambda: R.rule_mentions("handles", "unknown_mentions", CFG))
+_rule("rule_qr_payload", lambda: F.get(R.rule_qr_payload(
+    "qr_payloads", "allow_domains"), F.lit(0)), True)
+_rule("rule_mentions", lambda: R.rule_mentions("handles", "unknown_mentions", CFG), True)
 _rule("rule_crypto", lambda: R.rule_crypto("scannable"))
-_rule("rule_phone", lambda: R.rule_phone("unknown_phones", "norm", "urls", CFG))
+_rule("rule_phone", lambda: R.rule_phone(
+    "unknown_phones", "has_words", "urls", CFG), True)
 _rule("rule_money", lambda: R.rule_money("body"))
 _rule("rule_fake_admin", lambda: R.rule_fake_admin("norm_name", "is_real_admin", CFG))
 _rule("rule_obfuscation", lambda: R.rule_obfuscation("body"))
@@ -296,7 +304,8 @@ _rule("rule_emoji", lambda: R.rule_emoji("body"))
 _rule("rule_story", lambda: R.rule_story("has_story"))
 _rule("rule_buttons", lambda: R.rule_buttons("has_buttons"))
 _rule("rule_via_bot", lambda: R.rule_via_bot("via_bot"))
-_rule("rule_new_member_link", lambda: R.rule_new_member_link(NEW, "unknown_hosts", "is_forward"))
+_rule("rule_new_member_link", lambda: R.rule_new_member_link(NEW, "unknown_hosts", "is_forward"),
+      True)
 _rule("rule_no_username_link", lambda: R.rule_no_username_link(NEW, "has_username", "urls"))
 
 
@@ -347,9 +356,7 @@ scores AS (SELECT f.message_id, chat_id, CAST(coalesce(base, 0) + CASE WHEN base
 
 
 def scored(spark, sf_dir):
-    m = prepared(spark, sf_dir)
-    m = m.withColumn("is_question", is_benign_question(m))
-    return score_messages(m, CFG)
+    return score_messages(prepared(spark, sf_dir), CFG, attach(spark, sf_dir))
 
 
 @query("score_messages", with_views(

@@ -30,7 +30,7 @@ SELECT doc_id AS message_id,
     WHEN 1 THEN concat(text, ' no news today')
     WHEN 2 THEN concat(text, ' see https://docs.example.org/en/guide for details')
     WHEN 3 THEN concat(text, ' visit http://promo-site.xyz/win?x=1 today')
-    WHEN 4 THEN concat(text, ' short link bit.ly/abc123')
+    WHEN 4 THEN concat(text, ' short link tinyurl.com/abc123')
     WHEN 5 THEN concat(text, ' join t.me/+AbCdEf now')
     WHEN 6 THEN concat(text, ' wallet 0x', repeat('9f8e7d6c5b', 4))
     WHEN 7 THEN concat(text, ' call 09', lpad(CAST(doc_id AS {{string}}), 8, '0'),

@@ -19,17 +19,18 @@ URL = (
     rf"(?:{LINK_TLDS})(?![{WORD}])(?:/[^{SPACE}]*)?"
 )
 SPELLED_OUT_END = (
-    rf"(?iu)(?:dot|\.|,)[{SPACE}]*[)\]}}]?[{SPACE}]*"
-    rf"(?:com|net|org|io|xyz|top|vip|win|club|shop|live|me)(?![{WORD}])"
+    rf"(?:[dD][oO][tT]|[.,])[{SPACE}]*[)\]}}]?[{SPACE}]*"
+    rf"(?iu:com|net|org|io|xyz|top|vip|win|club|shop|live|me)(?![{WORD}])"
 )
 SPELLED_OUT_URL = (
     rf"(?iu)(?<![{WORD}])[a-z0-9][a-z0-9-]{{1,61}}[{SPACE}]*[(\[{{]?[{SPACE}]*"
-    + SPELLED_OUT_END.removeprefix("(?iu)")
+    + SPELLED_OUT_END
 )
+DOT_TLD = rf"(?iu)[a-z0-9]\.(?:{LINK_TLDS})"
 INVITE = r"(?i)(?:t\.me/\+|t\.me/joinchat/|telegram\.me/\+|telegram\.dog/)"
 MENTION = rf"(?<![{WORD}@/])@([A-Za-z][A-Za-z0-9_]{{4,31}})(?![{WORD}])"
 CRYPTO = (
-    rf"(?<![{WORD}])(?:(?:bc1|[13])[a-hj-np-z0-9]{{25,62}}|0x[a-fA-F0-9]{{40}}"
+    rf"(?=[b130T])(?<![{WORD}])(?:(?:bc1|[13])[a-hj-np-z0-9]{{25,62}}|0x[a-fA-F0-9]{{40}}"
     rf"|T[1-9A-HJ-NP-Za-km-z]{{33}})(?![{WORD}])"
 )
 PHONE = (
@@ -37,8 +38,9 @@ PHONE = (
     rf"|\+\p{{Nd}}{{1,3}}[{SPACE}.\-]?\p{{Nd}}(?:[{SPACE}.\-]?\p{{Nd}}){{5,13}}(?!\p{{Nd}})"
 )
 MONEY = (
-    rf"(?iu)(?<![{WORD}])\p{{Nd}}{{2,4}}[{SPACE}]*(?:(?:k|m|usd)(?![{WORD}])|\$(?=[{WORD}]))"
-    rf"|(?<![{WORD}])\p{{Nd}}{{1,4}}[{SPACE}]*(?:tr|trieu|triệu|củ|cu)(?![{WORD}])"
+    rf"(?iu)(?=\p{{Nd}})(?<![{WORD}])\p{{Nd}}{{2,4}}[{SPACE}]*"
+    rf"(?:(?:k|m|usd)(?![{WORD}])|\$(?=[{WORD}]))"
+    rf"|(?=\p{{Nd}})(?<![{WORD}])\p{{Nd}}{{1,4}}[{SPACE}]*(?:tr|trieu|triệu|củ|cu)(?![{WORD}])"
     rf"|[$₫][{SPACE}]*\p{{Nd}}{{3,}}"
 )
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{2B00}-\x{2BFF}]"
@@ -57,6 +59,7 @@ FORWARD_LABELS = {
 OTHER_FORWARD = "nguồn khác"
 # ------------------------------------------------------------------------------
 
+CAPITALS = r"(?:[A-Z]|(?=[^\x00-\x7F])\p{Lu})+"
 NO_STRINGS = "array<string>"
 
 
@@ -64,6 +67,11 @@ def no_strings() -> Column:
     return F.array().cast(NO_STRINGS)
 
 
+def word_list(words) -> Column:
+    """A constant array, built by one expression however long it is."""
+    return F.split(F.lit("|".join(words)), r"\|")
+
+
 def _list(c) -> Column:
     return F.coalesce(col(c), no_strings())
 
@@ -93,9 +101,9 @@ def scannable_text(text, qr_payloads, ocr_text) -> Column:
 
 
 def links_in(c) -> Column:
-    """Links written in a text.  Texts without a dot skip the pattern."""
+    """Links written in a text.  Texts without a dotted ending skip the long pattern."""
     t = col(c)
-    return F.when(t.contains("."), find_all(t, URL)).otherwise(no_strings())
+    return F.when(t.rlike(DOT_TLD), find_all(t, URL)).otherwise(no_strings())
 
 
 def extract_urls(text, entity_urls=None) -> Column:
@@ -192,7 +200,7 @@ def emoji_count(c) -> Column:
 def caps_ratio(c) -> Column:
     """Share of capitals, or null below 25 letters."""
     letters = F.char_length(F.regexp_replace(col(c), r"[^\p{L}]+", ""))
-    capitals = F.char_length(col(c)) - F.char_length(F.regexp_replace(col(c), r"\p{Lu}+", ""))
+    capitals = F.char_length(col(c)) - F.char_length(F.regexp_replace(col(c), CAPITALS, ""))
     return F.when(letters >= 25, capitals / letters)
 
 

@@ -92,13 +92,12 @@ def rule_unknown_link(unknown_urls, is_new, cfg: ModerationConfig) -> Column:
 
 
 def rule_shortener(hosts) -> Column:
-    known = F.array(*[F.lit(s) for s in SHORTENERS])
-    return _fires(F.arrays_overlap(col(hosts), known), "shortener", soft=3)
+    return _fires(F.arrays_overlap(col(hosts), E.word_list(SHORTENERS)), "shortener", soft=3)
 
 
 def rule_risky_tld(hosts) -> Column:
-    risky = F.exists(col(hosts), lambda h: F.substring_index(h, ".", -1).isin(*RISKY_TLDS))
-    return _fires(risky, "risky_tld", soft=2)
+    endings = F.transform(col(hosts), lambda h: F.substring_index(h, ".", -1))
+    return _fires(F.arrays_overlap(endings, E.word_list(RISKY_TLDS)), "risky_tld", soft=2)
 
 
 def rule_invite(text) -> Column:
@@ -143,11 +142,11 @@ def rule_crypto(scannable) -> Column:
     return _fires(E.has_crypto_address(scannable), "crypto_address", hard=1)
 
 
-def rule_phone(unknown_phones, norm, urls, cfg: ModerationConfig) -> Column:
+def rule_phone(unknown_phones, has_words, urls, cfg: ModerationConfig) -> Column:
     some = F.size(col(unknown_phones)) > 0
     if cfg.block_phones:
         return _fires(some, _with_list("unknown_phone", unknown_phones, 2), hard=1)
-    return _fires(some & ((col(norm) != "") | (F.size(col(urls)) > 0)), "phone", soft=2)
+    return _fires(some & (col(has_words) | (F.size(col(urls)) > 0)), "phone", soft=2)
 
 
 def rule_money(text) -> Column:

@@ -19,7 +19,8 @@ from ..functions.phrases import banned_phrase_hits, phrase_forms
 MAX_BROADCAST_ROWS = 50_000
 # A chat's bundle of list entries travels with its messages; beyond this many entries in
 # all, the lists are joined as tables instead.
-MAX_BUNDLE_ENTRIES = 20_000
+MAX_BUNDLE_ENTRIES = 500
+MAX_PHRASES = 2_000
 
 
 def is_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> bool:
@@ -219,18 +220,17 @@ def with_banned_hits(msgs: DataFrame, keywords: DataFrame, chats: DataFrame,
     bound they travel in several bundles per chat and the hits are put together again.
     """
     skip = F.lit(False) if skip is None else skip
-    n = keywords.limit(MAX_BUNDLE_ENTRIES + 1).count()
-    if n <= MAX_BUNDLE_ENTRIES:
+    if is_small(keywords, MAX_PHRASES):
         bundle = chat_rules({"keyword_blacklist": keywords}, chats, names=("keyword_blacklist",))
         joined = msgs.join(F.broadcast(bundle), "chat_id", "left")
         phrases = F.coalesce("phrases", F.array())
         hits = F.when(skip, E.no_strings()).otherwise(banned_phrase_hits(text, phrases))
         return joined.withColumn("banned_hits", hits).select(*msgs.columns, "banned_hits")
-    pieces = keywords.count() // MAX_BUNDLE_ENTRIES + 1
+    pieces = keywords.count() // (MAX_PHRASES // 2) + 1
     bundles = [keywords.filter(F.pmod(F.xxhash64("phrase"), F.lit(pieces)) == i)
                for i in range(pieces)]
-    found = [with_banned_hits(msgs.select("message_id", "chat_id", text), b, chats, text, skip)
-             .filter(F.size("banned_hits") > 0)
+    unsure = msgs.filter(~skip).select("message_id", "chat_id", text)
+    found = [with_banned_hits(unsure, b, chats, text).filter(F.size("banned_hits") > 0)
              .select("message_id", F.explode("banned_hits").alias("_hit")) for b in bundles]
     hits = reduce(DataFrame.unionByName, found).groupBy("message_id").agg(
         F.sort_array(F.collect_set("_hit")).alias("banned_hits"))

@@ -9,9 +9,8 @@ from ..config import FORCED_SCORE, ModerationConfig
 from ..functions import entities as E
 from ..functions import rules as R
 from ..functions.dictionaries import WEIGHTS
-from ..functions.phrases import banned_phrase_hits, keyword_hits, noisy_keyword_points
-from ..functions.text import (looks_like_question, normalize, normalize_keep_accents,
-                              squeeze_spaces)
+from ..functions.phrases import keyword_hits, noisy_keyword_points
+from ..functions.text import looks_like_question, normalize, squeeze_spaces
 
 SIGNAL = "struct<reason:string,points:int>"
 # What an absent input column means.
@@ -22,10 +21,9 @@ _MESSAGE_DEFAULTS = {
     "from_channel": ("boolean", False), "has_buttons": ("boolean", False),
     "has_media": ("boolean", False), "has_username": ("boolean", True),
     "has_qr": ("boolean", False), "qr_payloads": ("array<string>", []),
-    "ocr_text": ("string", ""), "is_question": ("boolean", False),
+    "ocr_text": ("string", ""),
     "sender_name": ("string", ""), "is_real_admin": ("boolean", False),
-    "has_story": ("boolean", False), "allow_domains": ("array<string>", []),
-    "allow_usernames": ("array<string>", []), "allow_phones": ("array<string>", []),
+    "has_story": ("boolean", False),
 }
 
 
@@ -41,15 +39,28 @@ def with_defaults(df: DataFrame) -> DataFrame:
     return df.withColumns(cols)
 
 
-def is_benign_question(df: DataFrame) -> Column:
-    """Plain text that asks something; pictures, links or buttons spoil the exemption."""
-    plain = ~(F.col("has_media") | F.col("has_buttons") | F.col("has_qr")
-              | F.col("has_entities"))
-    return plain & looks_like_question(F.coalesce(F.col("text"), F.lit("")))
+def is_plain() -> Column:
+    """No pictures, links or buttons: only such messages can pass as questions."""
+    return ~(F.col("has_media") | F.col("has_buttons") | F.col("has_qr") | F.col("has_entities"))
 
 
-def with_features(df: DataFrame, cfg: ModerationConfig) -> DataFrame:
-    """Canonical text and extracted entities, each computed once per message."""
+def is_benign_question(norm=None) -> Column:
+    """Plain text that asks something; ``norm`` may pass in the canonical form of ``text``."""
+    return is_plain() & looks_like_question(F.coalesce(F.col("text"), F.lit("")), norm)
+
+
+HEAVY = ("text", "caption", "ocr_text", "entity_urls", "mentions", "body", "scannable", "norm",
+         "norm_name", "squeezed", "keep_text")
+
+
+def text_features(df: DataFrame, cfg: ModerationConfig) -> DataFrame:
+    """All that is read off the texts themselves, each computed once per message.
+
+    Rules that need nothing else are evaluated here, as ``t_*`` columns, so the texts can be
+    left behind before anything is joined or shuffled (``without_texts``).  A message that
+    says whether it has entities, but not whether it is a question, is examined for that.
+    """
+    given = df.columns
     df = with_defaults(df).withColumn("body", E.message_text("text", "caption"))
     df = df.withColumn("scannable", E.scannable_text("body", "qr_payloads", "ocr_text"))
     df = df.withColumns({
@@ -59,30 +70,58 @@ def with_features(df: DataFrame, cfg: ModerationConfig) -> DataFrame:
         "handles": E.extract_mentions("body", "mentions"),
         "phones": E.extract_phones("scannable"),
     })
+    if "is_question" not in given:
+        # without picture text and caption the canonical form is already there
+        only_text = F.when(F.col("scannable") == F.col("text"), F.col("norm")).otherwise(
+            normalize("text"))
+        asks = is_benign_question(only_text) if "has_entities" in given else F.lit(False)
+        df = df.withColumn("is_question", asks)
     scan = (F.col("norm") != "") & ~F.col("is_question")
-
-    def extra(name, values):
-        own = F.col(name)
-        return F.array_union(own, F.array(*[F.lit(v) for v in values])) if values else own
-
     df = df.withColumns({
-        "allow_domains": extra("allow_domains", cfg.allowed_domains),
         "squeezed": squeeze_spaces("norm"),
         "hosts": E.real_hosts("urls"),
-        "unknown_mentions": F.array_except("handles", extra("allow_usernames",
-                                                            cfg.allowed_usernames)),
-        "unknown_phones": F.array_except("phones", extra("allow_phones", cfg.allowed_phones)),
-    })
-    df = df.withColumns({
+        "has_words": F.col("norm") != "",
         **{f"{t}_hits": F.when(scan, keyword_hits("norm", t)).otherwise(E.no_strings())
            for t in WEIGHTS},
-        "unknown_urls": E.unknown_urls("urls", "allow_domains"),
     })
     noisy = noisy_keyword_points("strong_hits", "medium_hits", "squeezed")
     return df.withColumns({
         "noisy_points": F.when(scan, noisy).otherwise(0),
-        "unknown_hosts": E.real_hosts("unknown_urls"),
+        "t_invite": R.rule_invite("body"),
+        "t_spelled_out": R.rule_obfuscated_url("body", "hosts"),
+        "t_crypto": R.rule_crypto("scannable"),
+        "t_money": R.rule_money("body"),
+        "t_fake_admin": R.rule_fake_admin("norm_name", "is_real_admin", cfg),
+        "t_obfuscation": R.rule_obfuscation("body"),
+        "t_caps": R.rule_caps("body"),
+        "t_emoji": R.rule_emoji("body"),
+    })
+
+
+def without_texts(df: DataFrame) -> DataFrame:
+    return df.drop(*HEAVY)
+
+
+def list_features(df: DataFrame, cfg: ModerationConfig) -> DataFrame:
+    """What is left of links, mentions and phones after the allow lists."""
+
+    def listed(name, values):
+        own = F.coalesce(F.col(name), E.no_strings()) if name in df.columns else E.no_strings()
+        return F.array_union(own, E.word_list(values)) if values else own
+
+    domains = listed("allow_domains", cfg.allowed_domains)
+    df = df.withColumns({
+        "allow_domains": domains,
+        "unknown_mentions": F.array_except(
+            "handles", listed("allow_usernames", cfg.allowed_usernames)),
+        "unknown_phones": F.array_except("phones", listed("allow_phones", cfg.allowed_phones)),
     })
+    df = df.withColumn("unknown_urls", E.unknown_urls("urls", "allow_domains"))
+    return df.withColumn("unknown_hosts", E.real_hosts("unknown_urls"))
+
+
+def with_features(df: DataFrame, cfg: ModerationConfig) -> DataFrame:
+    return list_features(text_features(df, cfg), cfg)
 
 
 def signals(is_new: Column, cfg: ModerationConfig, threshold: Column) -> Column:
@@ -95,19 +134,19 @@ def signals(is_new: Column, cfg: ModerationConfig, threshold: Column) -> Column:
         R.rule_unknown_link("unknown_urls", is_new, cfg),
         R.rule_shortener("hosts"),
         R.rule_risky_tld("hosts"),
-        R.rule_invite("body"),
-        R.rule_obfuscated_url("body", "hosts"),
+        F.col("t_invite"),
+        F.col("t_spelled_out"),
         *R.rule_qr_present("has_qr", "qr_payloads", is_new),
     ]
     rest = [
         R.rule_mentions("handles", "unknown_mentions", cfg),
-        R.rule_crypto("scannable"),
-        R.rule_phone("unknown_phones", "norm", "urls", cfg),
-        R.rule_money("body"),
-        R.rule_fake_admin("norm_name", "is_real_admin", cfg),
-        R.rule_obfuscation("body"),
-        R.rule_caps("body"),
-        R.rule_emoji("body"),
+        F.col("t_crypto"),
+        R.rule_phone("unknown_phones", "has_words", "urls", cfg),
+        F.col("t_money"),
+        F.col("t_fake_admin"),
+        F.col("t_obfuscation"),
+        F.col("t_caps"),
+        F.col("t_emoji"),
         R.rule_story("has_story"),
         R.rule_buttons("has_buttons"),
         R.rule_via_bot("via_bot"),
@@ -146,17 +185,23 @@ def summary(v) -> Column:
                     F.lit(" · "), F.array_join(v["reasons"], "; "))
 
 
-def score_messages(df: DataFrame, cfg: ModerationConfig) -> DataFrame:
-    """Add ``verdict``.  Needs ``is_new_member`` and ``prior_offences`` (absent: old, none)."""
+def score_messages(df: DataFrame, cfg: ModerationConfig, attach=None) -> DataFrame:
+    """Add ``verdict``.  Needs ``is_new_member`` and ``prior_offences`` (absent: old, none).
+
+    ``attach`` may add the chats' allow lists to the features (see ``attach_lists``).
+    """
     cols = df.columns
     new = F.col("is_new_member") if "is_new_member" in cols else F.lit(False)
     prior = F.col("prior_offences") if "prior_offences" in cols else F.lit(0)
     df = df.withColumns({"_new": F.coalesce(new, F.lit(False)),
                          "_prior": F.coalesce(prior, F.lit(0)).cast("int")})
-    df = with_features(df, cfg).withColumn("_threshold", R.threshold("_new", cfg))
+    df = text_features(df, cfg)
+    if attach is not None:
+        df = attach(without_texts(df))
+    df = list_features(df, cfg).withColumn("_threshold", R.threshold("_new", cfg))
     df = df.withColumn("_signals", signals(F.col("_new"), cfg, F.col("_threshold")))
     v = verdict(F.col("_signals"), F.col("_threshold"), F.col("_prior"))
-    return df.select(*cols, v.alias("verdict"))
+    return df.select(*[c for c in cols if c in df.columns], v.alias("verdict"))
 
 
 def forced_verdict(reason: Column) -> Column:
@@ -170,27 +215,14 @@ def forced_reason(blocked, hits) -> Column:
     return F.when(F.col(blocked), F.lit("blocked_sender")).when(F.size(F.col(hits)) > 0, shown)
 
 
-def with_banned_phrases(df: DataFrame) -> DataFrame:
-    """Add ``banned_hits`` from the chat's ``phrases``; needs ``is_question`` and ``is_blocked``."""
-    everything = F.concat_ws(" ", F.nullif("text", F.lit("")), F.nullif("caption", F.lit("")),
-                             F.filter("qr_payloads", lambda p: p != ""),
-                             F.nullif("ocr_text", F.lit("")))
-    df = df.withColumn("_keep", normalize_keep_accents(everything))
-    skip = F.col("is_question") | F.col("is_blocked")
-    hits = F.when(skip, E.no_strings()).otherwise(banned_phrase_hits("_keep", "phrases"))
-    return df.withColumn("banned_hits", hits).drop("_keep")
-
-
-def score_both(df: DataFrame, cfg: ModerationConfig) -> DataFrame:
-    """Signals of each message for a newcomer and for an old member, plus forced verdicts.
+def score_both(features: DataFrame, cfg: ModerationConfig) -> DataFrame:
+    """Signals of each message for a newcomer and for an old member.
 
     The verdict itself needs the sender's history; scoring both cases here means the texts
     are read once and the history step only handles numbers.
     """
-    cols = df.columns
-    df = with_features(df, cfg)
+    df = list_features(features, cfg)
     t_new, t_old = F.lit(cfg.threshold_for(True)), F.lit(cfg.threshold_for(False))
-    return df.select(
-        *cols,
-        signals(F.lit(True), cfg, t_new).alias("signals_new"),
-        signals(F.lit(False), cfg, t_old).alias("signals_old"))
+    return df.withColumns({
+        "signals_new": signals(F.lit(True), cfg, t_new),
+        "signals_old": signals(F.lit(False), cfg, t_old)})

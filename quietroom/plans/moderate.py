@@ -9,72 +9,78 @@ from ..config import ModerationConfig
 from ..functions import entities as E
 from ..functions.text import normalize_keep_accents
 from ..operators import lists as L
-from ..operators.scoring import (forced_reason, is_benign_question, score_both, with_defaults)
+from ..operators.scoring import forced_reason, score_both, text_features, without_texts
+from ..sources.storage import staged
 from ..operators.state import as_of, exclude_paused, replay_verdicts
 
 Lists = dict[str, DataFrame]
 
 
-def attach_lists(msgs: DataFrame, lists: Lists, chats: DataFrame,
+ENTITY_LISTS = ("chat_whitelist", "username_whitelist", "phone_whitelist")
+
+
+def attach_lists(features: DataFrame, lists: Lists, chats: DataFrame,
                  admins: DataFrame | None = None, own_username: str = "") -> DataFrame:
-    """Add the chat's allowed domains, mentions and phones to its messages.
+    """Add what the chat allows (domains, mentions, phones) to text features.
 
-    The bundles are broadcast when the lists are small in all.  Otherwise each message gets
-    only the entries it can match: its links, mentions and phones are looked up in the lists
-    by equi-joins, and what was found comes back as the message's own short allow lists.
+    A handful of entries is broadcast as one bundle per chat.  With longer lists each
+    message gets only the entries that concern it: its links, mentions and phones are looked
+    up by equi-joins, and those found allowed come back as its own short lists.  Only
+    messages that hold any of them are shuffled, and never their texts.
     """
-    names = ("chat_whitelist", "username_whitelist", "phone_whitelist")
-    sizes = [lists[n].limit(L.MAX_BUNDLE_ENTRIES + 1).count() for n in names]
+    sizes = [lists[n].limit(L.MAX_BUNDLE_ENTRIES + 1).count() for n in ENTITY_LISTS]
     if sum(sizes) <= L.MAX_BUNDLE_ENTRIES:
-        bundle = L.chat_rules({n: lists[n] for n in names}, chats, admins, own_username, names)
-        return msgs.join(F.broadcast(bundle), "chat_id", "left")
-    return _attach_matching(msgs, lists, chats, admins, own_username)
+        bundle = L.chat_rules({n: lists[n] for n in ENTITY_LISTS}, chats, admins, own_username,
+                              ENTITY_LISTS)
+        return features.join(F.broadcast(bundle), "chat_id", "left")
+    features = staged(features)
+    allowed = allowed_entities(features, lists, chats, admins, own_username)
+    some = (F.size("urls") + F.size("handles") + F.size("phones") + F.size("qr_payloads")) > 0
+    concerned = features.filter(some).join(allowed, "message_id", "left")
+    return concerned.unionByName(features.filter(~some), allowMissingColumns=True)
 
 
-def _attach_matching(msgs: DataFrame, lists: Lists, chats: DataFrame,
+def allowed_entities(features: DataFrame, lists: Lists, chats: DataFrame,
                      admins: DataFrame | None, own_username: str) -> DataFrame:
-    slim = with_defaults(msgs).select(
-        "message_id", "chat_id", E.message_text("text", "caption").alias("_body"),
-        "entity_urls", "mentions", "qr_payloads", "ocr_text")
-    slim = slim.withColumn("_scan", E.scannable_text("_body", "qr_payloads", "ocr_text"))
-    qr = F.flatten(F.transform("qr_payloads", E.qr_links))
-    found = slim.select(
-        "message_id", "chat_id",
-        F.array_union(E.extract_urls("_body", "entity_urls"), qr).alias("urls"),
-        E.extract_mentions("_body", "mentions").alias("handles"),
-        E.extract_phones("_scan").alias("phones"))
-    found = found.filter((F.size("urls") > 0) | (F.size("handles") > 0) | (F.size("phones") > 0))
-    urls = found.select("message_id", "chat_id", F.explode("urls").alias("url"))
+    """Per message, its own links, mentions and phones that its chat allows."""
+
+    def tagged(kind, values):
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
+
+    links = F.array_union("urls", F.flatten(F.transform("qr_payloads", E.qr_links)))
+    every = features.select("message_id", "chat_id", F.explode(F.concat(
+        tagged("url", links), tagged("handle", F.col("handles")),
+        tagged("phone", F.col("phones")))).alias("e"))
+    every = staged(every.select("message_id", "chat_id", "e.kind", "e.v"))
+
+    urls = every.filter("kind = 'url'").withColumnRenamed("v", "url")
+    parts = E.split_url("url")
     good_urls = L.url_allowed(urls, lists["chat_whitelist"]).filter("allowed").select(
-        "message_id", F.struct(E.split_url("url")["host"].alias("h"),
-                               E.split_url("url")["path"].alias("p")).alias("_u"))
-    good_urls = good_urls.select("message_id", F.lit("url").alias("kind"),
-                                 F.concat_ws("/", "_u.h", F.nullif("_u.p", F.lit(""))).alias("v"))
-    handles = found.select("message_id", "chat_id", F.explode("handles").alias("username"))
-    allowed = lists["username_whitelist"].select("chat_id", "username")
+        "message_id", "kind",
+        F.concat_ws("/", parts["host"], F.nullif(parts["path"], F.lit(""))).alias("v"))
+
+    handles = lists["username_whitelist"].select("chat_id", F.col("username").alias("v"))
     if admins is not None:
-        allowed = allowed.unionByName(admins.filter("username IS NOT NULL").select(
-            "chat_id", F.lower("username").alias("username")))
+        handles = handles.unionByName(admins.filter("username IS NOT NULL").select(
+            "chat_id", F.lower("username").alias("v")))
     if own_username:
-        allowed = allowed.unionByName(chats.select(
-            "chat_id", F.lit(own_username.lower()).alias("username")))
-    phones = found.select("message_id", "chat_id", F.explode("phones").alias("phone"))
-
-    def known(values, entries, name, kind):
-        bad = (L.unknown_mentions if name == "username" else L.unknown_phones)(values, entries)
-        good = values.join(bad, ["message_id", "chat_id", name], "left_anti")
-        return good.select("message_id", F.lit(kind).alias("kind"), F.col(name).alias("v"))
-
-    good = (good_urls.unionByName(known(handles, allowed, "username", "handle"))
-            .unionByName(known(phones, lists["phone_whitelist"], "phone", "phone")))
+        handles = handles.unionByName(chats.select(
+            "chat_id", F.lit(own_username.lower()).alias("v")))
+    known = handles.withColumn("kind", F.lit("handle")).unionByName(
+        lists["phone_whitelist"].select("chat_id", F.col("phone").alias("v"),
+                                        F.lit("phone").alias("kind"))).distinct()
+    scoped = every.filter("kind <> 'url'").select(
+        "message_id", "kind", "v", F.explode(L.scopes()).alias("scope"))
+    good = scoped.join(L.broadcast_if_small(known.withColumnRenamed("chat_id", "scope")),
+                       ["scope", "kind", "v"], "left_semi").select("message_id", "kind", "v")
+    good = good.unionByName(good_urls)
 
     def pick(kind):
         return F.collect_set(F.when(F.col("kind") == kind, F.col("v")))
 
-    own = good.groupBy("message_id").agg(
+    return good.groupBy("message_id").agg(
         pick("url").alias("allow_domains"), pick("handle").alias("allow_usernames"),
         pick("phone").alias("allow_phones"))
-    return msgs.join(own, "message_id", "left")
 
 
 def scan(msgs: DataFrame, lists: Lists, chats: DataFrame, admins: DataFrame,
@@ -91,18 +97,16 @@ def scan(msgs: DataFrame, lists: Lists, chats: DataFrame, admins: DataFrame,
     m = L.blocked_sender(m, lists["blacklist"])
     m = L.exclude_trusted(m, lists["members"]) if "members" in lists else m
     m = L.forward_exempt(m, lists["forward_whitelist"])
-    m = with_defaults(m)
     m = m.withColumns({
-        "is_question": is_benign_question(m),
         "is_forward": F.col("is_forward") & ~F.col("may_forward"),
-        "forward_label": E.forward_label("forward_origin"),
-        "keep_text": normalize_keep_accents(F.concat_ws(
-            " ", F.nullif("text", F.lit("")), F.nullif("caption", F.lit("")), "qr_payloads",
-            F.nullif("ocr_text", F.lit(""))))})
+        "forward_label": E.forward_label("forward_origin")})
+    m = text_features(m, cfg).withColumn("keep_text", normalize_keep_accents(F.concat_ws(
+        " ", F.nullif("text", F.lit("")), F.nullif("caption", F.lit("")), "qr_payloads",
+        F.nullif("ocr_text", F.lit("")))))
     m = L.with_banned_hits(m, lists["keyword_blacklist"], chats,
                            skip=F.col("is_question") | F.col("is_blocked"))
     m = m.withColumn("forced_reason", forced_reason("is_blocked", "banned_hits"))
-    m = score_both(attach_lists(m, lists, chats, admins), cfg)
+    m = score_both(attach_lists(without_texts(m), lists, chats, admins), cfg)
     action = F.lit(cfg.action)
     if settings_log is not None:
         m = as_of(m, settings_log.filter("key = 'action'"), "value", "_mode")

@@ -27,6 +27,15 @@ def typed(df: DataFrame, ddl: str, mapping: dict[str, str] | None = None) -> Dat
     return df.select(*[one(f) for f in fields])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for text work when the input comes in fewer pieces than there are cores.
+
+    Large inputs already have more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_messages(spark: SparkSession, path: str, fmt: str = "parquet",
                   mapping: dict[str, str] | None = None) -> DataFrame:
     """Typed message table from parquet or JSON files; only mapped columns are scanned."""
