@@ -337,14 +337,15 @@ def _prior(spark, sf_dir):
 
 # --- the whole score --------------------------------------------------------------------
 
-_UNION = "\nUNION ALL ".join(
+UNION = "\nUNION ALL ".join(
     f"SELECT message_id, {i} AS pos, hard, soft, reason FROM ({rule_sql(n, BENIGN_SQL)})"
     for i, n in enumerate(ORDER))
+NORM_OF_TEXT = sql_norm("text")
 SCORE_VIEWS = FEATURES + f""",
 g AS (SELECT f.*, length(regexp_replace(body, '[^A-Za-z]', '', 'g')) AS latin,
   length(regexp_replace(lower(body), '[^авсеѕһіјкмнортухԁɡναβεικορτυχϲ]', '', 'g')) AS fakes,
   {sql_norm('text')} AS n FROM f),
-fired AS ({_UNION}),
+fired AS ({UNION}),
 pts AS (SELECT r.message_id, pos, hard * t + soft AS p, reason FROM fired r JOIN f USING (message_id)),
 sums AS (SELECT message_id, sum(p) AS base, string_agg(reason || ' (+' || CAST(p AS BIGINT) || ')',
   '; ' ORDER BY pos) AS why FROM pts GROUP BY 1),
