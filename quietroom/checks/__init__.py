@@ -1,4 +1,11 @@
 """Queries over the supplied tables, one per operator, with their SQL counterparts."""
 
-from . import entity_checks, list_checks, rule_checks, state_checks, text_checks  # noqa: F401
+from . import (  # noqa: F401
+    entity_checks,
+    list_checks,
+    report_checks,
+    rule_checks,
+    state_checks,
+    text_checks,
+)
 from .base import ORACLE, QUERIES  # noqa: F401

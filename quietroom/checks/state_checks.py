@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..config import ModerationConfig
+from ..functions import entities as E
 from ..operators import actions as A
 from ..operators import images as I
 from ..operators import state as T
@@ -144,20 +145,19 @@ def _scored_folder(spark, sf_dir):
     joins = load(spark, sf_dir, "joins")
 
     def score(batch, batch_id):
-        m = spark_messages(spark, batch)
+        m = spark_messages(batch)
         return live.stream_rows(scored_both(spark, sf_dir, m), joins if batch_id == 0 else None)
 
     live.start_batches(docs, score, path, checkpoint, available_now=True).awaitTermination()
     return path
 
 
-def spark_messages(spark, documents):
-    from ..functions.entities import forward_label
-    m = spark.sql(view_sql("messages", "spark"), documents=documents)
+def spark_messages(documents):
+    m = documents.sparkSession.sql(view_sql("messages", "spark"), documents=documents)
     payloads = F.when(F.col("qr_payload").isNotNull(), F.array("qr_payload")).otherwise(
         F.array().cast("array<string>"))
     return m.withColumns({"qr_payloads": payloads,
-                          "forward_label": forward_label("forward_origin")}).drop("qr_payload")
+                          "forward_label": E.forward_label("forward_origin")}).drop("qr_payload")
 
 
 @query("stream_verdicts", with_views(_USERS, *REPLAY_SOURCES, more=REPLAY, recursive=True))
@@ -231,11 +231,11 @@ def _event_stream(spark, sf_dir):
 
 # the last seconds stay open until the watermark passes them
 @query("stream_ban_brake", with_views(
-    "SELECT ts_s, recent_bans FROM burst WHERE recent_bans >= 3 AND ts_s < "
+    "SELECT ts_s, recent_bans FROM burst WHERE recent_bans >= 2 AND ts_s < "
     "(SELECT max(ts_s) FROM offences WHERE action IN ('ban', 'mute')) - 60", "offences",
-    more=BURST.format(w=600)))
+    more=BURST.format(w=60)))
 def _stream_brake(spark, sf_dir):
-    out = live.stream_ban_brake(_event_stream(spark, sf_dir), 3, 600)
+    out = live.stream_ban_brake(_event_stream(spark, sf_dir), 2, 60)
     path = new_folder(spark, "brake")
     live.start_offence_sink(out, path, new_folder(spark, "cp"), True).awaitTermination()
     done = spark.read.parquet(path)
@@ -372,7 +372,7 @@ def _purge(spark, sf_dir):
 SELECT users, chats, greatest(users * chats - pairs, 0) AS commands,
   round(greatest(users * chats - pairs, 0) / 600, 4) AS minutes_fast,
   round(greatest(users * chats - pairs, 0) / 300, 4) AS minutes_slow
-FROM (SELECT count(DISTINCT user_id) AS users, count(DISTINCT (chat_id, user_id)) AS pairs
+FROM (SELECT count(DISTINCT user_id) FILTER (user_id > 0) AS users, count(DISTINCT (chat_id, user_id)) AS pairs
   FROM offences WHERE action IN ('ban', 'mute')), (SELECT count(*) AS chats FROM managed_chats)""",
     "offences", "managed_chats"))
 def _estimate(spark, sf_dir):
@@ -398,9 +398,9 @@ def _classify(spark, sf_dir):
 _SVC_SQL = """
 svc AS (SELECT concat('svc:', n_nationkey) AS key, CASE n_nationkey WHEN 0 THEN 'join,title'
   WHEN 1 THEN 'pin,forum' ELSE '' END AS value FROM nation WHERE n_nationkey <= 2),
-wanted AS (SELECT c.chat_id, unnest(string_split(coalesce(own.value, glob.value), ',')) AS kind
+wanted AS (SELECT c.chat_id, unnest(string_split(coalesce(own.value, every.value), ',')) AS kind
   FROM managed_chats c LEFT JOIN svc own ON own.key = concat('svc:', c.chat_id)
-  LEFT JOIN svc glob ON glob.key = 'svc:0')"""
+  LEFT JOIN svc every ON every.key = 'svc:0')"""
 
 
 def service_settings(spark, sf_dir):
@@ -460,7 +460,7 @@ def _pick(spark, sf_dir):
 
 def _decoded(spark, sf_dir):
     s = load(spark, sf_dir, "image_signals")
-    return s.select("unique_id", "has_qr", F.when("has_qr", F.array("qr_payload")).otherwise(
+    return s.select("unique_id", "has_qr", F.when(F.col("has_qr"), F.array("qr_payload")).otherwise(
         F.array().cast("array<string>")).alias("qr_payloads"), "ocr_text")
 
 

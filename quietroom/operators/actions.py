@@ -118,7 +118,7 @@ def service_kinds(settings: DataFrame, chats: DataFrame, cfg: ModerationConfig)
     chosen = F.coalesce("value", everywhere)
     return chats.select("chat_id").distinct().join(rows, "chat_id", "left").select(
         "chat_id", F.when(chosen.isNull(), default).otherwise(
-            F.filter(F.split(chosen, ","), lambda k: k != "")).alias("kinds"))
+            F.array_remove(F.split(chosen, ","), "")).alias("kinds"))
 
 
 def service_delete_plan(msgs: DataFrame, settings: DataFrame, chats: DataFrame,

@@ -298,58 +298,69 @@ def ban_brake(offences: DataFrame, limit: int, window: int) -> DataFrame:
         "brake", (F.col("recent_bans") >= limit) & F.lit(limit > 0))
 
 
+def _brakes(seconds: DataFrame, before: DataFrame | None, cfg: ModerationConfig) -> DataFrame:
+    """First brake per stretch, given the brakes of the stretches before it.
+
+    ``seconds`` holds ``ts_s, bans, stretch``.  All bans of a stretch up to its own brake were
+    carried out, so its own are counted in full; of earlier stretches only those that their
+    brakes let through.
+    """
+    live = F.col("bans")
+    if before is not None:
+        seconds = seconds.join(broadcast_if_small(before), "stretch", "left")
+        live = (F.when(F.col("brake_s").isNull() | (F.col("ts_s") < F.col("brake_s")), live)
+                .when(F.col("ts_s") == F.col("brake_s"), F.col("kept")).otherwise(0))
+    block = F.floor(F.col("ts_s") / max(cfg.brake_window, 1))
+    copies = seconds.select("ts_s", "stretch", "bans", live.alias("live"), block.alias("own"))
+    copies = copies.withColumn("block", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    every = Window.partitionBy("block").orderBy("ts_s").rangeBetween(-cfg.brake_window, 0)
+    mine = Window.partitionBy("block", "stretch").orderBy("ts_s").rangeBetween(
+        -cfg.brake_window, 0)
+    recent = F.sum("live").over(every) - F.sum("live").over(mine) + F.sum("bans").over(mine)
+    fired = copies.withColumn("recent", recent).filter(
+        (F.col("block") == F.col("own")) & (F.col("recent") >= cfg.brake_limit))
+    first = fired.groupBy("stretch").agg(F.min(F.struct(
+        "ts_s", (F.col("recent") - F.col("bans")).alias("earlier"))).alias("at"))
+    # the ban that reached the limit is the last one of its second to be carried out
+    kept = F.greatest(F.lit(cfg.brake_limit) - F.col("at.earlier"), F.lit(1))
+    return first.select("stretch", F.col("at.ts_s").alias("brake_s"), kept.alias("kept"))
+
+
 def apply_brake(verdicts: DataFrame, resets: DataFrame, cfg: ModerationConfig) -> DataFrame:
     """``effective_action``: after a brake every action is ``report`` until the next reset.
 
     ``verdicts`` has ``id, ts_s, action``; ``resets`` has ``id, ts_s`` (moments at which an
-    admin switched punishing back on).  Only bans that were carried out count, and a reset
-    shortly after a brake still sees the bans before it.  Passes over the bans are repeated
-    until the brakes of all stretches between resets stand still; a stretch settles at most
-    three passes after the one before it.
+    admin switched punishing back on).  Only bans that were carried out count, and a stretch
+    that begins shortly after a brake still sees the bans before it.  The brakes are found
+    on per-second counts, in passes that are repeated until none of them moves; every pass
+    settles at least the earliest stretch that was not yet settled.
     """
     if cfg.brake_limit <= 0:
         return verdicts.withColumn("effective_action", F.col("action"))
     starts = resets.select("ts_s", "id", F.col("ts_s").alias("stretch"))
-    marked = as_of(verdicts, starts, "stretch", "_stretch").withColumn(
-        "_stretch", F.coalesce("_stretch", F.lit(_BEFORE_ALL)))
-    marked = staged(marked)
-    bans = marked.filter(F.col("action").isin(*BANNING)).select("ts_s", "id", "_stretch")
-    brakes = None
+    marked = staged(as_of(verdicts, starts, "stretch", "stretch").withColumn(
+        "stretch", F.coalesce("stretch", F.lit(_BEFORE_ALL))))
+    bans = marked.filter(F.col("action").isin(*BANNING))
+    seconds = staged(bans.groupBy("stretch", "ts_s").agg(F.count("*").alias("bans")))
+    brakes, seen = None, None
     while True:
-        alive = bans
-        if brakes is not None:
-            at = F.struct("ts_s", "id")
-            alive = bans.join(broadcast_if_small(brakes), "_stretch", "left").filter(
-                F.col("_brake").isNull() | (at <= F.col("_brake")))
-        per_second = staged(alive.groupBy("ts_s").agg(
-            F.count("*").alias("bans"), F.max("_stretch").alias("_stretch")))
-        fired = (_burst(per_second, cfg.brake_window)
-                 .filter(F.col("recent_bans") >= cfg.brake_limit)
-                 .groupBy("_stretch").agg(F.min(F.struct(
-                     "ts_s", (F.col("recent_bans") - F.col("bans")).alias("earlier"))
-                 ).alias("_at")))
-        # the very ban that reached the limit, within its second
-        rank = F.row_number().over(Window.partitionBy("_stretch", "ts_s").orderBy("id"))
-        second = alive.join(broadcast_if_small(
-            fired.select("_stretch", F.col("_at.ts_s").alias("ts_s"),
-                         F.col("_at.earlier").alias("earlier"))), ["_stretch", "ts_s"])
-        found = second.select("_stretch", "ts_s", "id", "earlier").withColumn("_rank", rank)
-        found = staged(found.filter(F.col("_rank") == F.greatest(
-            F.lit(cfg.brake_limit) - F.col("earlier"), F.lit(1))).select(
-            "_stretch", F.struct("ts_s", "id").alias("_brake")))
-        if brakes is not None and is_same(brakes, found):
+        brakes = staged(_brakes(seconds, brakes, cfg))
+        now = brakes.agg(F.count("*"), F.bit_xor(F.xxhash64("stretch", "brake_s", "kept"))).first()
+        if now == seen:
             break
-        brakes = found
-    out = marked.join(broadcast_if_small(brakes), "_stretch", "left")
-    stopped = F.coalesce(F.struct("ts_s", "id") > F.col("_brake"), F.lit(False))
+        seen = now
+    # only the bans of the second in which a brake fired are put in order
+    rank = F.row_number().over(Window.partitionBy("stretch").orderBy("id"))
+    second = bans.withColumnRenamed("ts_s", "brake_s").join(
+        broadcast_if_small(brakes), ["stretch", "brake_s"])
+    at = second.withColumn("rank", rank).filter("rank = kept").select(
+        "stretch", F.struct(F.col("brake_s").alias("ts_s"), "id").alias("brake"))
+    out = marked.join(broadcast_if_small(staged(at)), "stretch", "left")
+    stopped = F.coalesce(F.struct("ts_s", "id") > F.col("brake"), F.lit(False))
     return out.withColumn("effective_action", F.when(stopped, "report").otherwise(
         F.col("action"))).select(*verdicts.columns, "effective_action")
 
 
-def is_same(a: DataFrame, b: DataFrame) -> bool:
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
-
-
 # --- forgiving --------------------------------------------------------------------
 
 

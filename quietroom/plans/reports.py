@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import GLOBAL, ModerationConfig
 from ..functions import entities as E
+from ..functions.text import normalize_keep_accents
 from ..operators.actions import service_kinds
 from ..operators.lists import (blocked_sender, broadcast_if_small, effective_config,
                                forward_exempt, with_banned_hits)
@@ -46,7 +47,7 @@ def list_counts(lists: dict[str, DataFrame]) -> DataFrame:
     """Entries per list and scope; scope 0 is the list shared by all chats."""
     rows = reduce(DataFrame.unionByName, [
         lists[n].select("chat_id", F.lit(n).alias("list")) for n in COUNTED])
-    counts = rows.groupBy("chat_id").pivot("list", list(COUNTED)).agg(F.count("*"))
+    counts = rows.groupBy("chat_id").pivot("list", list(COUNTED)).agg(F.count("list"))
     return counts.na.fill(0)
 
 
@@ -132,14 +133,13 @@ def explain_messages(msgs: DataFrame, keywords: DataFrame, blacklist: DataFrame,
     exemption, no sender name, and none of the chat's own lists.  ``live`` takes the message
     columns as they are.
     """
-    from ..functions.text import normalize_keep_accents
     m = msgs
     if mode == "dry_run":
         m = m.drop("allow_domains", "allow_usernames", "allow_phones").withColumns({
             "is_new_member": F.lit(False), "is_question": F.lit(False), "sender_name": F.lit("")})
-    m = forward_exempt(blocked_sender(m, blacklist).withColumnRenamed("is_blocked", "_b")
-                       .withColumn("is_blocked", F.lit(False)), forwarders)
-    m = m.drop("is_blocked").withColumnRenamed("_b", "is_blocked")
+    # the note about forwarding is given to blocked senders too
+    m = forward_exempt(m.withColumn("is_blocked", F.lit(False)), forwarders).drop("is_blocked")
+    m = blocked_sender(m, blacklist)
     if mode == "live":
         m = m.withColumn("is_forward", F.col("is_forward") & (
             ~F.col("may_forward") | F.col("is_blocked")))

@@ -25,7 +25,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 SCORED = """message_id bigint, chat_id bigint, user_id bigint, ts_s bigint, is_msg int,
 points_new int, points_old int, why_new string, why_old string, forced_reason string,
 action string"""
-OFFENCES = """message_id bigint, ts_s bigint, is_new boolean, prior_offences bigint,
+OFFENCES = """message_id bigint, chat_id bigint, user_id bigint, ts_s bigint, is_new boolean, prior_offences bigint,
 score bigint, threshold bigint, reasons string, mode string"""
 STATE = "first_seen bigint, msg_count bigint, offences bigint"
 
@@ -119,7 +119,7 @@ class SenderHistory(StatefulProcessor):
                     why = f"{why}; prior_offences: {offences} (+{extra})"
             if score < limit:
                 continue
-            out.append((r.message_id, r.ts_s, new, offences, score, limit, why, r.action))
+            out.append((r.message_id, *key, r.ts_s, new, offences, score, limit, why, r.action))
             offences += 1
             if r.action == "ban":
                 seen, count = None, 0
