@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, SPACES, WORD, col
+from .text import NOT_LATIN1, SPACE, SPACES, WORD, col
 
 # --- fixed values -------------------------------------------------------------
 LINK_TLDS = (
@@ -18,15 +18,13 @@ URL = (
     r"(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+"
     rf"(?:{LINK_TLDS})(?![{WORD}])(?:/[^{SPACE}]*)?"
 )
-SPELLED_OUT_END = (
-    rf"(?:[dD][oO][tT]|[.,])[{SPACE}]*[)\]}}]?[{SPACE}]*"
-    rf"(?iu:com|net|org|io|xyz|top|vip|win|club|shop|live|me)(?![{WORD}])"
-)
+_SPELLED_TLD = (rf"[{SPACE}]*[)\]}}]?[{SPACE}]*"
+                rf"(?iu:com|net|org|io|xyz|top|vip|win|club|shop|live|me)(?![{WORD}])")
 SPELLED_OUT_URL = (
-    rf"(?iu)(?<![{WORD}])[a-z0-9][a-z0-9-]{{1,61}}[{SPACE}]*[(\[{{]?[{SPACE}]*"
-    + SPELLED_OUT_END
+    rf"(?iu)(?<![{WORD}])[a-z0-9][a-z0-9-]{{1,61}}[{SPACE}]*[(\[{{]?[{SPACE}]*(?:dot|\.|,)"
+    + _SPELLED_TLD
 )
-DOT_TLD = rf"(?iu)[a-z0-9]\.(?:{LINK_TLDS})"
+DOT_TLD = rf"(?iu)\.(?:{LINK_TLDS})"
 INVITE = r"(?i)(?:t\.me/\+|t\.me/joinchat/|telegram\.me/\+|telegram\.dog/)"
 MENTION = rf"(?<![{WORD}@/])@([A-Za-z][A-Za-z0-9_]{{4,31}})(?![{WORD}])"
 CRYPTO = (
@@ -34,8 +32,8 @@ CRYPTO = (
     rf"|T[1-9A-HJ-NP-Za-km-z]{{33}})(?![{WORD}])"
 )
 PHONE = (
-    rf"(?<![\p{{Nd}}+])0[35789]\p{{Nd}}(?:[{SPACE}.\-]?\p{{Nd}}){{7}}(?!\p{{Nd}})"
-    rf"|\+\p{{Nd}}{{1,3}}[{SPACE}.\-]?\p{{Nd}}(?:[{SPACE}.\-]?\p{{Nd}}){{5,13}}(?!\p{{Nd}})"
+    rf"(?=[0+])(?:(?<![\p{{Nd}}+])0[35789]\p{{Nd}}(?:[{SPACE}.\-]?\p{{Nd}}){{7}}(?!\p{{Nd}})"
+    rf"|\+\p{{Nd}}{{1,3}}[{SPACE}.\-]?\p{{Nd}}(?:[{SPACE}.\-]?\p{{Nd}}){{5,13}}(?!\p{{Nd}}))"
 )
 MONEY = (
     rf"(?iu)(?=\p{{Nd}})(?<![{WORD}])\p{{Nd}}{{2,4}}[{SPACE}]*"
@@ -60,6 +58,8 @@ OTHER_FORWARD = "nguồn khác"
 # ------------------------------------------------------------------------------
 
 CAPITALS = r"(?:[A-Z]|(?=[^\x00-\x7F])\p{Lu})+"
+_CAPITAL = r"(?:[A-Z]|(?=[^\x00-\x7F])\p{Lu})"
+THREE_CAPITALS = rf"{_CAPITAL}\P{{L}}*{_CAPITAL}\P{{L}}*{_CAPITAL}"
 NO_STRINGS = "array<string>"
 
 
@@ -194,7 +194,8 @@ def has_money_amount(c) -> Column:
 
 
 def emoji_count(c) -> Column:
-    return F.coalesce(F.regexp_count(col(c), F.lit(EMOJI)), F.lit(0))
+    t = col(c)
+    return F.when(t.rlike(NOT_LATIN1), F.regexp_count(t, F.lit(EMOJI))).otherwise(0)
 
 
 def caps_ratio(c) -> Column:
@@ -206,7 +207,8 @@ def caps_ratio(c) -> Column:
 
 def has_obfuscated_url(c) -> Column:
     """``name (dot) com`` and the like; its second half, quick to rule out, is tried first."""
-    return has(c, SPELLED_OUT_END) & has(c, SPELLED_OUT_URL)
+    ending = has(c, "[.,]" + _SPELLED_TLD) | has(c, "[dD][oO][tT]" + _SPELLED_TLD)
+    return ending & has(c, SPELLED_OUT_URL)
 
 
 def has_invite_link(c) -> Column:

@@ -34,6 +34,10 @@ def any_of(phrases) -> str:
     return f"(?=[{''.join(re.escape(c) for c in anchored)}])(?:{'|'.join(groups)})"
 
 
+def has_any_keyword(norm) -> Column:
+    return col(norm).rlike(any_of([p for tier in TIERS.values() for p in tier]))
+
+
 def keyword_hits(norm, tier: str) -> Column:
     """Phrases of one tier found in canonical text, in alphabetical order."""
     n = col(norm)

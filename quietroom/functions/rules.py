@@ -171,7 +171,10 @@ def rule_obfuscation(text) -> Column:
 
 
 def rule_caps(text) -> Column:
-    return _fires(E.caps_ratio(text) > CAPS_RATIO, "capitals", soft=1)
+    """Among 25 or more letters, over 70 % capitals mean three in a row somewhere; texts
+    without that are not counted out."""
+    loud = E.has(text, E.THREE_CAPITALS) & (E.caps_ratio(text) > CAPS_RATIO)
+    return _fires(loud, "capitals", soft=1)
 
 
 def rule_emoji(text) -> Column:

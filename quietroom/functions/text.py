@@ -25,14 +25,14 @@ LOOKALIKES.update(zip("αβεικορτυχϲ", "abeikoptuxc"))  # Greek
 LOOKALIKES.update(zip("０１２３４５６７８９", "0123456789"))  # full width
 # Digits and signs used as letters.
 LEET = dict(zip("013457@$", "oieastas"))
-# Question phrases, matched on accent-free canonical text.
+# Question phrases, matched on accent-free canonical text with a space put around it.
 QUESTION = "|".join((
-    r"\bco\b.{0,40}\b(?:khong|ko|k|hong|hem)\b",
-    r"\b(?:phai khong|dung khong|that khong|co that|thuc hu|hay khong)\b",
-    r"\b(?:cho hoi|cho minh hoi|cho em hoi|xin hoi|hoi chut|ai biet|co ai biet|ai tung"
-    r"|ad oi|admin oi|anh chi oi|moi nguoi oi)\b",
-    r"\b(?:the nao|nhu nao|nhu the nao|sao vay|tai sao|vi sao|co nen|nen khong)\b",
-    r"\b(?:vay a|vay ta|ha ban|nhi|the a)\s*$",
+    r" co(?= ).{1,40}(?<= )(?:khong|ko|k|hong|hem) ",
+    r" (?:phai khong|dung khong|that khong|co that|thuc hu|hay khong) ",
+    r" (?:cho hoi|cho minh hoi|cho em hoi|xin hoi|hoi chut|ai biet|co ai biet|ai tung"
+    r"|ad oi|admin oi|anh chi oi|moi nguoi oi) ",
+    r" (?:the nao|nhu nao|nhu the nao|sao vay|tai sao|vi sao|co nen|nen khong) ",
+    r" (?:vay a|vay ta|ha ban|nhi|the a) $",
 ))
 # Word characters and white space as the scoring rules understand them.
 WORD = r"\p{L}\p{N}_"
@@ -44,7 +44,11 @@ SPACE = (r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
 INVISIBLE = "".join(chr(c) for lo, hi in INVISIBLE_RANGES for c in range(lo, hi + 1))
 # Classes of rare characters are slow to test; a look at "not ASCII" first spares most tests.
 ANY_INVISIBLE = rf"(?=[^\x00-\x7F])[{INVISIBLE}]"
-ANY_LOOKALIKE = rf"(?=[^\x00-\x7F])[{''.join(LOOKALIKES)}]"
+_LOOKALIKE_CASES = "".join(chr(c) for c in range(0x80, 0x10000) if chr(c).lower() in LOOKALIKES)
+ANY_LOOKALIKE = rf"(?=[^\x00-\x7F])[{_LOOKALIKE_CASES}]"
+# letter, mark, letter, mark ... four times; begins at a mark, which most characters are not
+SPLIT_LETTERS = rf"(?<=[{WORD}])[.\-_*|](?:[{WORD}][.\-_*|]){{3}}[{WORD}]"
+NOT_LATIN1 = r"[^\x00-\xFF]"
 ICU_NORMALIZER = "com.ibm.icu.text.Normalizer"
 NOT_ASCII = r"[^\x00-\x7F]"
 
@@ -113,7 +117,8 @@ def normalize(c) -> Column:
     drawn.  Every step uses the one before it once, so nothing is computed twice.
     """
     folded = _translate(F.lower(nfkc(c)), _to_plain_letters(), INVISIBLE)
-    words = F.regexp_replace(F.regexp_replace(folded, r"\p{Mn}+", ""), "[^a-z0-9]+", " ")
+    folded = F.regexp_replace(folded, r"\p{Mn}+", "")
+    words = F.regexp_replace(folded, "[^a-z0-9]+", " ")
     return F.trim(collapse_repeats(words))
 
 
@@ -140,13 +145,14 @@ def squeeze_keep_accents(c) -> Column:
 def obfuscation_score(c) -> Column:
     """3 for hidden characters, 3 for look-alike letters, 2 for s.p.l.i.t letters."""
     t = col(c)
-    hidden = t.rlike(NOT_ASCII) & t.rlike(ANY_INVISIBLE)
+    odd = t.rlike(NOT_LATIN1)
+    hidden = t.contains("\u00ad") | (odd & t.rlike(ANY_INVISIBLE))
     latin = F.regexp_count(t, F.lit(r"[A-Za-z\x{130}\x{212A}]"))
-    fakes = F.regexp_count(F.lower(t), F.lit(ANY_LOOKALIKE))
+    fakes = F.regexp_count(t, F.lit(ANY_LOOKALIKE))
     # letters are only counted in texts that hold a look-alike at all
-    fake_enough = (t.rlike(NOT_ASCII) & F.lower(t).rlike(ANY_LOOKALIKE)
+    fake_enough = (odd & t.rlike(ANY_LOOKALIKE)
                    & (fakes >= F.greatest(F.lit(2), F.floor(latin / 10))))
-    split_letters = t.rlike(rf"(?:[{WORD}][.\-_*|]){{4}}[{WORD}]")
+    split_letters = t.rlike(SPLIT_LETTERS)
     points = (F.when(hidden, 3).otherwise(0) + F.when(fake_enough, 3).otherwise(0)
               + F.when(split_letters, 2).otherwise(0))
     return F.coalesce(points, F.lit(0)).cast("int")
@@ -155,5 +161,5 @@ def obfuscation_score(c) -> Column:
 def looks_like_question(c, norm=None) -> Column:
     """``norm`` may pass in an already canonicalised column."""
     t = col(c)
-    plain = normalize(t) if norm is None else col(norm)
+    plain = F.concat(F.lit(" "), normalize(t) if norm is None else col(norm), F.lit(" "))
     return F.coalesce(t.contains("?") | plain.rlike(QUESTION), F.lit(False))

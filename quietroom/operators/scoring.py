@@ -9,7 +9,7 @@ from ..config import FORCED_SCORE, ModerationConfig
 from ..functions import entities as E
 from ..functions import rules as R
 from ..functions.dictionaries import WEIGHTS
-from ..functions.phrases import keyword_hits, noisy_keyword_points
+from ..functions.phrases import has_any_keyword, keyword_hits, noisy_keyword_points
 from ..functions.text import looks_like_question, normalize, squeeze_spaces
 
 SIGNAL = "struct<reason:string,points:int>"
@@ -50,7 +50,7 @@ def is_benign_question(norm=None) -> Column:
 
 
 HEAVY = ("text", "caption", "ocr_text", "entity_urls", "mentions", "body", "scannable", "norm",
-         "norm_name", "squeezed", "keep_text")
+         "norm_name", "squeezed", "keep_text", "any_hit")
 
 
 def text_features(df: DataFrame, cfg: ModerationConfig) -> DataFrame:
@@ -81,9 +81,11 @@ def text_features(df: DataFrame, cfg: ModerationConfig) -> DataFrame:
         "squeezed": squeeze_spaces("norm"),
         "hosts": E.real_hosts("urls"),
         "has_words": F.col("norm") != "",
-        **{f"{t}_hits": F.when(scan, keyword_hits("norm", t)).otherwise(E.no_strings())
-           for t in WEIGHTS},
+        "any_hit": scan & has_any_keyword("norm"),
     })
+    df = df.withColumns({
+        f"{t}_hits": F.when(F.col("any_hit"), keyword_hits("norm", t)).otherwise(E.no_strings())
+        for t in WEIGHTS})
     noisy = noisy_keyword_points("strong_hits", "medium_hits", "squeezed")
     return df.withColumns({
         "noisy_points": F.when(scan, noisy).otherwise(0),
