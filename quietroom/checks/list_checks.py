@@ -161,32 +161,35 @@ def _effective_list(spark, sf_dir):
 
 
 def _eff(list_name, value, out):
-    return (f"(SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {value} AS v FROM "
-            f"{list_name} w WHERE w.chat_id IN (c.chat_id, 0))) AS {out}")
-
-
-@query("chat_rules", with_views(
-    "SELECT c.chat_id, " + ", ".join([
-        _eff("chat_whitelist", "domain", "domains"),
-        "(SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT username AS v FROM username_whitelist w "
-        "WHERE w.chat_id IN (c.chat_id, 0) UNION SELECT lower(username) FROM admins a "
-        "WHERE a.chat_id = c.chat_id UNION SELECT 'guardian')) AS usernames",
-        f"(SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {sql_keep('phrase')} || '/' || "
-        f"{sql_norm('phrase')} AS v FROM keyword_blacklist w WHERE w.chat_id IN (c.chat_id, 0))) "
-        "AS phrases",
-        _eff("forward_whitelist", "CAST(user_id AS VARCHAR)", "exempt"),
-        _eff("blacklist", "CAST(entity_id AS VARCHAR)", "blocked")]) + " FROM managed_chats c",
-    "managed_chats", "admins", "chat_whitelist", "username_whitelist", "keyword_blacklist",
-    "forward_whitelist", "blacklist"))
+    return (f"SELECT DISTINCT c.chat_id, '{out}' AS list, CAST({value} AS VARCHAR) AS value FROM "
+            f"managed_chats c JOIN {list_name} w ON w.chat_id IN (c.chat_id, 0)")
+
+
+RULE_ROWS = "\nUNION ".join([
+    *[_eff(name, value, out) for name, (value, out) in L.BUNDLE.items()],
+    "SELECT chat_id, 'allow_usernames', lower(username) FROM admins WHERE chat_id IN "
+    "(SELECT chat_id FROM managed_chats)",
+    "SELECT chat_id, 'allow_usernames', 'guardian' FROM managed_chats"])
+
+
+@query("chat_rules", with_views(RULE_ROWS, "managed_chats", "admins", *L.BUNDLE))
 def _chat_rules(spark, sf_dir):
-    rules = L.chat_rules(lists_of(spark, sf_dir, *L.BUNDLE), load(spark, sf_dir, "managed_chats"),
-                         load(spark, sf_dir, "admins"), "Guardian")
+    return L.effective_entries(lists_of(spark, sf_dir, *L.BUNDLE),
+                               load(spark, sf_dir, "managed_chats"), load(spark, sf_dir, "admins"),
+                               "Guardian")
+
+
+@query("chat_rule_bundle", with_views(
+    f"SELECT c.chat_id, string_agg(v, '|' ORDER BY v) AS phrases FROM managed_chats c JOIN "
+    f"(SELECT DISTINCT c.chat_id, {sql_keep('phrase')} || '/' || {sql_norm('phrase')} AS v FROM "
+    "managed_chats c JOIN keyword_blacklist w ON w.chat_id IN (c.chat_id, 0)) USING (chat_id) "
+    "GROUP BY 1", "managed_chats", "keyword_blacklist"))
+def _chat_bundle(spark, sf_dir):
+    only = ("keyword_blacklist",)
+    entries = L.effective_entries(lists_of(spark, sf_dir, *only),
+                                  load(spark, sf_dir, "managed_chats"), names=only)
     forms = F.transform("phrases", lambda p: F.concat(p["keep"], F.lit("/"), p["plain"]))
-    ids = lambda c: joined(F.transform(c, lambda i: i.cast("string")))
-    return rules.select("chat_id", joined("allow_domains").alias("domains"),
-                        joined("allow_usernames").alias("usernames"),
-                        joined(forms).alias("phrases"), ids("exempt_ids").alias("exempt"),
-                        ids("blocked_ids").alias("blocked"))
+    return L.chat_rules(entries, only).select("chat_id", joined(forms).alias("phrases"))
 
 
 # --- look-ups ----------------------------------------------------------------------------

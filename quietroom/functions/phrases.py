@@ -53,9 +53,12 @@ def keyword_points(hits, weight) -> Column:
 
 def noisy_keyword_points(strong_hits, medium_hits, squeezed) -> Column:
     """Phrases hidden by spaces between letters: 3 for a strong one, else 2 for a medium."""
-    strong = (F.size(col(strong_hits)) == 0) & col(squeezed).rlike(any_of(squeezed_phrases("strong")))
-    medium = (F.size(col(medium_hits)) == 0) & col(squeezed).rlike(any_of(squeezed_phrases("medium")))
-    return F.when(strong, 3).when(medium, 2).otherwise(0)
+    s = col(squeezed)
+    found = {tier: s.rlike(any_of(squeezed_phrases(tier))) for tier in ("strong", "medium")}
+    either = s.rlike(any_of(squeezed_phrases("strong") + squeezed_phrases("medium")))
+    points = (F.when((F.size(col(strong_hits)) == 0) & found["strong"], 3)
+              .when((F.size(col(medium_hits)) == 0) & found["medium"], 2).otherwise(0))
+    return F.when(either, points).otherwise(0)
 
 
 def phrase_forms(phrase) -> Column:
@@ -67,20 +70,20 @@ def phrase_forms(phrase) -> Column:
         squeeze_spaces(plain).alias("plain_squeezed"))
 
 
-def banned_phrase_hits(keep, forms) -> Column:
-    """Banned phrases in accent-keeping canonical text.
+def banned_phrase_hits(squeezed, forms) -> Column:
+    """Banned phrases in accent-keeping canonical text, given without its spaces.
 
-    An empty spelling would be found in every text; it is ignored.
+    A phrase counts when its accented or plain spelling is in the text, or either spelling
+    without spaces in the text without spaces.  The former implies the latter, so only the
+    latter is looked for.  An empty spelling would be found in every text; it is ignored.
     """
-    k = col(keep)
-    squeezed = squeeze_spaces(k)
+    s = col(squeezed)
 
-    def inside(form: Column, text: Column) -> Column:
-        return (form != "") & text.contains(form)
+    def inside(form: Column) -> Column:
+        return (form != "") & s.contains(form)
 
-    hits = F.filter(col(forms), lambda f: (
-        inside(f["keep"], k) | inside(f["plain"], k)
-        | inside(f["keep_squeezed"], squeezed) | inside(f["plain_squeezed"], squeezed)))
+    hits = F.filter(col(forms), lambda f: inside(f["keep_squeezed"]) | (
+        (f["plain_squeezed"] != f["keep_squeezed"]) & inside(f["plain_squeezed"])))
     hits = F.transform(hits, lambda f: f["phrase"])
-    return F.when((k != "") & (F.size(col(forms)) > 0), F.array_sort(hits)
+    return F.when((s != "") & (F.size(col(forms)) > 0), F.array_sort(hits)
                   ).otherwise(no_strings())

@@ -47,7 +47,7 @@ ANY_INVISIBLE = rf"(?=[^\x00-\x7F])[{INVISIBLE}]"
 _LOOKALIKE_CASES = "".join(chr(c) for c in range(0x80, 0x10000) if chr(c).lower() in LOOKALIKES)
 ANY_LOOKALIKE = rf"(?=[^\x00-\x7F])[{_LOOKALIKE_CASES}]"
 # letter, mark, letter, mark ... four times; begins at a mark, which most characters are not
-SPLIT_LETTERS = rf"(?<=[{WORD}])[.\-_*|](?:[{WORD}][.\-_*|]){{3}}[{WORD}]"
+SPLIT_LETTERS = rf"[.\-_*|](?<=[{WORD}].)(?:[{WORD}][.\-_*|]){{3}}[{WORD}]"
 NOT_LATIN1 = r"[^\x00-\xFF]"
 ICU_NORMALIZER = "com.ibm.icu.text.Normalizer"
 NOT_ASCII = r"[^\x00-\x7F]"

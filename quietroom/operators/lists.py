@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..config import ACTIONS, GLOBAL, SWITCHES, ModerationConfig
 from ..functions import entities as E
 from ..functions.phrases import banned_phrase_hits, phrase_forms
+from ..functions.text import squeeze_spaces
 
-MAX_BROADCAST_ROWS = 50_000
+MAX_BROADCAST_ROWS = 500_000  # of a few short columns each
 # A chat's bundle of list entries travels with its messages; beyond this many entries in
 # all, the lists are joined as tables instead.
 MAX_BUNDLE_ENTRIES = 500
@@ -173,9 +174,10 @@ BUNDLE = {  # list name -> (value column, name in the bundle)
 }
 
 
-def chat_rules(lists: dict[str, DataFrame], chats: DataFrame, admins: DataFrame | None = None,
-               own_username: str = "", names: tuple[str, ...] = tuple(BUNDLE)) -> DataFrame:
-    """One row per chat with its effective lists as arrays and its banned phrases prepared.
+def effective_entries(lists: dict[str, DataFrame], chats: DataFrame,
+                      admins: DataFrame | None = None, own_username: str = "",
+                      names: tuple[str, ...] = tuple(BUNDLE)) -> DataFrame:
+    """All that holds in a chat as rows ``(chat_id, list, value)``, values as text.
 
     Admins of the chat and the moderator itself may always be mentioned.
     """
@@ -194,11 +196,18 @@ def chat_rules(lists: dict[str, DataFrame], chats: DataFrame, admins: DataFrame
                                       F.lit(own_username.lower()).alias("value")))
     rows = reduce(DataFrame.unionByName, parts)
     seen = chats.select("chat_id", F.explode(scopes()).alias("scope")).distinct()
-    rows = seen.join(rows.withColumnRenamed("chat_id", "scope"), "scope", "left").select(
+    return seen.join(rows.withColumnRenamed("chat_id", "scope"), "scope").select(
         "chat_id", "list", "value").distinct()
+
+
+def chat_rules(entries: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """One row per chat with its effective lists as arrays, banned phrases prepared.
+
+    For lists whose size was checked: the arrays travel with each message of the chat.
+    """
     if "keyword_blacklist" in names:
-        forms = F.when(F.col("list") == "banned", phrase_forms("value"))
-        rows = rows.withColumn("_forms", forms)
+        entries = entries.withColumn("_forms", F.when(F.col("list") == "banned",
+                                                      phrase_forms("value")))
 
     def gather(bundled: str) -> Column:
         mine = F.col("list") == bundled
@@ -209,7 +218,7 @@ def chat_rules(lists: dict[str, DataFrame], chats: DataFrame, admins: DataFrame
         return F.sort_array(F.collect_set(
             F.when(mine, F.col("value").cast(kind)))).alias(bundled)
 
-    return rows.groupBy("chat_id").agg(*[gather(BUNDLE[n][1]) for n in names])
+    return entries.groupBy("chat_id").agg(*[gather(BUNDLE[n][1]) for n in names])
 
 
 def with_banned_hits(msgs: DataFrame, keywords: DataFrame, chats: DataFrame,
@@ -221,10 +230,15 @@ def with_banned_hits(msgs: DataFrame, keywords: DataFrame, chats: DataFrame,
     """
     skip = F.lit(False) if skip is None else skip
     if is_small(keywords, MAX_PHRASES):
-        bundle = chat_rules({"keyword_blacklist": keywords}, chats, names=("keyword_blacklist",))
-        joined = msgs.join(F.broadcast(bundle), "chat_id", "left")
-        phrases = F.coalesce("phrases", F.array())
-        hits = F.when(skip, E.no_strings()).otherwise(banned_phrase_hits(text, phrases))
+        only = ("keyword_blacklist",)
+        entries = effective_entries({only[0]: keywords}, chats, names=only)
+        bundle = chat_rules(entries, only).withColumn("phrases", F.transform(
+            "phrases", lambda p: F.struct(p["phrase"].alias("phrase"),
+                                          p["keep_squeezed"].alias("keep_squeezed"),
+                                          p["plain_squeezed"].alias("plain_squeezed"))))
+        joined = msgs.join(F.broadcast(bundle), "chat_id", "left").withColumns({
+            "phrases": F.coalesce("phrases", F.array()), "_squeezed": squeeze_spaces(text)})
+        hits = F.when(skip, E.no_strings()).otherwise(banned_phrase_hits("_squeezed", "phrases"))
         return joined.withColumn("banned_hits", hits).select(*msgs.columns, "banned_hits")
     pieces = keywords.count() // (MAX_PHRASES // 2) + 1
     bundles = [keywords.filter(F.pmod(F.xxhash64("phrase"), F.lit(pieces)) == i)

@@ -30,8 +30,8 @@ def attach_lists(features: DataFrame, lists: Lists, chats: DataFrame,
     """
     sizes = [lists[n].limit(L.MAX_BUNDLE_ENTRIES + 1).count() for n in ENTITY_LISTS]
     if sum(sizes) <= L.MAX_BUNDLE_ENTRIES:
-        bundle = L.chat_rules({n: lists[n] for n in ENTITY_LISTS}, chats, admins, own_username,
-                              ENTITY_LISTS)
+        entries = L.effective_entries(lists, chats, admins, own_username, ENTITY_LISTS)
+        bundle = L.chat_rules(entries, ENTITY_LISTS)
         return features.join(F.broadcast(bundle), "chat_id", "left")
     features = staged(features)
     allowed = allowed_entities(features, lists, chats, admins, own_username)
