@@ -270,7 +270,28 @@ def _dedupe(spark, sf_dir):
 # --- the brake fed back, forgiveness ------------------------------------------------------
 
 
-@query("apply_brake")
+@query("apply_brake", with_views("""
+SELECT id, ts_s, action, eff AS effective_action FROM fold WHERE kind = 1
+UNION ALL SELECT e.id, e.ts_s, e.action, CASE WHEN f.off THEN 'report' ELSE e.action END
+FROM (SELECT * FROM ev WHERE kind = 1 AND action NOT IN ('ban', 'mute')) e
+ASOF JOIN fold f ON e.rn >= f.rn""", "offences", "settings_log", more="""
+ev AS (SELECT *, row_number() OVER (ORDER BY ts_s, kind, id) AS rn FROM (
+  SELECT id, ts_s, action, 1 AS kind FROM offences
+  UNION ALL SELECT id, ts_s, value, 0 FROM settings_log WHERE key = 'action'
+    AND value IN ('ban', 'mute'))),
+steps AS (SELECT *, row_number() OVER (ORDER BY rn) AS step FROM ev
+  WHERE kind = 0 OR action IN ('ban', 'mute')),
+fold AS (
+  SELECT CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS id,
+    CAST(0 AS BIGINT) AS ts_s, '' AS action, 0 AS kind, '' AS eff, CAST([] AS BIGINT[]) AS recent,
+    FALSE AS off
+  UNION ALL
+  SELECT step, rn, id, ts_s, action, kind, CASE WHEN off0 THEN 'report' ELSE action END, now,
+    off0 OR (carried AND len(now) >= 5)
+  FROM (SELECT *, CASE WHEN carried THEN list_append(past, ts_s) ELSE past END AS now FROM (
+    SELECT e.*, e.kind = 1 AND f.off AS off0, e.kind = 1 AND NOT f.off AS carried,
+      list_filter(f.recent, lambda t: t >= e.ts_s - 3600) AS past
+    FROM fold f JOIN steps e ON e.step = f.step + 1)))""", recursive=True))
 def _apply_brake(spark, sf_dir):
     cfg = ModerationConfig(brake_limit=5, brake_window=3600)
     log = load(spark, sf_dir, "settings_log").filter(
