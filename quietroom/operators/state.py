@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import ModerationConfig
 from ..sources.storage import staged
-from .lists import broadcast_if_small, is_small
+from .lists import MAX_BROADCAST_ROWS, broadcast_if_small, is_small
 from .running import running
 from .scoring import forced_verdict, total, verdict
 
@@ -307,7 +307,7 @@ def _brakes(seconds: DataFrame, before: DataFrame | None, cfg: ModerationConfig)
     """
     live = F.col("bans")
     if before is not None:
-        seconds = seconds.join(broadcast_if_small(before), "stretch", "left")
+        seconds = seconds.join(before, "stretch", "left")
         live = (F.when(F.col("brake_s").isNull() | (F.col("ts_s") < F.col("brake_s")), live)
                 .when(F.col("ts_s") == F.col("brake_s"), F.col("kept")).otherwise(0))
     block = F.floor(F.col("ts_s") / max(cfg.brake_window, 1))
@@ -345,14 +345,17 @@ def apply_brake(verdicts: DataFrame, resets: DataFrame, cfg: ModerationConfig) -
     brakes, seen = None, None
     while True:
         brakes = staged(_brakes(seconds, brakes, cfg))
-        now = brakes.agg(F.count("*"), F.bit_xor(F.xxhash64("stretch", "brake_s", "kept"))).first()
+        now = brakes.agg(F.count("*").alias("n"),
+                         F.bit_xor(F.xxhash64("stretch", "brake_s", "kept"))).first()
+        if now["n"] <= MAX_BROADCAST_ROWS:
+            brakes = F.broadcast(brakes)
         if now == seen:
             break
         seen = now
     # only the bans of the second in which a brake fired are put in order
     rank = F.row_number().over(Window.partitionBy("stretch").orderBy("id"))
     second = bans.withColumnRenamed("ts_s", "brake_s").join(
-        broadcast_if_small(brakes), ["stretch", "brake_s"])
+        brakes, ["stretch", "brake_s"])
     at = second.withColumn("rank", rank).filter("rank = kept").select(
         "stretch", F.struct(F.col("brake_s").alias("ts_s"), "id").alias("brake"))
     out = marked.join(broadcast_if_small(staged(at)), "stretch", "left")

@@ -25,14 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write a table that several later steps read, so that it is computed once.
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    A reliable checkpoint survives the loss of executors, unlike cached blocks.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write a table that several later steps read, and read it back.
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    It is computed once (a checkpoint would compute it twice), survives the loss of
+    executors, and its size is known to the steps that follow.
+    """
+    path = new_folder(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
