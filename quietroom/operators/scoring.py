@@ -23,7 +23,8 @@ _MESSAGE_DEFAULTS = {
     "has_qr": ("boolean", False), "qr_payloads": ("array<string>", []),
     "ocr_text": ("string", ""),
     "sender_name": ("string", ""), "is_real_admin": ("boolean", False),
-    "has_story": ("boolean", False),
+    "has_story": ("boolean", False), "has_entities": ("boolean", False),
+    "forward_origin": ("string", None),
 }
 
 

@@ -9,9 +9,10 @@ from ..config import ModerationConfig
 from ..functions import entities as E
 from ..functions.text import normalize_keep_accents
 from ..operators import lists as L
-from ..operators.scoring import forced_reason, score_both, text_features, without_texts
-from ..sources.storage import staged
+from ..operators.scoring import (forced_reason, score_both, text_features, with_defaults,
+                                 without_texts)
 from ..operators.state import as_of, exclude_paused, replay_verdicts
+from ..sources.storage import staged
 
 Lists = dict[str, DataFrame]
 
@@ -97,6 +98,7 @@ def scan(msgs: DataFrame, lists: Lists, chats: DataFrame, admins: DataFrame,
     m = L.blocked_sender(m, lists["blacklist"])
     m = L.exclude_trusted(m, lists["members"]) if "members" in lists else m
     m = L.forward_exempt(m, lists["forward_whitelist"])
+    m = with_defaults(m)
     m = m.withColumns({
         "is_forward": F.col("is_forward") & ~F.col("may_forward"),
         "forward_label": E.forward_label("forward_origin")})

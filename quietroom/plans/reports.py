@@ -13,7 +13,7 @@ from ..functions.text import normalize_keep_accents
 from ..operators.actions import service_kinds
 from ..operators.lists import (blocked_sender, broadcast_if_small, effective_config,
                                forward_exempt, with_banned_hits)
-from ..operators.scoring import score_messages
+from ..operators.scoring import score_messages, with_defaults
 from ..operators.state import BANNING, DAY
 
 
@@ -133,7 +133,7 @@ def explain_messages(msgs: DataFrame, keywords: DataFrame, blacklist: DataFrame,
     exemption, no sender name, and none of the chat's own lists.  ``live`` takes the message
     columns as they are.
     """
-    m = msgs
+    m = with_defaults(msgs)
     if mode == "dry_run":
         m = m.drop("allow_domains", "allow_usernames", "allow_phones").withColumns({
             "is_new_member": F.lit(False), "is_question": F.lit(False), "sender_name": F.lit("")})
