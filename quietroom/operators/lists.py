@@ -7,6 +7,7 @@ keeps every look-up an equi-join.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -275,6 +276,11 @@ def effective_config(settings: DataFrame, cfg: ModerationConfig) -> DataFrame:
         *[switch(s) for s in SWITCHES])
 
 
+def resolve_config(settings: DataFrame, cfg: ModerationConfig) -> ModerationConfig:
+    """The configuration with the stored switches and action applied (one row is fetched)."""
+    return replace(cfg, **effective_config(settings, cfg).first().asDict())
+
+
 def latest_settings(log: DataFrame) -> DataFrame:
     """Current value per key of a settings change log."""
     last = F.max_by("value", F.struct("ts_s", "id"))

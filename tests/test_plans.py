@@ -185,3 +185,10 @@ def test_moderate_from_files(spark):
                  for r in out.collect())
     # 2: two strong phrases; 3 and 4: new again after a ban, 1 + 2 and 1 + 4 points
     assert got == [(2, True, 0, 4, "ban"), (3, True, 1, 3, "ban"), (4, True, 2, 5, "ban")]
+
+
+def test_stored_settings_win(spark):
+    s = spark.createDataFrame([("cfg:block_links", "0"), ("cfg:scan_qr", "yes"), ("action", " MUTE ")],
+                              "key string, value string")
+    cfg = L.resolve_config(s, ModerationConfig(scan_qr=False, mute_seconds=7))
+    assert (cfg.block_links, cfg.scan_qr, cfg.action, cfg.mute_seconds) == (False, False, "mute", 7)
