@@ -80,8 +80,8 @@ def read_rules(spark: SparkSession, folder: str, fmt: str = "parquet") -> dict[s
 
 
 def write_offences(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Append offence rows, one folder per day."""
-    day = F.to_date(F.timestamp_seconds("ts_s"))
+    """Append offence rows, one folder per day (UTC)."""
+    day = F.date_from_unix_date(F.floor(F.col("ts_s") / 86400).cast("int"))
     rows.withColumn("date", day).write.mode(mode).partitionBy("date").parquet(path)
 
 
