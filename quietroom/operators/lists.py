@@ -17,6 +17,7 @@ from ..config import ACTIONS, GLOBAL, SWITCHES, ModerationConfig
 from ..functions import entities as E
 from ..functions.phrases import banned_phrase_hits, phrase_forms
 from ..functions.text import squeeze_spaces
+from ..sources.storage import staged
 
 MAX_BROADCAST_ROWS = 500_000  # of a few short columns each
 # A chat's bundle of list entries travels with its messages; beyond this many entries in
@@ -247,9 +248,9 @@ def with_banned_hits(msgs: DataFrame, keywords: DataFrame, chats: DataFrame,
     unsure = msgs.filter(~skip).select("message_id", "chat_id", text)
     found = [with_banned_hits(unsure, b, chats, text).filter(F.size("banned_hits") > 0)
              .select("message_id", F.explode("banned_hits").alias("_hit")) for b in bundles]
-    hits = reduce(DataFrame.unionByName, found).groupBy("message_id").agg(
-        F.sort_array(F.collect_set("_hit")).alias("banned_hits"))
-    return msgs.join(hits, "message_id", "left").withColumn(
+    hits = staged(reduce(DataFrame.unionByName, found).groupBy("message_id").agg(
+        F.sort_array(F.collect_set("_hit")).alias("banned_hits")))
+    return msgs.join(broadcast_if_small(hits), "message_id", "left").withColumn(
         "banned_hits", F.coalesce("banned_hits", E.no_strings()))
 
 
