@@ -7,12 +7,33 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import staged
+from ..sources.storage import staged as _staged
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: White space in the sense of all contracts: blank, tab, line feed, VT, FF, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Stage a table in the shared folder, and let Spark delete the shuffle files of the job
+    when it is done, as a long chain of steps would otherwise keep the files of all of them."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return _staged(df)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a staged table that no later step reads."""
+    for file in df.inputFiles()[:1]:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the third of documents that no classifier may learn from; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

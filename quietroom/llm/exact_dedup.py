@@ -31,8 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import staged
-from .common import log2_parts
+from .common import log2_parts, staged
 
 #: Runs that are not one blank already: replacing only these gives the same text sooner.
 _RUN = r"[\t-\r][ \t-\r]*| [ \t-\r]+"

@@ -26,12 +26,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import staged
-from .common import log2_parts, numbered, word_count
+from .common import log2_parts, numbered, staged, word_count
 
 MAX_REPEATS = 3
 BLOCK_WORDS = 1024
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 4_000
 CHUNK_SLOTS = 1 << 16
 SALTS = 16
 SEED = "mix-1"

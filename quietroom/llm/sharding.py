@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
-from ..sources.storage import staged
+from .common import staged
 
 SAMPLE = 16
 MAX_RANGES = 4096

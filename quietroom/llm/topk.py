@@ -34,8 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
-from ..sources.storage import staged
-from .common import numbered
+from .common import numbered, staged
 
 SLICES = 4
 BLOCK_ROWS = 4096
