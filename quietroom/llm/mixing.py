@@ -211,3 +211,27 @@ def mixture(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "do
     documents, table = prepare(sized, weights, repeats, seed)
     return taken_words(documents, mix(documents, table, block_words)).select(
         "doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def repeated_documents(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id",
+                       text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS,
+                       repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs``, all columns, as often as the mix takes them.
+
+    Documents are whole here: one whose last round is cut is repeated as often as the number of
+    words it gives comes nearest to.  Rows are told apart by id, source and size; rows that agree
+    in all three share what the mix takes of them.
+    """
+    keys = [F.coalesce(c.cast("string"), F.lit("")) for c in (F.col(id_col), F.col(source_col))]
+    nulls = [F.col(id_col).isNull(), F.col(source_col).isNull()]
+    of = lambda k, n, size: F.concat_ws(":", *[x.cast("string") for x in n], size.cast("string"), *k)
+    taken = mixture(docs, weights, id_col, text_col, source_col, block_words, repeats, seed)
+    key = of([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source")],
+             [F.col("doc_id").isNull(), F.col("source").isNull()], F.col("size"))
+    copies = (taken.where("taken > 0").groupBy(key.alias("_mix_key"))
+              .agg(F.avg(F.col("taken") / F.col("size")).alias("_mix_times"))
+              .select("_mix_key", F.floor(F.col("_mix_times") + 0.5).cast("int").alias("_mix_times"))
+              .where("_mix_times > 0"))
+    rows = docs.withColumn("_mix_row_key", of(keys, nulls, word_count(F.col(text_col))))
+    met = rows.join(copies, F.col("_mix_row_key") == F.col("_mix_key"))
+    return met.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
