@@ -110,8 +110,7 @@ def _banned(spark, sf_dir):
     m = m.withColumn("keep_text", normalize_keep_accents(F.concat_ws(
         " ", F.nullif("text", F.lit("")), F.nullif("caption", F.lit("")), "qr_payloads",
         F.nullif("ocr_text", F.lit("")))))
-    hits = L.with_banned_hits(m, load(spark, sf_dir, "keyword_blacklist"),
-                              load(spark, sf_dir, "managed_chats"))
+    hits = L.with_banned_hits(m, load(spark, sf_dir, "keyword_blacklist"))
     return hits.filter(F.size("banned_hits") > 0).select(
         "message_id", joined("banned_hits").alias("hits"))
 
@@ -265,8 +264,8 @@ def prepared(spark, sf_dir):
 
 
 def attach(spark, sf_dir):
-    lists, chats = lists_of(spark, sf_dir, *LISTS), load(spark, sf_dir, "managed_chats")
-    return lambda features: attach_lists(features, lists, chats)
+    lists = lists_of(spark, sf_dir, *LISTS)
+    return lambda features: attach_lists(features, lists)
 
 
 def _rule(name, build, lists=False):
@@ -395,8 +394,7 @@ def _forced(spark, sf_dir):
     m = m.withColumn("keep_text", normalize_keep_accents(F.concat_ws(
         " ", F.nullif("text", F.lit("")), F.nullif("caption", F.lit("")), "qr_payloads",
         F.nullif("ocr_text", F.lit("")))))
-    m = L.with_banned_hits(m, load(spark, sf_dir, "keyword_blacklist"),
-                           load(spark, sf_dir, "managed_chats"), skip=F.col("is_blocked"))
+    m = L.with_banned_hits(m, load(spark, sf_dir, "keyword_blacklist"), skip=F.col("is_blocked"))
     m = m.withColumn("why", forced_reason("is_blocked", "banned_hits")).filter("why IS NOT NULL")
     v = m.select("message_id", forced_verdict(F.col("why")).alias("v"))
     return v.select("message_id", F.col("v.score").cast("bigint").alias("score"),

@@ -63,6 +63,7 @@ def _prior(spark, sf_dir):
 
 # --- replay ------------------------------------------------------------------------------
 
+EDITED_AFTER = 150_000
 MODE = "CASE WHEN message_id % 4 = 3 THEN 'delete' WHEN message_id % 7 = 2 THEN 'mute' " \
        "ELSE 'ban' END"
 
@@ -80,36 +81,39 @@ g AS (SELECT f.*, length(regexp_replace(body, '[^A-Za-z]', '', 'g')) AS latin,
   {NORM_OF_TEXT} AS n FROM f),
 {_points('new', 'TRUE', 3)}, {_points('old', 'FALSE', 5)},
 pts AS (SELECT message_id, m.chat_id, m.user_id, m.sender_chat_id, m.ts_s, {MODE} AS mode,
-  coalesce(a.p, 0) AS p_new, coalesce(b.p, 0) AS p_old FROM messages m
+  coalesce(a.p, 0) AS p_new, coalesce(b.p, 0) AS p_old FROM (
+    SELECT * FROM messages UNION ALL
+    SELECT * REPLACE (ts_s + {EDITED_AFTER} AS ts_s) FROM messages WHERE message_id % 7 = 0) m
   LEFT JOIN sum_new a USING (message_id) LEFT JOIN sum_old b USING (message_id)),
 ev AS (SELECT *, row_number() OVER (PARTITION BY chat_id, user_id ORDER BY ts_s, is_msg, id) AS rn
   FROM (SELECT chat_id, user_id, ts_s, 1 AS is_msg, message_id AS id, p_new, p_old, mode FROM pts
     WHERE sender_chat_id IS NULL
-    UNION ALL SELECT chat_id, user_id, ts_s, 0, id, 0, 0, NULL FROM joins)),
-seen AS (SELECT chat_id, user_id, count(*) AS n FROM (SELECT chat_id, 1 + user_id % 37 AS user_id
-  FROM offences WHERE action = 'ban' AND score > 250) GROUP BY 1, 2),
+    UNION ALL SELECT chat_id, user_id, ts_s, 0, id, 0, 0, NULL FROM joins
+    UNION ALL SELECT chat_id, 1 + user_id % 37, ts_s, 2, id, 0, 0, NULL FROM offences)),
 fold AS (
   SELECT k.chat_id, k.user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS first_seen,
-    CAST(0 AS BIGINT) AS cnt, coalesce(n, 0) AS n, CAST(NULL AS BIGINT) AS message_id,
-    FALSE AS is_new, CAST(0 AS BIGINT) AS prior, CAST(0 AS BIGINT) AS score, FALSE AS spam
-  FROM (SELECT DISTINCT chat_id, user_id FROM ev) k LEFT JOIN seen USING (chat_id, user_id)
+    CAST(0 AS BIGINT) AS cnt, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS message_id,
+    CAST(NULL AS BIGINT) AS ts_s, FALSE AS is_new, CAST(0 AS BIGINT) AS prior,
+    CAST(0 AS BIGINT) AS score, FALSE AS spam
+  FROM (SELECT DISTINCT chat_id, user_id FROM ev) k
   UNION ALL
   SELECT chat_id, user_id, rn, CASE WHEN spam AND mode = 'ban' THEN NULL ELSE fs END,
     CASE WHEN spam AND mode = 'ban' THEN 0 ELSE cnt END,
-    prior + CASE WHEN spam THEN 1 ELSE 0 END, id, is_new, prior, score, spam
+    prior + CASE WHEN spam OR is_msg = 2 THEN 1 ELSE 0 END, id, ts_s, is_new, prior, score, spam
   FROM (SELECT *, is_msg = 1 AND score >= CASE WHEN is_new THEN 3 ELSE 5 END AS spam
     FROM (SELECT *, CAST(CASE WHEN is_new THEN p_new ELSE p_old END + CASE WHEN
         CASE WHEN is_new THEN p_new ELSE p_old END > 0 THEN least(2 * prior, 4) ELSE 0 END AS BIGINT)
         AS score
       FROM (SELECT *, ts_s - fs < 86400 OR cnt <= 3 AS is_new
-        FROM (SELECT e.chat_id, e.user_id, e.rn, coalesce(f.first_seen, e.ts_s) AS fs,
-            f.cnt + e.is_msg AS cnt, f.n AS prior, e.id, e.is_msg, e.ts_s, e.p_new, e.p_old, e.mode
+        FROM (SELECT e.chat_id, e.user_id, e.rn,
+            CASE WHEN e.is_msg = 2 THEN f.first_seen ELSE coalesce(f.first_seen, e.ts_s) END AS fs,
+            f.cnt + CASE WHEN e.is_msg = 1 THEN 1 ELSE 0 END AS cnt, f.n AS prior, e.id, e.is_msg, e.ts_s, e.p_new, e.p_old, e.mode
           FROM fold f JOIN ev e ON e.chat_id = f.chat_id AND e.user_id = f.user_id
             AND e.rn = f.rn + 1)))))"""
 REPLAY_SOURCES = (*FEATURE_SOURCES, "joins", "offences")
-_USERS = ("SELECT message_id, user_id AS offender_id, is_new, prior AS prior_offences, score "
+_USERS = ("SELECT message_id, ts_s, user_id AS offender_id, is_new, prior AS prior_offences, score "
           "FROM fold WHERE spam")
-_CHANNELS = ("SELECT message_id, sender_chat_id, FALSE, CAST(0 AS BIGINT), CAST(p_old AS BIGINT) "
+_CHANNELS = ("SELECT message_id, ts_s, sender_chat_id, FALSE, CAST(0 AS BIGINT), CAST(p_old AS BIGINT) "
              "FROM pts WHERE sender_chat_id IS NOT NULL AND p_old >= 5")
 
 
@@ -120,20 +124,22 @@ def scored_both(spark, sf_dir, m=None):
         "forced_reason": F.lit(None).cast("string"), "action": F.expr(MODE)})
 
 
-def earlier_record(spark, sf_dir):
-    return past_offences(spark, sf_dir).filter("action = 'ban' AND score > 250")
+def with_edits(m):
+    """Some messages come once more, edited later, under the same number."""
+    edited = m.filter("message_id % 7 = 0").withColumn("ts_s", F.col("ts_s") + EDITED_AFTER)
+    return m.unionByName(edited)
 
 
 def replayed(spark, sf_dir):
-    return T.replay_verdicts(scored_both(spark, sf_dir), load(spark, sf_dir, "joins"), CFG,
-                             offences=earlier_record(spark, sf_dir))
+    return T.replay_verdicts(scored_both(spark, sf_dir, with_edits(prepared(spark, sf_dir))),
+                             load(spark, sf_dir, "joins"), CFG, offences=past_offences(spark, sf_dir))
 
 
 @query("replay_verdicts", with_views(f"{_USERS} UNION ALL {_CHANNELS}", *REPLAY_SOURCES,
                                      more=REPLAY, recursive=True))
 def _replay(spark, sf_dir):
     return replayed(spark, sf_dir).select(
-        "message_id", "offender_id", "is_new", "prior_offences",
+        "message_id", "ts_s", "offender_id", "is_new", "prior_offences",
         F.col("verdict.score").cast("bigint").alias("score"))
 
 
@@ -142,11 +148,11 @@ def _scored_folder(spark, sf_dir):
     path, checkpoint = new_folder(spark, "scored"), new_folder(spark, "scoring")
     docs = (spark.readStream.schema(table(spark, sf_dir, "documents").schema)
             .option("pathGlobFilter", "documents.parquet").parquet(sf_dir))
-    joins = load(spark, sf_dir, "joins")
+    more = load(spark, sf_dir, "joins"), past_offences(spark, sf_dir)
 
     def score(batch, batch_id):
-        m = spark_messages(batch)
-        return live.stream_rows(scored_both(spark, sf_dir, m), joins if batch_id == 0 else None)
+        m = with_edits(spark_messages(batch))
+        return live.stream_rows(scored_both(spark, sf_dir, m), *(more if batch_id == 0 else ()))
 
     live.start_batches(docs, score, path, checkpoint, available_now=True).awaitTermination()
     return path
@@ -160,18 +166,15 @@ def spark_messages(documents):
                           "forward_label": E.forward_label("forward_origin")}).drop("qr_payload")
 
 
-@query("stream_verdicts", with_views(_USERS, *REPLAY_SOURCES, more=REPLAY, recursive=True))
+@query("stream_verdicts", with_views(f"{_USERS} UNION ALL {_CHANNELS}", *REPLAY_SOURCES,
+                                     more=REPLAY, recursive=True))
 def _stream_verdicts(spark, sf_dir):
     scored_path = _scored_folder(spark, sf_dir)
-    record = earlier_record(spark, sf_dir).groupBy("chat_id", "user_id").agg(
-        F.count("*").alias("offences")).withColumns({
-            "first_seen": F.lit(None).cast("bigint"), "msg_count": F.lit(0).cast("bigint")})
-    out = live.stream_verdicts(live.read_scored(spark, scored_path), CFG, record.select(
-        "chat_id", "user_id", "first_seen", "msg_count", "offences"))
+    out = live.stream_verdicts(live.read_scored(spark, scored_path), CFG)
     path = new_folder(spark, "live")
     live.start_offence_sink(out, path, new_folder(spark, "sink"), True).awaitTermination()
     done = spark.read.parquet(path)
-    return done.select("message_id", F.col("user_id").alias("offender_id"), "is_new",
+    return done.select("message_id", "ts_s", F.col("user_id").alias("offender_id"), "is_new",
                        "prior_offences", "score")
 
 

@@ -20,10 +20,11 @@ from ..functions.text import squeeze_spaces
 from ..sources.storage import staged
 
 MAX_BROADCAST_ROWS = 500_000  # of a few short columns each
-# A chat's bundle of list entries travels with its messages; beyond this many entries in
-# all, the lists are joined as tables instead.
+# Lists of allowed entries travel as one bundle per scope; beyond this many entries in all
+# they are joined as tables instead.
 MAX_BUNDLE_ENTRIES = 500
-MAX_PHRASES = 2_000
+PHRASES_PER_BUNDLE = 500
+SCOPE_SALTS = 32
 
 
 def is_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> bool:
@@ -176,30 +177,37 @@ BUNDLE = {  # list name -> (value column, name in the bundle)
 }
 
 
-def effective_entries(lists: dict[str, DataFrame], chats: DataFrame,
-                      admins: DataFrame | None = None, own_username: str = "",
-                      names: tuple[str, ...] = tuple(BUNDLE)) -> DataFrame:
-    """All that holds in a chat as rows ``(chat_id, list, value)``, values as text.
+def scoped_entries(lists: dict[str, DataFrame], admins: DataFrame | None = None,
+                   own_username: str = "", names: tuple[str, ...] = tuple(BUNDLE)) -> DataFrame:
+    """All list rows as ``(scope, list, value)``, values as text; the scope is a chat or 0.
 
-    Admins of the chat and the moderator itself may always be mentioned.
+    Admins of a chat, and the moderator itself everywhere, may always be mentioned.
     """
     parts = []
     for name in names:
         value, bundled = BUNDLE[name]
-        parts.append(lists[name].select(
-            "chat_id", F.lit(bundled).alias("list"), F.col(value).cast("string").alias("value")))
+        parts.append(lists[name].select(F.col("chat_id").alias("scope"), F.lit(bundled).alias("list"),
+                                        F.col(value).cast("string").alias("value")))
     if "username_whitelist" in names:
         if admins is not None:
             parts.append(admins.filter("username IS NOT NULL").select(
-                "chat_id", F.lit("allow_usernames").alias("list"),
+                F.col("chat_id").alias("scope"), F.lit("allow_usernames").alias("list"),
                 F.lower("username").alias("value")))
         if own_username:
-            parts.append(chats.select("chat_id", F.lit("allow_usernames").alias("list"),
-                                      F.lit(own_username.lower()).alias("value")))
-    rows = reduce(DataFrame.unionByName, parts)
+            parts.append(parts[0].sparkSession.range(1).select(
+                F.lit(GLOBAL).cast("bigint").alias("scope"), F.lit("allow_usernames").alias("list"),
+                F.lit(own_username.lower()).alias("value")))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def effective_entries(lists: dict[str, DataFrame], chats: DataFrame,
+                      admins: DataFrame | None = None, own_username: str = "",
+                      names: tuple[str, ...] = tuple(BUNDLE)) -> DataFrame:
+    """All that holds in each chat as rows ``(chat_id, list, value)``: a listing, in which global
+    rows are repeated for every chat.  Look-ups use ``scoped_entries``."""
+    rows = scoped_entries(lists, admins, own_username, names)
     seen = chats.select("chat_id", F.explode(scopes()).alias("scope")).distinct()
-    return seen.join(rows.withColumnRenamed("chat_id", "scope"), "scope").select(
-        "chat_id", "list", "value").distinct()
+    return seen.join(rows, "scope").select("chat_id", "list", "value").distinct()
 
 
 def chat_rules(entries: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -223,35 +231,50 @@ def chat_rules(entries: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return entries.groupBy("chat_id").agg(*[gather(BUNDLE[n][1]) for n in names])
 
 
-def with_banned_hits(msgs: DataFrame, keywords: DataFrame, chats: DataFrame,
-                     text: str = "keep_text", skip: Column | None = None) -> DataFrame:
-    """Add ``banned_hits``: the chat's banned phrases inside canonical text ``text``.
+def phrase_bundles(keywords: DataFrame) -> DataFrame:
+    """``(scope, block, phrases)``: a scope's banned phrases, prepared, in blocks of a few hundred."""
+    rows = keywords.select(F.col("chat_id").alias("scope"), "phrase").distinct()
+    sizes = rows.groupBy("scope").agg(F.ceil(F.count("*") / PHRASES_PER_BUNDLE).alias("_blocks"))
+    forms = rows.withColumn("_forms", phrase_forms("phrase")).filter("_forms.keep <> ''")
+    slim = F.struct(*[F.col(f"_forms.{c}").alias(c) for c in ("phrase", "keep_squeezed", "plain_squeezed")])
+    return staged(forms.join(sizes, "scope").groupBy(
+        "scope", F.pmod(F.xxhash64("phrase"), F.col("_blocks")).alias("block")).agg(
+        F.sort_array(F.collect_set(slim)).alias("phrases")))
+
+
+def with_banned_hits(msgs: DataFrame, keywords: DataFrame, text: str = "keep_text",
+                     skip: Column | None = None) -> DataFrame:
+    """Add ``banned_hits``: the banned phrases of the chat, and of all chats, inside canonical
+    text ``text``.
 
-    A phrase may start anywhere, so the phrases travel to the messages.  Past the bundle
-    bound they travel in several bundles per chat and the hits are put together again.
+    A phrase may start anywhere, so phrases travel to the messages, as one bundle per scope.  A
+    scope with more phrases than fit a bundle has several: then each message, numbered and
+    written once, meets them one by one, and its hits are put together by its number.
     """
     skip = F.lit(False) if skip is None else skip
-    if is_small(keywords, MAX_PHRASES):
-        only = ("keyword_blacklist",)
-        entries = effective_entries({only[0]: keywords}, chats, names=only)
-        bundle = chat_rules(entries, only).withColumn("phrases", F.transform(
-            "phrases", lambda p: F.struct(p["phrase"].alias("phrase"),
-                                          p["keep_squeezed"].alias("keep_squeezed"),
-                                          p["plain_squeezed"].alias("plain_squeezed"))))
-        joined = msgs.join(F.broadcast(bundle), "chat_id", "left").withColumns({
-            "phrases": F.coalesce("phrases", F.array()), "_squeezed": squeeze_spaces(text)})
-        hits = F.when(skip, E.no_strings()).otherwise(banned_phrase_hits("_squeezed", "phrases"))
-        return joined.withColumn("banned_hits", hits).select(*msgs.columns, "banned_hits")
-    pieces = keywords.count() // (MAX_PHRASES // 2) + 1
-    bundles = [keywords.filter(F.pmod(F.xxhash64("phrase"), F.lit(pieces)) == i)
-               for i in range(pieces)]
-    unsure = msgs.filter(~skip).select("message_id", "chat_id", text)
-    found = [with_banned_hits(unsure, b, chats, text).filter(F.size("banned_hits") > 0)
-             .select("message_id", F.explode("banned_hits").alias("_hit")) for b in bundles]
-    hits = staged(reduce(DataFrame.unionByName, found).groupBy("message_id").agg(
-        F.sort_array(F.collect_set("_hit")).alias("banned_hits")))
-    return msgs.join(broadcast_if_small(hits), "message_id", "left").withColumn(
-        "banned_hits", F.coalesce("banned_hits", E.no_strings()))
+    bundles = phrase_bundles(keywords)
+    everywhere = F.col("scope") == GLOBAL
+    if bundles.groupBy("scope").count().filter("count > 1").isEmpty():
+        own = bundles.filter(~everywhere).select(F.col("scope").alias("_scope"), F.col("phrases").alias("_own"))
+        shared = bundles.filter(everywhere).select(F.col("phrases").alias("_shared"))  # one row at most
+        both = (msgs.join(own, F.col("chat_id") == F.col("_scope"), "left")
+                .join(F.broadcast(shared), F.lit(True), "left"))
+        none = F.array().cast(bundles.schema["phrases"].dataType)
+        both = both.withColumn("_phrases", F.array_union(F.coalesce("_own", none), F.coalesce("_shared", none)))
+        hits = F.when(skip, E.no_strings()).otherwise(banned_phrase_hits("_squeezed", "_phrases"))
+        return (both.withColumn("_squeezed", squeeze_spaces(text)).withColumn("banned_hits", hits)
+                .select(*msgs.columns, "banned_hits"))
+    rows = staged(msgs.withColumns({"_squeezed": squeeze_spaces(text), "_row": F.monotonically_increasing_id()}))
+    need = rows.filter(~skip & (F.col("_squeezed") != "")).select("_row", "chat_id", "_squeezed")
+    own = need.join(bundles.filter(~everywhere), F.col("chat_id") == F.col("scope"))
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SCOPE_SALTS - 1).cast("bigint")))
+    shared = need.withColumn("_salt", F.pmod("_row", F.lit(SCOPE_SALTS))).join(
+        bundles.filter(everywhere).withColumn("_salt", salts), "_salt")
+    found = own.select("_row", "_squeezed", "phrases").unionByName(shared.select("_row", "_squeezed", "phrases"))
+    hits = found.select("_row", F.explode(banned_phrase_hits("_squeezed", "phrases")).alias("_hit")).groupBy(
+        "_row").agg(F.array_sort(F.collect_set("_hit")).alias("banned_hits"))
+    return rows.join(hits, "_row", "left").withColumn(
+        "banned_hits", F.coalesce("banned_hits", E.no_strings())).select(*msgs.columns, "banned_hits")
 
 
 # --- settings -----------------------------------------------------------------------

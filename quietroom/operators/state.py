@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ModerationConfig
+from ..sources.shipping import ship
 from ..sources.storage import staged
 from .lists import MAX_BROADCAST_ROWS, broadcast_if_small, is_small
 from .running import running
@@ -128,19 +132,23 @@ def pause_until(ts, minutes) -> Column:
 # --- verdicts with feedback -------------------------------------------------------
 
 _BEFORE_ALL = -(2 ** 62)
+ORDER = ["ts_s", "message_id", "_row"]
+
 
+def _mark() -> Column:
+    """What a later row needs to know about an offence.  A message edited later, or delivered
+    again, is a row of its own, told apart by time and row number."""
+    return F.struct(F.col("ts_s").alias("ts"), F.col("message_id").alias("id"), F.col("_row").alias("row"),
+                    F.col("msg_count").alias("n"), F.col("next_ts").alias("next_ts"),
+                    F.col("bans").alias("bans"))
 
-def _mark(ts="ts_s", message_id="message_id", count="msg_count", next_ts="next_ts",
-          bans="bans") -> Column:
-    """What a later row needs to know about an offence."""
-    return F.struct(F.col(ts).alias("ts"), F.col(message_id).alias("id"),
-                    F.col(count).alias("n"), F.col(next_ts).alias("next_ts"),
-                    F.col(bans).alias("bans"))
 
+def _place(mark: Column) -> Column:
+    return F.struct(mark["ts"].alias("ts"), mark["id"].alias("id"), mark["row"].alias("row"))
 
-def _after(mark: Column) -> Column:
-    here = F.struct(F.col("ts_s").alias("ts"), F.col("message_id").alias("id"))
-    return here > F.struct(mark["ts"].alias("ts"), mark["id"].alias("id"))
+
+def _here() -> Column:
+    return F.struct(F.col("ts_s").alias("ts"), F.col("message_id").alias("id"), F.col("_row").alias("row"))
 
 
 def _new_since(mark: Column, cfg: ModerationConfig) -> Column:
@@ -160,20 +168,41 @@ def _spam_cases(cfg: ModerationConfig) -> dict[str, Column]:
     return cases
 
 
+def _by_record(letter: str, own: int) -> Column:
+    """Is it an offence, with ``own`` offences of this run on top of the logged ones before it?"""
+    known = F.col("seed") + own
+    return (F.when(known >= 2, F.col(f"{letter}2")).when(known == 1, F.col(f"{letter}1"))
+            .otherwise(F.col(f"{letter}0")))
+
+
+def _logged_before(cand: DataFrame, offences: DataFrame | None) -> DataFrame:
+    """Add ``seed``: logged offences of the sender before each candidate."""
+    if offences is None:
+        return cand.withColumn("seed", F.lit(0).cast("bigint"))
+    rows = cand.withColumns({"_late": F.lit(0), "_n": F.lit(0).cast("bigint")})
+    past = offences.select(*KEY, "ts_s", F.lit(1).alias("_late"), F.lit(1).cast("bigint").alias("_n"),
+                           F.monotonically_increasing_id().alias("_row"))
+    counted = running(rows.unionByName(past, allowMissingColumns=True), KEY, ["ts_s", "_late", "_row"],
+                      {"seed": ("sum", F.col("_n"))})
+    return counted.filter("_late = 0").drop("_late", "_n")
+
+
 def replay_verdicts(scored: DataFrame, joins: DataFrame | None, cfg: ModerationConfig,
                     members: DataFrame | None = None,
                     offences: DataFrame | None = None) -> DataFrame:
     """Offences, with every verdict feeding the sender's next one.
 
     ``scored`` has ``message_id, chat_id, user_id, sender_chat_id, ts_s, signals_new,
-    signals_old, forced_reason, action`` (the action in force).  An offence raises the
-    sender's later scores (until the second one; more add nothing), and a ban makes the
-    chat forget the sender, who is then new again.
+    signals_old, forced_reason, action`` (the action in force); an edited message is one more
+    row with its own time.  An offence raises the sender's later scores (until the second one;
+    more add nothing), as do logged ``offences`` from earlier times, and a ban makes the chat
+    forget the sender, who is then new again.
 
     No row-by-row fold is needed:
 
-    * a message that is harmless for a newcomer with a record can never be an offence, so
-      only the others (the candidates) take part, next to plain message counts;
+    * a message that is harmless even with a record can never be an offence, so only the
+      others (the candidates) take part, next to plain message counts;
+    * logged offences before a candidate are counted by time;
     * the first and the second offence of a sender are minima over conditions that depend
       on nothing later;
     * from then on the record is constant.  An old member's offence is a newcomer's offence
@@ -181,81 +210,110 @@ def replay_verdicts(scored: DataFrame, joins: DataFrame | None, cfg: ModerationC
       still new since the last ban.  Being new only wears off, hence along a run of
       candidates the bans go on until the first one that comes too late, and start again
       with the next one that is an offence for everybody: two running maxima.
+
+    Should newcomers have the higher threshold, the last point does not hold, and candidates
+    are folded in order, sender by sender, as a stream of sorted rows.
     """
-    if cfg.threshold_for(True) > cfg.threshold_for(False):
-        raise ValueError("the threshold for newcomers must not be above the general one")
     scored = scored.withColumns({
         "points_new": total(F.col("signals_new")), "points_old": total(F.col("signals_old")),
         "bans": F.col("action") == "ban"})
     scored = scored.withColumns(_spam_cases(cfg)).withColumn(
-        "_kept", F.when(F.col("c2"), F.struct("signals_new", "signals_old", "forced_reason",
-                                              "action")))
-    carried = ("_kept", "bans", "c0", "c1", "c2", "u0", "u1", "u2")
-    slim = staged(scored.select("message_id", *KEY, "sender_chat_id", "ts_s", *carried))
-
-    cand = _timeline(slim, joins, members, carried).filter("c2")
-    seed = F.lit(0).cast("bigint")
-    if offences is not None:
-        record = offences.groupBy(*KEY).agg(F.count("*").alias("seed"))
-        cand = cand.join(record, KEY, "left")
-        seed = F.coalesce("seed", F.lit(0))
-    cand = staged(cand.withColumns({"seed": seed, "new0": _newcomer(
-        F.col("ts_s") - F.col("first_seen"), F.col("msg_count"), cfg)}))
-
-    nobody = F.struct(F.lit(_BEFORE_ALL).alias("ts"), F.lit(_BEFORE_ALL).alias("id"),
-                      F.lit(0).cast("bigint").alias("n"),
-                      F.lit(None).cast("bigint").alias("next_ts"), F.lit(False).alias("bans"))
-    hit0 = F.when(F.col("new0"), F.col("c0")).otherwise(F.col("u0"))
-    first = cand.groupBy(*KEY).agg(F.min(
-        F.when(F.col("seed") >= 1, nobody).when(hit0, _mark())).alias("p1"))
+        "_kept", F.when(F.col("c2") | F.col("u2"), F.struct("signals_new", "signals_old", "forced_reason",
+                                                            "action")))
+    # the row number is fixed by writing it; reasons stay in this table until the end
+    cases = ("bans", "c0", "c1", "c2", "u0", "u1", "u2")
+    slim = staged(scored.select("message_id", *KEY, "sender_chat_id", "ts_s", "_kept", *cases,
+                                F.monotonically_increasing_id().alias("_row")))
+    cand = _timeline(slim, joins, members, ("_row", *cases)).filter("c2 OR u2")
+    cand = staged(_logged_before(cand, offences).withColumn("new0", _newcomer(
+        F.col("ts_s") - F.col("first_seen"), F.col("msg_count"), cfg)))
+    fold = _folded if cfg.threshold_for(True) > cfg.threshold_for(False) else _closed_form
+    hits = staged(fold(cand, cfg))
+    hits = running(hits, KEY, ORDER, {"_before": ("sum", F.lit(1).cast("bigint"))}, inclusive=False)
+    hits = hits.withColumn("prior_offences", F.col("_before") + F.col("seed")).select(
+        "_row", "is_new", "prior_offences")
+    users = slim.join(hits, "_row").select(
+        "message_id", "chat_id", F.col("user_id").alias("offender_id"), "ts_s",
+        F.lit(False).alias("by_channel"), "is_new", "prior_offences", "_kept")
+    channels = slim.filter("sender_chat_id IS NOT NULL AND u0").select(
+        "message_id", "chat_id", F.col("sender_chat_id").alias("offender_id"), "ts_s",
+        F.lit(True).alias("by_channel"), F.lit(False).alias("is_new"),
+        F.lit(0).cast("bigint").alias("prior_offences"), "_kept")
+    return with_final_verdict(users.unionByName(channels), cfg)
+
+
+_HITS = [*KEY, "ts_s", "message_id", "_row", "is_new", "seed"]
+
+
+def _closed_form(cand: DataFrame, cfg: ModerationConfig) -> DataFrame:
+    hit0 = F.when(F.col("new0"), _by_record("c", 0)).otherwise(_by_record("u", 0))
+    first = cand.groupBy(*KEY).agg(F.min(F.when(hit0, _mark())).alias("p1"))
     cand = cand.join(first, KEY)
     new1 = F.when(F.col("p1.bans"), _new_since(F.col("p1"), cfg)).otherwise(F.col("new0"))
     cand = cand.withColumn("new1", new1)
-    hit1 = _after(F.col("p1")) & F.when(F.col("new1"), F.col("c1")).otherwise(F.col("u1"))
-    second = cand.groupBy(*KEY).agg(F.min(
-        F.when(F.col("seed") >= 2, nobody).when(hit1, _mark())).alias("p2"))
+    after1 = F.col("p1").isNotNull() & F.coalesce(_here() > _place(F.col("p1")), F.lit(False))
+    hit1 = after1 & F.when(F.col("new1"), _by_record("c", 1)).otherwise(_by_record("u", 1))
+    second = cand.groupBy(*KEY).agg(F.min(F.when(hit1, _mark())).alias("p2"))
     cand = staged(cand.join(second, KEY))
 
-    same = [F.col(f"p{i}.id") == F.col("message_id") for i in (1, 2)]
-    early = (cand.filter(F.coalesce(same[0], F.lit(False)) | F.coalesce(same[1], F.lit(False)))
+    same = [F.coalesce(F.col(f"p{i}.row") == F.col("_row"), F.lit(False)) for i in (1, 2)]
+    early = (cand.filter(same[0] | same[1])
              .withColumn("is_new", F.when(same[0], F.col("new0")).otherwise(F.col("new1"))))
 
     base = F.when(F.col("p2.bans"), F.col("p2")).when(F.col("p1.bans"), F.col("p1"))
-    late = cand.filter(F.coalesce(_after(F.col("p2")), F.lit(False))).withColumn("base", base)
+    after2 = F.col("p2").isNotNull() & F.coalesce(_here() > _place(F.col("p2")), F.lit(False))
+    late = cand.filter(after2).withColumn("base", base)
     since_base = F.when(F.col("base").isNotNull(), _new_since(F.col("base"), cfg)
                         ).otherwise(F.col("new0"))
     late = late.withColumn("new_base", since_base).drop("p1", "p2", "base", "new1")
-    order = ["ts_s", "message_id"]
-    late = staged(running(late, KEY, order, {
+    late = staged(running(late, KEY, ORDER, {
         "last_x": ("max", F.when(F.col("bans"), _mark()))}, inclusive=False))
     since_x = F.when(F.col("last_x").isNotNull(), _new_since(F.col("last_x"), cfg)
                      ).otherwise(F.col("new_base"))
-    here = F.struct(*order)
-    late = staged(running(late, KEY, order, {
+    here = F.struct(*ORDER)
+    late = staged(running(late, KEY, ORDER, {
         "last_late": ("max", F.when(F.col("bans") & ~F.col("u2") & ~since_x, here)),
         "last_sure": ("max", F.when(F.col("bans") & F.col("u2"), here))}))
     unbroken = F.col("last_late").isNull() | F.coalesce(
         F.col("last_late") < F.col("last_sure"), F.lit(False))
     late = late.withColumn("banned", F.col("bans") & (F.col("u2") | unbroken))
-    late = running(late, KEY, order, {
+    late = running(late, KEY, ORDER, {
         "last_ban": ("max", F.when(F.col("banned"), _mark()))}, inclusive=False)
     since_ban = F.when(F.col("last_ban").isNotNull(), _new_since(F.col("last_ban"), cfg)
                        ).otherwise(F.col("new_base"))
     late = late.withColumn("is_new", since_ban).filter(
         F.when(F.col("is_new"), F.col("c2")).otherwise(F.col("u2")))
-
-    cols = [*KEY, "ts_s", "message_id", "is_new", "seed", "_kept"]
-    hits = staged(early.select(cols).unionByName(late.select(cols)))
-    hits = running(hits, KEY, order, {
-        "_before": ("sum", F.lit(1).cast("bigint"))}, inclusive=False)
-    hits = hits.withColumn("prior_offences", F.col("_before") + F.col("seed")).select(
-        "message_id", "chat_id", F.col("user_id").alias("offender_id"), "ts_s",
-        F.lit(False).alias("by_channel"), "is_new", "prior_offences", "_kept")
-    channels = slim.filter("sender_chat_id IS NOT NULL AND u0").select(
-        "message_id", "chat_id", F.col("sender_chat_id").alias("offender_id"), "ts_s",
-        F.lit(True).alias("by_channel"), F.lit(False).alias("is_new"),
-        F.lit(0).cast("bigint").alias("prior_offences"), "_kept")
-    return with_final_verdict(hits.unionByName(channels), cfg)
+    return early.select(_HITS).unionByName(late.select(_HITS))
+
+
+def _folded(cand: DataFrame, cfg: ModerationConfig) -> DataFrame:
+    """The same by going through each sender's candidates in order, holding only a few numbers."""
+    window, messages = cfg.new_member_seconds, cfg.new_member_messages
+    ship(cand.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, base, own = None, None, 0
+        for pdf in batches:
+            kept, news = [], []
+            for i, r in enumerate(pdf.itertuples(index=False)):
+                if (r.chat_id, r.user_id) != key:
+                    key, base, own = (r.chat_id, r.user_id), None, 0
+                new = bool(r.new0) if base is None else (
+                    r.ts_s - base[0] < window or r.msg_count - base[1] <= messages)
+                record = min(int(r.seed) + own, 2)
+                if not getattr(r, f"{'c' if new else 'u'}{record}"):
+                    continue
+                kept.append(i)
+                news.append(new)
+                own += 1
+                if r.bans:
+                    base = (r.next_ts, r.msg_count)
+            out = pdf.iloc[kept][["chat_id", "user_id", "ts_s", "message_id", "_row", "seed"]]
+            yield out.assign(is_new=news)[_HITS]
+
+    in_order = cand.repartition(*KEY).sortWithinPartitions(*KEY, *ORDER)
+    return in_order.mapInPandas(run, ", ".join(
+        f"{n} {'boolean' if n == 'is_new' else 'bigint'}" for n in _HITS))
 
 
 def with_final_verdict(hits: DataFrame, cfg: ModerationConfig) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ModerationConfig
+from ..config import GLOBAL, ModerationConfig
 from ..functions import entities as E
 from ..functions.text import normalize_keep_accents
 from ..operators import lists as L
@@ -20,73 +20,69 @@ Lists = dict[str, DataFrame]
 ENTITY_LISTS = ("chat_whitelist", "username_whitelist", "phone_whitelist")
 
 
-def attach_lists(features: DataFrame, lists: Lists, chats: DataFrame,
-                 admins: DataFrame | None = None, own_username: str = "") -> DataFrame:
+def attach_lists(features: DataFrame, lists: Lists, admins: DataFrame | None = None,
+                 own_username: str = "") -> DataFrame:
     """Add what the chat allows (domains, mentions, phones) to text features.
 
-    A handful of entries is broadcast as one bundle per chat.  With longer lists each
-    message gets only the entries that concern it: its links, mentions and phones are looked
-    up by equi-joins, and those found allowed come back as its own short lists.  Only
-    messages that hold any of them are shuffled, and never their texts.
+    A handful of entries, admins counted in, is broadcast as one bundle per scope.  With longer
+    lists each message, numbered, gets only the entries that concern it: its links, mentions
+    and phones are looked up by equi-joins, and those found allowed come back as its own short
+    lists.  Only messages that hold any of them are shuffled, and never their texts.
     """
-    sizes = [lists[n].limit(L.MAX_BUNDLE_ENTRIES + 1).count() for n in ENTITY_LISTS]
-    if sum(sizes) <= L.MAX_BUNDLE_ENTRIES:
-        entries = L.effective_entries(lists, chats, admins, own_username, ENTITY_LISTS)
-        bundle = L.chat_rules(entries, ENTITY_LISTS)
-        return features.join(F.broadcast(bundle), "chat_id", "left")
-    features = staged(features)
-    allowed = allowed_entities(features, lists, chats, admins, own_username)
+    entries = staged(L.scoped_entries(lists, admins, own_username, ENTITY_LISTS))
+    names = [L.BUNDLE[n][1] for n in ENTITY_LISTS]
+    if L.is_small(entries, L.MAX_BUNDLE_ENTRIES):
+        bundles = entries.groupBy("scope").agg(*[
+            F.collect_set(F.when(F.col("list") == n, F.col("value"))).alias(n) for n in names])
+        everywhere = F.col("scope") == GLOBAL
+        own = bundles.filter(~everywhere).select(F.col("scope").alias("_scope"), *[F.col(n).alias(f"_o_{n}") for n in names])
+        shared = bundles.filter(everywhere).select(*[F.col(n).alias(f"_g_{n}") for n in names])
+        both = (features.join(F.broadcast(own), F.col("chat_id") == F.col("_scope"), "left")
+                .join(F.broadcast(shared), F.lit(True), "left"))
+        return both.select(*features.columns, *[F.array_union(
+            F.coalesce(f"_o_{n}", E.no_strings()), F.coalesce(f"_g_{n}", E.no_strings())).alias(n) for n in names])
+    rows = staged(features.withColumn("_row", F.monotonically_increasing_id()))
+    allowed = allowed_entities(rows, entries)
     some = (F.size("urls") + F.size("handles") + F.size("phones") + F.size("qr_payloads")) > 0
-    concerned = features.filter(some).join(allowed, "message_id", "left")
-    return concerned.unionByName(features.filter(~some), allowMissingColumns=True)
+    concerned = rows.filter(some).join(allowed, "_row", "left")
+    return concerned.unionByName(rows.filter(~some), allowMissingColumns=True).drop("_row")
 
 
-def allowed_entities(features: DataFrame, lists: Lists, chats: DataFrame,
-                     admins: DataFrame | None, own_username: str) -> DataFrame:
-    """Per message, its own links, mentions and phones that its chat allows."""
+def allowed_entities(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """Per message number ``_row``, its own links, mentions and phones that its chat allows."""
 
     def tagged(kind, values):
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
 
     links = F.array_union("urls", F.flatten(F.transform("qr_payloads", E.qr_links)))
-    every = features.select("message_id", "chat_id", F.explode(F.concat(
-        tagged("url", links), tagged("handle", F.col("handles")),
-        tagged("phone", F.col("phones")))).alias("e"))
-    every = staged(every.select("message_id", "chat_id", "e.kind", "e.v"))
+    every = rows.select("_row", "chat_id", F.explode(F.concat(
+        tagged("allow_domains", links), tagged("allow_usernames", F.col("handles")),
+        tagged("allow_phones", F.col("phones")))).alias("e"))
+    every = staged(every.select("_row", "chat_id", "e.kind", "e.v"))
 
-    urls = every.filter("kind = 'url'").withColumnRenamed("v", "url")
+    # each link and name of a chat is looked up once, however often it is posted
+    distinct = every.select("chat_id", "kind", "v").distinct()
     parts = E.split_url("url")
-    good_urls = L.url_allowed(urls, lists["chat_whitelist"]).filter("allowed").select(
-        "message_id", "kind",
-        F.concat_ws("/", parts["host"], F.nullif(parts["path"], F.lit(""))).alias("v"))
-
-    handles = lists["username_whitelist"].select("chat_id", F.col("username").alias("v"))
-    if admins is not None:
-        handles = handles.unionByName(admins.filter("username IS NOT NULL").select(
-            "chat_id", F.lower("username").alias("v")))
-    if own_username:
-        handles = handles.unionByName(chats.select(
-            "chat_id", F.lit(own_username.lower()).alias("v")))
-    known = handles.withColumn("kind", F.lit("handle")).unionByName(
-        lists["phone_whitelist"].select("chat_id", F.col("phone").alias("v"),
-                                        F.lit("phone").alias("kind"))).distinct()
-    scoped = every.filter("kind <> 'url'").select(
-        "message_id", "kind", "v", F.explode(L.scopes()).alias("scope"))
-    good = scoped.join(L.broadcast_if_small(known.withColumnRenamed("chat_id", "scope")),
-                       ["scope", "kind", "v"], "left_semi").select("message_id", "kind", "v")
-    good = good.unionByName(good_urls)
-
-    def pick(kind):
-        return F.collect_set(F.when(F.col("kind") == kind, F.col("v")))
-
-    return good.groupBy("message_id").agg(
-        pick("url").alias("allow_domains"), pick("handle").alias("allow_usernames"),
-        pick("phone").alias("allow_phones"))
+    domains = entries.filter("list = 'allow_domains'").select(
+        F.col("scope").alias("chat_id"), F.col("value").alias("domain"))
+    good_urls = L.url_allowed(distinct.filter("kind = 'allow_domains'").select("chat_id", F.col("v").alias("url")),
+                              domains).filter("allowed").select(
+        "chat_id", F.lit("allow_domains").alias("kind"), F.col("url").alias("v"),
+        F.concat_ws("/", parts["host"], F.nullif(parts["path"], F.lit(""))).alias("shown"))
+    known = entries.select("scope", F.col("list").alias("kind"), F.col("value").alias("v"))
+    scoped = distinct.filter("kind <> 'allow_domains'").select(
+        "chat_id", "kind", "v", F.explode(L.scopes()).alias("scope"))
+    good = scoped.join(L.broadcast_if_small(known), ["scope", "kind", "v"], "left_semi").select(
+        "chat_id", "kind", "v", F.col("v").alias("shown")).distinct().unionByName(good_urls)
+    met = every.join(L.broadcast_if_small(staged(good)), ["chat_id", "kind", "v"])
+    return met.groupBy("_row").agg(*[
+        F.collect_set(F.when(F.col("kind") == L.BUNDLE[n][1], F.col("shown"))).alias(L.BUNDLE[n][1])
+        for n in ENTITY_LISTS])
 
 
 def scan(msgs: DataFrame, lists: Lists, chats: DataFrame, admins: DataFrame,
          admin_status: DataFrame, cfg: ModerationConfig, owners: tuple[int, ...] = (),
-         settings_log: DataFrame | None = None) -> DataFrame:
+         settings_log: DataFrame | None = None, own_username: str = "") -> DataFrame:
     """Scored messages of everybody who is moderated, ready for ``replay_verdicts``.
 
     Cheap exemptions come first, so exempt messages never reach the text work.
@@ -105,10 +101,9 @@ def scan(msgs: DataFrame, lists: Lists, chats: DataFrame, admins: DataFrame,
     m = text_features(m, cfg).withColumn("keep_text", normalize_keep_accents(F.concat_ws(
         " ", F.nullif("text", F.lit("")), F.nullif("caption", F.lit("")), "qr_payloads",
         F.nullif("ocr_text", F.lit("")))))
-    m = L.with_banned_hits(m, lists["keyword_blacklist"], chats,
-                           skip=F.col("is_question") | F.col("is_blocked"))
+    m = L.with_banned_hits(m, lists["keyword_blacklist"], skip=F.col("is_question") | F.col("is_blocked"))
     m = m.withColumn("forced_reason", forced_reason("is_blocked", "banned_hits"))
-    m = score_both(attach_lists(without_texts(m), lists, chats, admins), cfg)
+    m = score_both(attach_lists(without_texts(m), lists, admins, own_username), cfg)
     action = F.lit(cfg.action)
     if settings_log is not None:
         m = as_of(m, settings_log.filter("key = 'action'"), "value", "_mode")
@@ -122,7 +117,7 @@ def scan(msgs: DataFrame, lists: Lists, chats: DataFrame, admins: DataFrame,
 def moderate(msgs: DataFrame, lists: Lists, chats: DataFrame, admins: DataFrame,
              admin_status: DataFrame, cfg: ModerationConfig, joins: DataFrame | None = None,
              offences: DataFrame | None = None, settings_log: DataFrame | None = None,
-             owners: tuple[int, ...] = ()) -> DataFrame:
+             owners: tuple[int, ...] = (), own_username: str = "") -> DataFrame:
     """Offences with verdicts: ``scan`` followed by ``replay_verdicts``."""
-    scored = scan(msgs, lists, chats, admins, admin_status, cfg, owners, settings_log)
+    scored = scan(msgs, lists, chats, admins, admin_status, cfg, owners, settings_log, own_username)
     return replay_verdicts(scored, joins, cfg, lists.get("members"), offences)

@@ -146,7 +146,7 @@ def explain_messages(msgs: DataFrame, keywords: DataFrame, blacklist: DataFrame,
     m = score_messages(m, cfg).withColumn("keep_text", normalize_keep_accents(F.concat_ws(
         " ", F.nullif("text", F.lit("")), F.nullif("caption", F.lit("")), "qr_payloads",
         F.nullif("ocr_text", F.lit("")))))
-    m = with_banned_hits(m, keywords, chats)
+    m = with_banned_hits(m, keywords)
     label = (F.when(F.size("banned_hits") > 0, "spam: banned phrase")
              .when(F.col("is_blocked"), "spam: blocked")
              .when(F.col("verdict.is_spam"), "spam").otherwise("clean"))

@@ -112,7 +112,7 @@ def attached(chat, limit, monkeypatch):
     msgs, lists, chats, admins = chat
     monkeypatch.setattr(L, "MAX_BUNDLE_ENTRIES", limit)
     out = score_messages(msgs, ModerationConfig(), lambda f: M.attach_lists(
-        f, lists, chats, admins, "Guard_1"))
+        f, lists, admins, "Guard_1"))
     return {r.message_id: (r.verdict.score, r.verdict.reasons) for r in out.collect()}
 
 
@@ -141,7 +141,35 @@ def test_banned_phrases(spark, monkeypatch):
     msgs = msgs.withColumn("keep_text", normalize_keep_accents("text"))
     want = {1: [], 2: ["lừa đảo"], 3: ["lua dao", "lừa đảo"], 4: ["lừa đảo"],
             5: ["gái gọi", "lừa đảo"], 6: []}
-    for limit in (100, 2):
-        monkeypatch.setattr(L, "MAX_PHRASES", limit)
-        got = L.with_banned_hits(msgs, words, chats).collect()
+    for limit in (100, 1):
+        monkeypatch.setattr(L, "PHRASES_PER_BUNDLE", limit)
+        got = L.with_banned_hits(msgs, words).collect()
         assert {r.message_id: r.banned_hits for r in got} == want
+
+
+def test_equal_numbers_in_two_chats_stay_apart(spark, monkeypatch):
+    """Phrases and allowed links of one chat say nothing about a message of the same number in
+    another; one phrase may be listed in more chats than a bundle has rows."""
+    from quietroom.functions.text import normalize_keep_accents
+    words = spark.createDataFrame([(c, "alpha") for c in range(10, 40)] + [(1, "beta"), (1, "gamma"), (2, "delta")],
+                                  "chat_id bigint, phrase string")
+    msgs = spark.createDataFrame([(7, 1, 5, "alpha beta gamma delta"), (7, 2, 5, "alpha beta gamma delta"),
+                                  (7, 2, 6, "beta"), (7, 20, 5, "alpha beta")],
+                                 "message_id bigint, chat_id bigint, ts_s bigint, text string")
+    msgs = msgs.withColumn("keep_text", normalize_keep_accents("text"))
+    want = [(1, 5, ["beta", "gamma"]), (2, 5, ["delta"]), (2, 6, []), (20, 5, ["alpha"])]
+    for limit in (100, 1):
+        monkeypatch.setattr(L, "PHRASES_PER_BUNDLE", limit)
+        got = L.with_banned_hits(msgs, words).select("chat_id", "ts_s", "banned_hits").collect()
+        assert sorted(tuple(r) for r in got) == want
+    texts = spark.createDataFrame([(7, 1, "see a.com/x and b.com"), (7, 2, "see a.com/x and b.com")],
+                                  "message_id bigint, chat_id bigint, text string")
+    empty = {n: spark.createDataFrame([], f"chat_id bigint, {v} string") for n, v in (
+        ("username_whitelist", "username"), ("phone_whitelist", "phone"))}
+    lists = {**empty, "chat_whitelist": spark.createDataFrame([(1, "a.com"), (2, "b.com")],
+                                                              "chat_id bigint, domain string")}
+    for limit in (500, 0):
+        monkeypatch.setattr(L, "MAX_BUNDLE_ENTRIES", limit)
+        out = score_messages(texts, ModerationConfig(), lambda f: M.attach_lists(f, lists)).collect()
+        assert sorted((r.chat_id, r.verdict.reasons) for r in out) == [
+            (1, ["unknown_link: b.com (+5)"]), (2, ["unknown_link: a.com/x (+5)"])]

@@ -44,15 +44,19 @@ def random_log(seed, n, users=6, gap=20000):
     return rows, joins
 
 
-def by_hand(rows, joins, seeds, members):
-    """The same history told one event at a time."""
+def by_hand(rows, joins, logged, members, cfg=CFG):
+    """The same history told one event at a time; ``logged`` holds (chat, user, time)."""
     events = [(r[4], 1, r[0], r) for r in rows] + [(j[3], 0, j[0], j) for j in joins]
-    seen, count, record = {}, Counter(), Counter(seeds)
+    events += [(t, 2, i, (None, chat, user)) for i, (chat, user, t) in enumerate(logged)]
+    seen, count, record = {}, Counter(), Counter()
     for (chat, user), (first, n) in members.items():
         seen[chat, user], count[chat, user] = first, n
     out = []
     for ts, is_msg, _, e in sorted(events, key=lambda e: e[:3]):
         key = (e[1], e[2])
+        if is_msg == 2:
+            record[key] += 1
+            continue
         if not is_msg:
             seen.setdefault(key, ts)
             continue
@@ -64,7 +68,7 @@ def by_hand(rows, joins, seeds, members):
         else:
             new, n = False, 0
         points = sum(p for _, p in (s_new if new else s_old))
-        score, limit = points + (min(2 * n, 4) if points else 0), 3 if new else 5
+        score, limit = points + (min(2 * n, 4) if points else 0), cfg.threshold_for(new)
         if forced:
             score, limit = 9999, 1
         if score < limit:
@@ -81,45 +85,60 @@ def by_hand(rows, joins, seeds, members):
 @pytest.mark.parametrize("seed, n, gap", [(1, 700, 20000), (2, 900, 100000), (3, 500, 3000)])
 def test_replay_against_hand(spark, seed, n, gap):
     rows, joins = random_log(seed, n, gap=gap)
-    seeds = {(1, 2): 1, (2, 3): 5, (1, 4): 2} if seed != 2 else {}
+    logged = [(1, 2, 5), (1, 4, 5), (1, 4, 9)] + [(2, 3, t) for t in range(5)] if seed != 2 else []
+    logged += [(r[1], r[2], r[4] + d) for r, d in zip(rows[50::90], (0, 1, 10 ** 9, 50, 5000))]
     members = {(1, 1): (1_600_000_000, 50), (2, 5): (1_699_999_000, 2)} if seed != 3 else {}
     scored = spark.createDataFrame(rows, DDL)
     j = spark.createDataFrame(joins, "id bigint, chat_id bigint, user_id bigint, ts_s bigint")
     m = spark.createDataFrame([(*k, *v, False) for k, v in members.items()],
                               "chat_id bigint, user_id bigint, first_seen bigint, "
                               "msg_count bigint, trusted boolean")
-    o = spark.createDataFrame([k for k, c in seeds.items() for _ in range(c)],
-                              "chat_id bigint, user_id bigint")
-    got = T.replay_verdicts(scored, j, CFG, m, o).select(
-        "message_id", "offender_id", "is_new", "prior_offences", "verdict.score").collect()
-    assert sorted(tuple(r) for r in got) == by_hand(rows, joins, seeds, members)
+    o = spark.createDataFrame(logged, "chat_id bigint, user_id bigint, ts_s bigint")
+    for cfg in (CFG, ModerationConfig(new_member_threshold=7)):  # the second for old members is lower
+        got = T.replay_verdicts(scored, j, cfg, m, o).select(
+            "message_id", "offender_id", "is_new", "prior_offences", "verdict.score").collect()
+        assert sorted(tuple(r) for r in got) == by_hand(rows, joins, logged, members, cfg)
+
+
+def test_edited_messages_are_messages(spark):
+    """One message, delivered four times as an offence, is four offences with a growing record."""
+    spam = [("rule", 5)]
+    rows = [(1, 1, 7, None, t, spam, spam, None, "delete") for t in (100, 200, 300, 400)]
+    rows += [(1, 2, 7, None, 250, [], [], None, "delete")]
+    got = T.replay_verdicts(spark.createDataFrame(rows, DDL), None, CFG).select(
+        "chat_id", "ts_s", "prior_offences").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 100, 0), (1, 200, 1), (1, 300, 2), (1, 400, 3)]
 
 
-def test_replay_rejects_inverted_thresholds(spark):
-    with pytest.raises(ValueError):
-        T.replay_verdicts(spark.createDataFrame([], DDL), None,
-                          ModerationConfig(new_member_threshold=9))
+def test_later_offences_do_not_count(spark):
+    rows = [(1, 1, 7, None, 1000, [("rule", 2)], [("rule", 2)], None, "delete")]
+    past = spark.createDataFrame([(1, 7, 2000)], "chat_id bigint, user_id bigint, ts_s bigint")
+    assert T.replay_verdicts(spark.createDataFrame(rows, DDL), None, CFG, offences=past).count() == 0
 
 
 def test_stream_equals_replay(spark):
     rows, joins = random_log(5, 400)
-    rows = [r for r in rows if r[3] is None]
     folder = new_folder(spark, "scored")
     cuts = [0, 130, 260, 10_000]
     for batch, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
         part = spark.createDataFrame([r for r in rows if lo <= r[0] < hi], DDL)
         j = spark.createDataFrame([x for x in joins if lo <= x[0] - 10_000 < hi],
                                   "id bigint, chat_id bigint, user_id bigint, ts_s bigint")
-        live.write_batch(live.stream_rows(part, j).coalesce(1), folder, batch)
+        past = spark.createDataFrame([(1, 1, 3, 1_700_000_500)] if batch == 0 else [],
+                                     "id bigint, chat_id bigint, user_id bigint, ts_s bigint")
+        for _ in range(2):  # a batch that is run again is not written again
+            live.write_batch(live.stream_rows(part, j, past).coalesce(1), folder, batch)
     initial = spark.createDataFrame([(1, 2, None, 0, 1)], "chat_id bigint, user_id bigint, "
                                     "first_seen bigint, msg_count bigint, offences bigint")
     out, sink = new_folder(spark, "out"), new_folder(spark, "cp")
     for _ in range(2):  # the second run finds nothing new
         stream = live.stream_verdicts(live.read_scored(spark, folder, 1), CFG, initial)
         live.start_offence_sink(stream, out, sink, available_now=True).awaitTermination()
+        live.write_batch(live.stream_rows(part, j).coalesce(1), folder, 2)
     got = spark.read.parquet(out).select("message_id", "user_id", "is_new", "prior_offences",
                                          "score").collect()
-    assert sorted(tuple(r) for r in got) == by_hand(rows, joins, {(1, 2): 1}, {})
+    assert sorted(tuple(r) for r in got) == by_hand(
+        rows, joins, [(1, 2, 0), (1, 3, 1_700_000_500)], {})
 
 
 def test_running_equals_window(spark):
