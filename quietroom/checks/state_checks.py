@@ -13,7 +13,7 @@ from ..sources.storage import new_folder
 from ..sources.tables import read_message_stream
 from ..streaming import live
 from .base import messages, query, with_views
-from .rule_checks import (CFG, FEATURES, FEATURE_SOURCES, LISTS, NORM_OF_TEXT, UNION, attach,
+from .rule_checks import (BANNED_VIEWS, BENIGN_SQL, CFG, FEATURES, FEATURE_SOURCES, LISTS, NORM_OF_TEXT, UNION, attach,
                           lists_of, prepared)
 from .views import load, table, view_sql
 
@@ -526,7 +526,85 @@ def _gates(spark, sf_dir):
 # --- all together ----------------------------------------------------------------------------
 
 
-@query("moderate")
+def _reasons(tag, is_new, t):
+    rows = UNION.replace("FROM g ", f"FROM g_{tag} ")
+    return f"""
+g_{tag} AS (SELECT * REPLACE ({is_new} AS is_new_member, {t} AS t) FROM g),
+sum_{tag} AS (SELECT message_id, sum(p) AS p, string_agg(reason || ' (+' || CAST(p AS BIGINT) || ')',
+  '; ' ORDER BY pos) AS why FROM (SELECT message_id, pos, hard * {t} + soft AS p, reason FROM ({rows}))
+  GROUP BY 1)"""
+
+
+_BLOCKED = ("EXISTS (SELECT 1 FROM blacklist x WHERE x.chat_id IN (m.chat_id, 0) AND "
+            "x.entity_id = coalesce(m.sender_chat_id, m.user_id))")
+_KEPT_FEATURES = FEATURES.replace("AS scan FROM messages)", "AS scan FROM kept)").replace(
+    "JOIN username_whitelist w ON w.chat_id IN (c.chat_id, 0)),",
+    "JOIN username_whitelist w ON w.chat_id IN (c.chat_id, 0)\n"
+    "  UNION SELECT chat_id, lower(username) FROM admins),")
+MODERATE = f"""
+judged AS (SELECT m.*, {_BLOCKED} AS is_blocked FROM messages m),
+kept AS (SELECT m.* REPLACE (is_forward AND NOT (sender_chat_id IS NULL AND NOT is_blocked AND EXISTS (
+    SELECT 1 FROM forward_whitelist w WHERE w.chat_id IN (m.chat_id, 0) AND w.user_id = m.user_id))
+    AS is_forward)
+  FROM judged m WHERE NOT is_automatic_forward
+    AND coalesce(sender_chat_id <> chat_id AND sender_chat_id <> linked_chat_id, TRUE)
+    AND (sender_chat_id IS NOT NULL OR NOT (user_is_bot OR user_id = 6
+      OR user_id IN (SELECT user_id FROM bot_admins)
+      OR EXISTS (SELECT 1 FROM admins a WHERE a.chat_id = m.chat_id AND a.user_id = m.user_id)))
+    AND chat_id IN (SELECT chat_id FROM admin_status WHERE known)
+    AND (is_blocked OR sender_chat_id IS NOT NULL OR NOT EXISTS (SELECT 1 FROM members x
+      WHERE x.trusted AND x.chat_id = m.chat_id AND x.user_id = m.user_id))),
+{_KEPT_FEATURES.strip()},
+g AS (SELECT f.*, length(regexp_replace(body, '[^A-Za-z]', '', 'g')) AS latin,
+  length(regexp_replace(lower(body), '[^авсеѕһіјкмнортухԁɡναβεικορτυχϲ]', '', 'g')) AS fakes,
+  {NORM_OF_TEXT} AS n FROM f),
+{_reasons('new', 'TRUE', 3)}, {_reasons('old', 'FALSE', 5)},
+{BANNED_VIEWS.strip()},
+asked AS (SELECT message_id, {BENIGN_SQL} AS asks FROM g),
+pts AS (SELECT m.message_id, m.chat_id, m.user_id, m.sender_chat_id, m.ts_s, coalesce(a.p, 0) AS p_new,
+  coalesce(b.p, 0) AS p_old, coalesce(a.why, '') AS why_new, coalesce(b.why, '') AS why_old,
+  CASE WHEN is_blocked THEN 'blocked_sender' WHEN NOT asks AND hits IS NOT NULL THEN
+    'banned_phrase: ' || array_to_string(hits[1:3], ', ') END AS forced
+  FROM kept m JOIN asked USING (message_id) LEFT JOIN sum_new a USING (message_id)
+  LEFT JOIN sum_old b USING (message_id) LEFT JOIN banned USING (message_id)),
+ev AS (SELECT *, row_number() OVER (PARTITION BY chat_id, user_id ORDER BY ts_s, is_msg, id) AS rn
+  FROM (SELECT chat_id, user_id, ts_s, 1 AS is_msg, message_id AS id, p_new, p_old, forced FROM pts
+    WHERE sender_chat_id IS NULL
+    UNION ALL SELECT chat_id, user_id, ts_s, 0, id, 0, 0, NULL FROM joins
+    UNION ALL SELECT chat_id, 1 + user_id % 37, ts_s, 2, id, 0, 0, NULL FROM offences)),
+fold AS (
+  SELECT k.chat_id, k.user_id, CAST(0 AS BIGINT) AS rn, x.first_seen, coalesce(msg_count, 0) AS cnt,
+    CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS message_id, FALSE AS is_new,
+    CAST(0 AS BIGINT) AS prior, FALSE AS spam
+  FROM (SELECT DISTINCT chat_id, user_id FROM ev) k LEFT JOIN members x USING (chat_id, user_id)
+  UNION ALL
+  SELECT chat_id, user_id, rn, CASE WHEN spam THEN NULL ELSE fs END, CASE WHEN spam THEN 0 ELSE cnt END,
+    prior + CASE WHEN spam OR is_msg = 2 THEN 1 ELSE 0 END, id, is_new, prior, spam
+  FROM (SELECT *, is_msg = 1 AND (forced IS NOT NULL OR score >= CASE WHEN is_new THEN 3 ELSE 5 END) AS spam
+    FROM (SELECT *, CASE WHEN is_new THEN p_new ELSE p_old END + CASE WHEN
+        CASE WHEN is_new THEN p_new ELSE p_old END > 0 THEN least(2 * prior, 4) ELSE 0 END AS score
+      FROM (SELECT *, coalesce(ts_s - fs < 86400, FALSE) OR cnt <= 3 AS is_new
+        FROM (SELECT e.*, CASE WHEN is_msg = 2 THEN f.first_seen ELSE coalesce(f.first_seen, e.ts_s) END
+            AS fs, f.cnt + CASE WHEN is_msg = 1 THEN 1 ELSE 0 END AS cnt, f.n AS prior
+          FROM fold f JOIN ev e ON e.chat_id = f.chat_id AND e.user_id = f.user_id
+            AND e.rn = f.rn + 1))))),
+found AS (SELECT message_id, is_new, prior FROM fold WHERE spam
+  UNION ALL SELECT message_id, FALSE, CAST(0 AS BIGINT) FROM pts
+    WHERE sender_chat_id IS NOT NULL AND (forced IS NOT NULL OR p_old >= 5)),
+told AS (SELECT p.*, is_new, prior, CASE WHEN is_new THEN p_new ELSE p_old END AS base,
+  CASE WHEN is_new THEN why_new ELSE why_old END AS why FROM found JOIN pts p USING (message_id))"""
+_MODERATED = """
+SELECT message_id, chat_id, coalesce(sender_chat_id, user_id) AS offender_id, is_new,
+  prior AS prior_offences, CAST(CASE WHEN forced IS NOT NULL THEN 9999
+    ELSE base + CASE WHEN base > 0 THEN least(2 * prior, 4) ELSE 0 END END AS BIGINT) AS score,
+  CASE WHEN forced IS NOT NULL THEN forced WHEN base > 0 AND prior > 0 THEN why ||
+    '; prior_offences: ' || prior || ' (+' || least(2 * prior, 4) || ')' ELSE why END AS reasons,
+  'ban' AS action, CAST(NULL AS BIGINT) AS until FROM told"""
+
+
+@query("moderate", with_views(
+    _MODERATED, *FEATURE_SOURCES, "keyword_blacklist", "blacklist", "forward_whitelist", "members",
+    "bot_admins", "admins", "admin_status", "joins", "offences", more=MODERATE, recursive=True))
 def _moderate(spark, sf_dir):
     names = (*LISTS, "keyword_blacklist", "blacklist", "forward_whitelist", "members",
              "bot_admins")
@@ -535,5 +613,6 @@ def _moderate(spark, sf_dir):
                    load(spark, sf_dir, "admin_status"), CFG, joins=load(spark, sf_dir, "joins"),
                    offences=past_offences(spark, sf_dir), owners=(6,))
     return A.resolve_action(out, CFG).select(
-        "message_id", "chat_id", "offender_id", "is_new", "prior_offences", "verdict.score",
+        "message_id", "chat_id", "offender_id", "is_new", "prior_offences",
+        F.col("verdict.score").cast("bigint").alias("score"),
         F.array_join("verdict.reasons", "; ").alias("reasons"), "action", "until")
