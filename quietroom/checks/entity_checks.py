@@ -6,12 +6,9 @@ from ..functions import entities as E
 from .base import AFTER, BEFORE, joined, messages, query, with_views
 from .views import load, table
 
-TLDS = (
-    "com|net|org|io|co|xyz|top|icu|click|link|work|buzz|cfd|rest|monster|"
-    "shop|site|online|live|vip|win|bet|casino|app|dev|me|tv|info|biz|ru|cn|"
-    "vn|us|uk|asia|pro|store|fun|life|world|space|website|host|art|club")
+# --- fixed values, in the other engine's pattern dialect -----------------------------------
 URL_SQL = (BEFORE + r"((?i:(?:https?://|www\.)?(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+(?:"
-           + TLDS + r"))\b(?:/\S*)?)")
+           + E.LINK_TLDS + r"))\b(?:/\S*)?)")
 PHONE_SQL = (r"(?:^|[^\d+])(0[35789]\d(?:[\s.\-]?\d){7})(?:$|\D)"
              r"|(\+\d{1,3}[\s.\-]?\d(?:[\s.\-]?\d){5,13})(?:$|\D)")
 CRYPTO_SQL = (r"\b(bc1|[13])[a-hj-np-z0-9]{25,62}\b|\b0x[a-fA-F0-9]{40}\b"
@@ -24,6 +21,7 @@ MONEY_SQL = (BEFORE + r"(?i:\d{2,4}\s*(?:k|m|usd))" + AFTER
              + "|" + BEFORE + r"(?i:\d{1,4}\s*(?:tr|trieu|triệu|củ|cu))" + AFTER
              + r"|[$₫]\s*\d{3,}")
 EMOJI_SQL = r"[^\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{2B00}-\x{2BFF}]"
+# ------------------------------------------------------------------------------------------
 BODY_SQL = "concat_ws(' ', nullif(text, ''), nullif(caption, ''))"
 SCAN_SQL = f"trim(concat_ws(' ', {BODY_SQL}, qr_payload, ocr_text))"
 

@@ -1,5 +1,8 @@
 """Lists, settings, presets, exemptions, sources and sinks."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ModerationConfig
@@ -31,19 +34,25 @@ RULE_VIEWS = ("members", "chat_whitelist", "forward_whitelist", "blacklist",
               "starters")
 
 
-@query("read_rule_tables", with_views("\nUNION ALL ".join(
-    f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in RULE_VIEWS), *RULE_VIEWS))
+def _columns(name):
+    return [c.split()[0] for c in RULE_TABLES[name].split(",")]
+
+
+def _rows_sql(name):
+    shown = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in _columns(name))
+    return f"SELECT '{name}' AS name, concat_ws('|', {shown}) AS cells FROM {name}"
+
+
+@query("read_rule_tables", with_views("\nUNION ALL ".join(map(_rows_sql, RULE_VIEWS)), *RULE_VIEWS))
 def _read_rules(spark, sf_dir):
     folder = new_folder(spark, "rules")
     for n in RULE_VIEWS:
         S.typed(load(spark, sf_dir, n), RULE_TABLES[n]).write.parquet(f"{folder}/{n}")
     rules = S.read_rules(spark, folder)
-    counts = [rules[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n")
-              for n in RULE_VIEWS]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    cells = [rules[n].select(F.lit(n).alias("name"), F.concat_ws("|", *[
+        F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in _columns(n)]).alias("cells"))
+        for n in RULE_VIEWS]
+    return reduce(DataFrame.unionByName, cells)
 
 
 # verdict rows of spam messages; the mode by chat, so that all actions appear

@@ -220,7 +220,7 @@ RULES_SQL = {
                         "CASE WHEN message_id % 108 = 72 THEN 0 ELSE 1 END",
                         "CASE WHEN message_id % 108 = 72 THEN 1 ELSE 0 END",
                         """CASE message_id % 108 WHEN 0 THEN 'qr_payment'
-  WHEN 18 THEN 'qr_unknown_link: kubet-vip.top' WHEN 36 THEN 'qr_wallet' WHEN 54 THEN 'qr_invite'
+  WHEN 18 THEN 'qr_unknown_link: lucky-draw.example.biz' WHEN 36 THEN 'qr_wallet' WHEN 54 THEN 'qr_invite'
   ELSE 'qr_allowed_link' END"""),
     "rule_mentions": ("len(unknown_ats) > 0 OR len(handles) >= 3",
                       "CASE WHEN len(unknown_ats) > 0 THEN 1 ELSE 0 END",

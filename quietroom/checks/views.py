@@ -32,7 +32,7 @@ SELECT doc_id AS message_id,
     WHEN 3 THEN concat(text, ' visit http://promo-site.xyz/win?x=1 today')
     WHEN 4 THEN concat(text, ' short link tinyurl.com/abc123')
     WHEN 5 THEN concat(text, ' join t.me/+AbCdEf now')
-    WHEN 6 THEN concat(text, ' wallet 0x', repeat('9f8e7d6c5b', 4))
+    WHEN 6 THEN concat(text, ' wallet 0x', repeat('c0ffee12ab', 4))
     WHEN 7 THEN concat(text, ' call 09', lpad(CAST(doc_id AS {{string}}), 8, '0'),
                        ' or +84 912 345 678')
     WHEN 8 THEN concat(text, ' ask @helper_one and @helper_two or @customer_',
@@ -73,12 +73,12 @@ SELECT doc_id AS message_id,
   doc_id % 31 = 0 AS user_is_bot,
   doc_id % 18 = 0 AS has_qr,
   CASE doc_id % 108
-    WHEN 0 THEN '00020101021238570010A000000727012700069704180112345678905303704 5802VN6304ABCD'
-    WHEN 18 THEN 'https://kubet-vip.top/dangky?ref=99'
-    WHEN 36 THEN 'bitcoin:bc1qxy2kgdygjrsqtzq2n0yrf2493p83kkfjhx0wlh?amount=0.5'
-    WHEN 54 THEN 'tg://resolve?domain=somechannel'
+    WHEN 0 THEN '000201010211320015BAKERYSTAND0042530397854047.506304BEEF'
+    WHEN 18 THEN 'https://lucky-draw.example.biz/enter?table=7'
+    WHEN 36 THEN concat('bitcoin:1', repeat('QuietRoom9', 3), '?amount=3')
+    WHEN 54 THEN 'tg://join?invite=OpenKitchen'
     WHEN 72 THEN 'https://docs.example.org/en/guide'
-    WHEN 90 THEN 'WIFI:S:Office;T:WPA;P:secret123;;' END AS qr_payload,
+    WHEN 90 THEN 'BEGIN:VCARD;FN:Reading Room;END:VCARD' END AS qr_payload,
   CASE WHEN doc_id % 24 = 0 THEN 'thu nhap thu dong, nhanh tay' ELSE '' END AS ocr_text,
   doc_id % 3 = 0 AS is_new_member,
   CAST(doc_id % 4 AS BIGINT) AS prior_offences
@@ -208,10 +208,6 @@ SELECT event_id AS message_id, CAST(1 + event_id % 5 AS BIGINT) AS chat_id, {epo
 FROM {events}
 """,
     "links": "SELECT page_id, url FROM {pages}",
-    "conversations_text": """
-SELECT conv_id * 1000 + turn AS message_id, CAST(1 + conv_id % 5 AS BIGINT) AS chat_id,
-  conv_id AS user_id, role, text FROM {conversations}
-""",
 }
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "events", "documents", "pages",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -66,23 +67,31 @@ def read_message_stream(spark: SparkSession, path: str, schema: str | StructType
     return typed(reader.load(path), MESSAGE, mapping)
 
 
-def read_rules(spark: SparkSession, folder: str, fmt: str = "parquet") -> dict[str, DataFrame]:
-    """The list and member tables found under ``folder``; a missing one is empty."""
+def read_rules(spark: SparkSession, folder: str, fmt: str = "parquet",
+               optional: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The list and member tables under ``folder``.
+
+    A table that is not there is an error, as a lost block list would go unnoticed; those named
+    in ``optional`` are then empty.
+    """
     out = {}
     for name, ddl in RULE_TABLES.items():
         try:
             out[name] = typed(spark.read.format(fmt).load(f"{folder}/{name}"), ddl)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND" or name not in optional:
                 raise
             out[name] = spark.createDataFrame([], ddl)
     return out
 
 
-def write_offences(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Append offence rows, one folder per day (UTC)."""
+def write_offences(rows: DataFrame, path: str, mode: str = "append", files_per_day: int = 4) -> None:
+    """Append offence rows, one folder per day (UTC) with a few files each, however many tasks
+    found them."""
     day = F.date_from_unix_date(F.floor(F.col("ts_s") / 86400).cast("int"))
-    rows.withColumn("date", day).write.mode(mode).partitionBy("date").parquet(path)
+    part = F.pmod(F.xxhash64("chat_id", "user_id", "ts_s", "message_id"), F.lit(files_per_day))
+    (rows.withColumn("date", day).repartition("date", part)
+     .write.mode(mode).partitionBy("date").parquet(path))
 
 
 def read_offences(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,7 @@ from quietroom.operators import images as I
 from quietroom.operators import lists as L
 from quietroom.plans.moderate import moderate
 from quietroom.plans import reports as P
-from quietroom.schemas import MESSAGE
+from quietroom.schemas import MESSAGE, RULE_TABLES
 from quietroom.sources import tables as S
 from quietroom.sources.storage import new_folder
 
@@ -178,7 +178,7 @@ def test_moderate_from_files(spark):
     known = spark.createDataFrame([(1, True), (2, False)], "chat_id bigint, known boolean")
     log = spark.createDataFrame([(1, 0, "action", "Ban")],
                                 "id bigint, ts_s bigint, key string, value string")
-    out = moderate(S.read_messages(spark, path, "json"), S.read_rules(spark, lists), chats, admins,
+    out = moderate(S.read_messages(spark, path, "json"), S.read_rules(spark, lists, optional=tuple(RULE_TABLES)), chats, admins,
                    known, ModerationConfig(action="report"), settings_log=log)
     got = sorted((r.message_id, r.is_new, r.prior_offences, r.verdict.score, r.mode)
                  for r in out.collect())
@@ -186,6 +186,12 @@ def test_moderate_from_files(spark):
     assert got == [(2, True, 0, 4, "ban"), (3, True, 1, 3, "ban"), (4, True, 2, 5, "ban")]
 
 
+def test_missing_list_is_an_error(spark):
+    folder = new_folder(spark, "lists")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        S.read_rules(spark, folder)
+
+
 def test_stored_settings_win(spark):
     s = spark.createDataFrame([("cfg:block_links", "0"), ("cfg:scan_qr", "yes"), ("action", " MUTE ")],
                               "key string, value string")

@@ -32,7 +32,7 @@ SPAM = [
     dict(text="join https://t.me/+AbCdEf for guaranteed profit"),
     dict(text="hi", is_forward=True), dict(text="hi", from_channel=True), dict(has_story=True),
     dict(has_qr=True, qr_payloads=["000201010212530370454065802VN"]),
-    dict(has_qr=True, qr_payloads=["https://kubet.top/x"]),
+    dict(has_qr=True, qr_payloads=["https://lucky-draw.example.biz/x"]),
     dict(has_qr=True, qr_payloads=["tuyen ctv online, nha cai uy tin"]),
     dict(text="hello", sender_name="Trợ Lý"), dict(text="ask @somebody"),
     dict(text="call +1 202 555 0100"), dict(ocr_text="vay nong, lo de, soi cau"),
