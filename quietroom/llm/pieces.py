@@ -31,8 +31,6 @@ import heapq
 import math
 import re
 from dataclasses import dataclass
-from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -53,23 +51,79 @@ _CUTS = (
     re.compile(rf" +{_SIGNS}*{_LETTERS}*|{_SIGNS}+{_LETTERS}*|{_LETTERS}+|\n"),
     re.compile(r" +[^ \n]*|[^ \n]+|\n"),
 )
-#: Units kept per worker.
-_CACHED = 400_000
+_WORDS = re.compile(r" +[^ ]*")
+#: Words and units kept per worker, texts and units worked on together, and length of units up to which
+#: they are.
+_CACHED, _TEXTS, _TOGETHER, _SHORT = 450_000, 500, 20_000, 48
 #: Cost of the next best segmentation where there is none.
 _NONE = 1 << 62
 
 
-class _Units(dict):
-    """What a worker knows of the units it has met; emptied when large."""
+class _Tree:
+    """The characters of all pieces as a tree of numbered nodes, for whole arrays of units.
 
-    def __init__(self, vocabulary: "Vocabulary"):
-        self.vocabulary = vocabulary
+    A step from node to node is a search for (node, character) in one sorted array.
+    """
 
-    def __missing__(self, text: str) -> tuple[int, tuple[int, ...], int]:
-        if len(self) >= _CACHED:
+    def __init__(self, pieces: dict[str, tuple[int, int]]):
+        steps: dict[tuple[int, str], int] = {}
+        ends = {}
+        for text, piece in pieces.items():
+            node = 0
+            for ch in text:
+                node = steps.setdefault((node, ch), len(steps) + 1)
+            ends[node] = piece
+        order = sorted((n << 21 | ord(ch), child) for (n, ch), child in steps.items())
+        self.keys = np.array([k for k, _ in order], np.int64)
+        self.child = np.array([c for _, c in order], np.int64)
+        self.score, self.piece = np.zeros(len(steps) + 1, np.int64), np.full(len(steps) + 1, -1, np.int32)
+        for node, (score, k) in ends.items():
+            self.score[node], self.piece[node] = score, k
+
+    def step(self, nodes: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which nodes have a child for their character, and these children."""
+        key = nodes << 21 | chars
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        found = self.keys[at] == key
+        return found, self.child[at[found]]
+
+
+class _Known(dict):
+    """Numbers of the stretches of text a worker has met, and per number: the best score, the
+    cost of the next best segmentation, and the ids of the best one.  ``find`` gives these, and
+    the numbers of ids, for a list of stretches."""
+
+    def __init__(self, find):
+        self.find, self.names, self.done = find, [], 0
+        self.total, self.second = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def __missing__(self, unit: str) -> int:
+        number = self[unit] = len(self.names)
+        self.names.append(unit)
+        return number
+
+    def numbers(self, units: list[str]) -> np.ndarray:
+        if len(self.names) > _CACHED:
+            self.__init__(self.find)
             self.clear()
-        found = self[text] = self.vocabulary.best(text)
-        return found
+        out = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
+        new = self.names[self.done:]
+        if new:
+            total, second, counts, ids = self.find(new)
+            self.total = np.concatenate([self.total, total])
+            self.second = np.concatenate([self.second, second])
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
+            self.ids = np.concatenate([self.ids, ids])
+            self.done = len(self.names)
+        return out
+
+    def paths(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the best segmentations, one after the other, and the number of each unit's."""
+        counts = self.start[numbers + 1] - self.start[numbers]
+        ends = np.cumsum(counts)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[numbers] - (ends - counts), counts)
+        return self.ids[at], counts
 
 
 @dataclass
@@ -84,14 +138,15 @@ class Vocabulary:
     cut: re.Pattern | None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("tree", "units", "searched")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("tree", "nodes", "units", "words", "searched")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.__post_init__()
 
     def __post_init__(self):
-        self.tree, self.units, self.searched = {}, _Units(self), {}
+        self.tree, self.nodes, self.searched = {}, None, {}
+        self.units, self.words = _Known(self.best_of_all), _Known(self.best_of_words)
 
     # --- encoding ----------------------------------------------------------------------
 
@@ -166,6 +221,97 @@ class Vocabulary:
                 second = best[i] + way
         return total, tuple(self._ids(text, reversed(path))), _NONE if second is None else total - second
 
+    def best_of_all(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``best`` for many units: scores, costs of the next best, numbers of ids, all ids."""
+        if self.nodes is None:
+            self.nodes = _Tree(self.pieces)
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        total, second = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        found: list = [None] * len(units)
+        order = np.argsort(size, kind="stable")
+        for a in range(0, len(order), _TOGETHER):
+            part = order[a:a + _TOGETHER]
+            short = part[size[part] <= _SHORT]
+            if len(short):
+                names = [units[i] for i in short]
+                total[short], second[short], paths, odd = self._best_of_short(names, size[short])
+                for i, path in zip(short, paths):
+                    found[i] = path
+            else:
+                odd = np.zeros(0, np.int64)
+            for i in [*short[odd], *part[size[part] > _SHORT]]:
+                total[i], path, second[i] = self.best(units[i])
+                found[i] = np.array(path, np.int32)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return total, second, counts, np.concatenate(found) if found else np.zeros(0, np.int32)
+
+    def best_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same for words, each behind a blank, from their units."""
+        parts = [self.cut.findall(" " + w) if self.cut else [" " + w] for w in words]
+        first = np.cumsum([0] + [len(p) for p in parts])
+        numbers = self.units.numbers([u for p in parts for u in p])
+        ids, counts = self.units.paths(numbers)
+        total = np.add.reduceat(self.units.total[numbers], first[:-1])
+        second = np.minimum.reduceat(self.units.second[numbers], first[:-1])
+        return total, second, np.add.reduceat(counts, first[:-1]), ids
+
+    def _best_of_short(self, names: list[str], size: np.ndarray):
+        """The two passes of ``best`` over all units at once, place by place.  Units with a
+        character that no piece covers are left to ``best``; their numbers come last."""
+        n, width, tree = len(names), int(size.max()), self.nodes
+        chars = np.array(names, f"U{width}").view(np.uint32).reshape(n, width).astype(np.int64)
+        best = np.full((n, width + 1), -_NONE, np.int64)
+        best[:, 0] = 0
+        back, into = np.zeros((n, width + 1), np.int16), np.zeros((n, width + 1), np.int32)
+        edges, odd = [], np.zeros(n, bool)
+        for i in range(width):
+            rows = np.flatnonzero(size > i)
+            single = np.zeros(n, bool)
+            nodes, here = np.zeros(len(rows), np.int64), rows
+            for step in range(1, width - i + 1):
+                inside = size[here] >= i + step
+                here, nodes = here[inside], nodes[inside]
+                known, nodes = tree.step(nodes, chars[here, i + step - 1])
+                here = here[known]
+                if not len(here):
+                    break
+                ends = tree.piece[nodes] >= 0
+                r, k = here[ends], nodes[ends]
+                if step == 1:
+                    single[r] = True
+                if len(r):
+                    score = best[r, i] + tree.score[k]
+                    more = score > best[r, i + step]
+                    b = r[more]
+                    best[b, i + step], back[b, i + step], into[b, i + step] = score[more], step, tree.piece[k[more]]
+                    edges.append((i, step, r, tree.score[k]))
+            lacking = rows[~single[rows]]
+            odd[lacking] = True
+            best[lacking, i + 1] = np.maximum(best[lacking, i + 1], best[lacking, i] + self.unknown)
+        # back along the best path
+        path, at, steps = np.zeros((n, width), np.int32), size.copy(), np.zeros(n, np.int64)
+        used = np.zeros((n, width + 1), bool)
+        live = np.flatnonzero(~odd)
+        while len(live):
+            p = at[live]
+            used[live, p] = True
+            path[live, steps[live]] = into[live, p]
+            steps[live] += 1
+            at[live] = p - back[live, p]
+            live = live[at[live] > 0]
+        onward = np.full((n, width + 1), -_NONE, np.int64)
+        onward[np.arange(n), size] = 0
+        second = np.full(n, -_NONE, np.int64)
+        for i, step, r, score in reversed(edges):
+            way = score + onward[r, i + step]
+            onward[r, i] = np.maximum(onward[r, i], way)
+            off = ~(used[r, i + step] & (back[r, i + step] == step))
+            second[r[off]] = np.maximum(second[r[off]], best[r[off], i] + way[off])
+        total = best[np.arange(n), size]
+        cost = np.where(second <= -_NONE // 2, _NONE, total - second)
+        paths = [row[:c][::-1] for row, c in zip(path, steps)]
+        return total, cost, paths, np.flatnonzero(odd)
+
     def search(self, text: str, n: int) -> list[tuple[int, list[int]]]:
         """The n best segmentations of a unit, by A* from its end: (score, ids), best first."""
         edges, best, _ = self._lattice(text)
@@ -187,52 +333,74 @@ class Vocabulary:
                 heapq.heappush(queue, (-(best[i] + s + after), pushed, i, after + s, (i, k, path)))
         return out
 
-    def alternatives(self, text: str, n: int) -> list[tuple[int, list[int]]]:
-        """The n best segmentations of a unit besides the one that ``best`` gives: (cost, ids)."""
+    def alternatives(self, text: str, n: int, best: np.ndarray) -> list[tuple[int, list[int]]]:
+        """The n best segmentations of a word besides ``best``, its best one: (cost, ids)."""
         found = self.searched.get((n, text))
         if found is None:
             if len(self.searched) >= _CACHED // 8:
                 self.searched.clear()
-            top, ids, _ = self.units[text]
-            others = [(top - s, x) for s, x in self.search(text, n + 1) if tuple(x) != ids]
+            ids, every = best.tolist(), self.search(" " + text, n + 1)
+            others = [(every[0][0] - s, x) for s, x in every if x != ids]
             found = self.searched[n, text] = others[:n]
         return found
 
-    def encode(self, text: str, n: int) -> list[tuple[int, list[int]]]:
+    def encode(self, text: str, n: int) -> list[tuple[int, np.ndarray]]:
         """The n best segmentations of a text: (score, ids), best first."""
-        if not text:
-            return [(0, [])]
-        text = " " + text
-        names = self.cut.findall(text) if self.cut else [text]
-        units = list(map(self.units.__getitem__, names))
-        total = sum(map(itemgetter(0), units))
-        ids = list(chain.from_iterable(map(itemgetter(1), units)))
-        out = [(total, ids)]
-        # units by their cheapest alternative; no solution needs more than n - 1 of them
-        costs, places = list(map(itemgetter(2), units)), []
-        while len(places) < n - 1 and (least := min(costs)) < _NONE:
-            places.append(costs.index(least))
-            costs[places[-1]] = _NONE
-        other = [self.alternatives(names[at], n - 1) for at in places]
-        starts = [sum(len(u[1]) for u in units[:at]) for at in places]
+        return self.encode_all([text], n)[0]
+
+    def encode_all(self, texts: list[str], n: int) -> list[list[tuple[int, np.ndarray]]]:
+        names, upto = [], [0]
+        for text in texts:
+            if text and self.cut and "  " in text:
+                names += [w[1:] for w in _WORDS.findall(" " + text)]
+            elif text:
+                names += text.split(" ") if self.cut else [text]
+            upto.append(len(names))
+        numbers = self.words.numbers(names)
+        ids, counts = self.words.paths(numbers)
+        totals = np.concatenate([[0], np.cumsum(self.words.total[numbers])])
+        at = np.concatenate([[0], np.cumsum(counts)])
+        return [self._n_best(names, numbers, at, ids, int(totals[b] - totals[a]), a, b, n)
+                for a, b in zip(upto, upto[1:])]
+
+    def _n_best(self, names, numbers, at, ids, total: int, a: int, b: int, n: int):
+        """The n best of the text that is words a to b, whose best ids lie at at[a]..at[b]."""
+        mine = ids[at[a]:at[b]]
+        out = [(total, mine)]
+        if n == 1 or a == b:
+            return out
+        # words by their cheapest alternative; no solution needs more than n - 1 of them
+        costs = self.words.second[numbers[a:b]]
+        places = np.lexsort((np.arange(b - a), costs))[:n - 1] if b - a < 4 * n else self._cheapest(costs, n - 1)
+        places = [int(p) for p in places if costs[p] < _NONE]
+        other = [self.alternatives(names[a + p], n - 1, ids[at[a + p]:at[a + p + 1]]) for p in places]
         queue: list[tuple] = []
         if places:
             heapq.heappush(queue, (other[0][0][0], 0, 0, ((0, 0),)))
         while queue and len(out) < n:
-            cost, i, a, chosen = heapq.heappop(queue)
-            swapped = list(ids)
-            for j, b in sorted(chosen, key=lambda x: -places[x[0]]):  # from the end, so places hold
-                swapped[starts[j]:starts[j] + len(units[places[j]][1])] = other[j][b][1]
-            out.append((total - cost, swapped))
-            if a + 1 < len(other[i]):
-                heapq.heappush(queue, (cost - other[i][a][0] + other[i][a + 1][0], i, a + 1, (*chosen[:-1], (i, a + 1))))
+            cost, i, c, chosen = heapq.heappop(queue)
+            swap = sorted((places[j], other[j][d][1]) for j, d in chosen)
+            parts, last = [], at[a]
+            for p, new in swap:
+                parts += [ids[last:at[a + p]], np.array(new, np.int32)]
+                last = at[a + p + 1]
+            out.append((total - cost, np.concatenate([*parts, ids[last:at[b]]])))
+            if c + 1 < len(other[i]):
+                heapq.heappush(queue, (cost - other[i][c][0] + other[i][c + 1][0], i, c + 1, (*chosen[:-1], (i, c + 1))))
             if i + 1 < len(places):
                 more = other[i + 1][0][0]
                 heapq.heappush(queue, (cost + more, i + 1, 0, (*chosen, (i + 1, 0))))
-                if a == 0:
+                if c == 0:
                     heapq.heappush(queue, (cost - other[i][0][0] + more, i + 1, 0, (*chosen[:-1], (i + 1, 0))))
         return out
 
+    @staticmethod
+    def _cheapest(costs: np.ndarray, n: int) -> list[int]:
+        """Places of the n smallest costs, the earlier first among equals."""
+        limit = np.partition(costs, n - 1)[n - 1]
+        near = np.flatnonzero(costs <= limit)
+        return near[np.lexsort((near, costs[near]))][:n].tolist()
+
     # --- decoding ----------------------------------------------------------------------
 
     def decode(self, ids) -> str:
@@ -267,28 +435,35 @@ def read_vocabulary(path: str = MODEL) -> Vocabulary:
                       worst - 10 * UNIT, sp.unk_id(), cut)
 
 
-def _nested(lists: list[list[list[int]]]) -> pa.Array:
-    """array<array<int>> without Python objects in between."""
-    flat = [ids for paths in lists for ids in paths]
+def _nested(found: list) -> pa.Array:
+    """array<array<int>> of the paths, without Python numbers in between."""
+    flat = [ids for paths in found for _, ids in paths]
     inner = np.cumsum([0] + [len(x) for x in flat], dtype=np.int32)
-    outer = np.cumsum([0] + [len(x) for x in lists], dtype=np.int32)
-    values = np.concatenate([np.array(x, np.int32) for x in flat]) if flat else np.zeros(0, np.int32)
+    outer = np.cumsum([0] + [len(x) for x in found], dtype=np.int32)
+    values = np.concatenate(flat).astype(np.int32, copy=False) if flat else np.zeros(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), pa.array(values)))
 
 
 def encoder(spark, path: str = MODEL, n: int = N_BEST):
-    """A column function: text to struct<scores array<double>, paths array<array<int>>>, best first."""
+    """A column function: text to struct<scores array<double>, paths array<array<int>>, round_trip
+    boolean>, best first.  ``round_trip`` says whether the best path, decoded, is the text."""
     ship(spark)
     vocabulary = spark.sparkContext.broadcast(read_vocabulary(path))
 
-    @arrow_udf("struct<scores:array<double>,paths:array<array<int>>>")
+    @arrow_udf("struct<scores:array<double>,paths:array<array<int>>,round_trip:boolean>")
     def encode(texts: pa.Array) -> pa.Array:
-        voc = vocabulary.value
-        found = [[] if t is None else voc.encode(t, n) for t in texts.to_pylist()]
-        scores = pa.array([[s / UNIT for s, _ in f] for f in found], pa.list_(pa.float64()))
-        return pa.StructArray.from_arrays([scores, _nested([[ids for _, ids in f] for f in found])],
-                                          names=["scores", "paths"])
-
+        voc, out = vocabulary.value, []
+        for a in range(0, len(texts), _TEXTS):
+            part = texts.slice(a, _TEXTS).to_pylist()
+            found = [x if t is not None else [] for t, x in zip(part, voc.encode_all(part, n))]
+            back = [None if t is None else voc.decode(x[0][1].tolist()) == t for t, x in zip(part, found)]
+            scores = pa.array([[s / UNIT for s, _ in x] for x in found], pa.list_(pa.float64()))
+            out.append(pa.StructArray.from_arrays([scores, _nested(found), pa.array(back, pa.bool_())],
+                                                  names=["scores", "paths", "round_trip"]))
+        return pa.concat_arrays(out) if out else pa.array([], out_type)
+
+    out_type = pa.struct([("scores", pa.list_(pa.float64())), ("paths", pa.list_(pa.list_(pa.int32()))),
+                          ("round_trip", pa.bool_())])
     return lambda text: F.when(text.isNotNull(), encode(text))
 
 
@@ -299,23 +474,18 @@ def decoder(spark, path: str = MODEL):
 
     @arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        voc = vocabulary.value
-        offsets = ids.offsets.to_numpy()
-        values = ids.values.to_numpy(zero_copy_only=False).tolist()
-        gone = ids.is_null().to_pylist()
-        return pa.array([None if no else voc.decode(values[a:b]) for no, a, b in zip(gone, offsets, offsets[1:])],
-                        pa.string())
+        return pa.array([None if x is None else vocabulary.value.decode(x) for x in ids.to_pylist()], pa.string())
 
     return decode
 
 
 def encode_documents(docs: DataFrame, path: str = MODEL, n: int = N_BEST, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """doc_id, text, scores, paths: the n best segmentations of every text."""
+    """doc_id, text, scores, paths, round_trip: the n best segmentations of every text."""
     encode = encoder(docs.sparkSession, path, n)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.withColumn("_found", encode(F.col("text"))).select(
-        "doc_id", "text", F.col("_found.scores").alias("scores"), F.col("_found.paths").alias("paths"))
+        "doc_id", "text", *[F.col(f"_found.{c}").alias(c) for c in ("scores", "paths", "round_trip")])
 
 
 def decode_best(encoded: DataFrame, path: str = MODEL) -> DataFrame:

@@ -38,8 +38,8 @@ def test_n_best_against_all_paths(text):
     for n in (1, 2, 5, 8):
         got = voc.encode(text, n)
         assert [s for s, _ in got] == want[:n]
-        assert len({tuple(p) for _, p in got}) == len(got)
-        assert all((s, tuple(p)) in all_paths for s, p in got)
+        assert len({tuple(p.tolist()) for _, p in got}) == len(got)
+        assert all((s, tuple(p.tolist())) in all_paths for s, p in got)
 
 
 def test_n_best_against_the_library():
@@ -61,12 +61,26 @@ def test_n_best_against_the_library():
         assert [s / pieces.UNIT for s, _ in voc.encode(text, 4)] == pytest.approx(want, abs=1e-3)
 
 
+def test_many_units_at_once_equal_one_by_one():
+    chance, voc = random.Random(2), vocabulary()
+    units = [" " * chance.randint(0, 2) + "".join(chance.choice("therandoisn.,é日\u2581😀") for _ in range(chance.randint(1, 14)))
+             for _ in range(800)] + ["\n", "x" * 200, " "]
+    total, second, counts, ids = voc.best_of_all(units)
+    at = 0
+    for unit, t, s, c in zip(units, total, second, counts):
+        want = voc.best(unit)
+        assert (t, tuple(ids[at:at + c]), s) == want
+        found = voc.search(unit, 2)
+        assert found[0][0] == t and (len(found) == 1 or t - found[1][0] == s)
+        at += c
+
+
 def test_round_trip_in_spark(spark, documents, odd):
     df = documents(odd + [(30, "tab\tand\r\nline  ends \n"), (31, "😀 ▁▁ \u0000 ok"), (32, "xx" * 3000)], clash=True)
     got = pieces.decode_best(pieces.encode_documents(df, n=3)).collect()
     assert len(got) == df.count()
     for r in got:
-        assert r.decoded == r.text
+        assert r.decoded == r.text and r.round_trip == (None if r.text is None else True)
         if r.text is None:
             assert r.paths is None
         elif r.text == "":
