@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import ModerationConfig
 from ..functions import entities as E
-from .lists import broadcast_if_small
+from ..sources.storage import staged
 
 ENOUGH_PIXELS = 1280  # fixed value: a longer side than this adds nothing
 
@@ -15,11 +15,13 @@ RENDITION = "file_id:string,unique_id:string,file_size:bigint,width:int,height:i
 
 
 def _ref(r) -> Column:
-    return F.struct(r["file_id"].alias("file_id"), r["unique_id"].alias("unique_id"))
+    return F.struct(r["file_id"].alias("file_id"), r["unique_id"].alias("unique_id"),
+                    r["file_size"].alias("file_size"))
 
 
 def pick_rendition(msgs: DataFrame, max_bytes: int) -> DataFrame:
-    """Add ``image``: the picture worth decoding as ``struct<file_id, unique_id>``, or null.
+    """Add ``image``: the picture worth decoding as ``struct<file_id, unique_id, file_size>``, or
+    null, and ``image_bytes``, its size.
 
     Columns ``photo`` (array of renditions), ``document`` and ``sticker`` (one rendition
     each, with ``mime_type`` and ``animated``).  Of the photo renditions within ``max_bytes``
@@ -45,9 +47,9 @@ def pick_rendition(msgs: DataFrame, max_bytes: int) -> DataFrame:
         F.coalesce("document.mime_type", F.lit("")), F.lit("image/")) & fits("document")
     sticker = (F.col("sticker").isNotNull() & ~F.coalesce("sticker.animated", F.lit(False))
                & fits("sticker"))
-    return msgs.withColumn("image", F.when(F.size("photo") > 0, best["ref"])
-                           .when(doc, _ref(F.col("document")))
-                           .when(sticker, _ref(F.col("sticker"))))
+    image = (F.when(F.size("photo") > 0, best["ref"]).when(doc, _ref(F.col("document")))
+             .when(sticker, _ref(F.col("sticker"))))
+    return msgs.withColumn("image", image).withColumn("image_bytes", F.col("image.file_size"))
 
 
 def undecoded_images(msgs: DataFrame, signals: DataFrame) -> DataFrame:
@@ -58,10 +60,13 @@ def undecoded_images(msgs: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def attach_image_signals(msgs: DataFrame, signals: DataFrame) -> DataFrame:
-    """Give every message the result decoded once for its picture."""
-    decoded = signals.select(F.col("unique_id").alias("_key"), "has_qr", "qr_payloads", "ocr_text")
-    joined = msgs.join(broadcast_if_small(decoded),
-                       F.col("image.unique_id") == F.col("_key"), "left")
+    """Give every message the result decoded once for its picture.
+
+    Read texts may be long, so whether the results are broadcast is left to Spark, which knows
+    the bytes of the written table.
+    """
+    decoded = staged(signals.select(F.col("unique_id").alias("_key"), "has_qr", "qr_payloads", "ocr_text"))
+    joined = msgs.join(decoded, F.col("image.unique_id") == F.col("_key"), "left")
     return joined.select(*msgs.columns, F.coalesce("has_qr", F.lit(False)).alias("has_qr"),
                          F.coalesce("qr_payloads", E.no_strings()).alias("qr_payloads"),
                          F.coalesce("ocr_text", F.lit("")).alias("ocr_text"))

@@ -99,15 +99,14 @@ def as_of(rows: DataFrame, log: DataFrame, value: str, out: str) -> DataFrame:
                   & (F.col("_until").isNull() | (rows["ts_s"] < F.col("_until"))))
         joined = rows.join(broadcast_if_small(valid), inside, "left")
         return joined.select(*rows.columns, F.col("_value").alias(out))
-    row = F.struct(*rows.columns)
-    both = rows.select("ts_s", F.lit(1).alias("_kind"), F.xxhash64(*[
-        c for c, t in rows.dtypes if not t.startswith(("array", "map", "struct"))]).alias("_id"),
-        row.alias("_row")).unionByName(
-        changes.select("ts_s", F.lit(0).alias("_kind"), "_id", "_value"),
-        allowMissingColumns=True)
+    # the answer depends on the second alone, so only distinct seconds meet the log; a slice of
+    # time then holds no more rows than it has seconds and changes
+    seconds = rows.select("ts_s").distinct().withColumn("_kind", F.lit(1))
+    both = seconds.unionByName(changes.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
     last = F.when(F.col("_kind") == 0, F.struct("ts_s", "_id", "_value"))
-    done = running(both, [], ["ts_s", "_kind", "_id"], {"_last": ("max", last)})
-    return done.filter("_kind = 1").select("_row.*", F.col("_last._value").alias(out))
+    done = running(both, [], ["ts_s", "_kind", "_id"], {"_last": ("max", last)}).filter("_kind = 1")
+    answers = staged(done.select(F.col("ts_s").alias("_at"), F.col("_last._value").alias(out)))
+    return rows.join(answers, rows["ts_s"] == F.col("_at"), "left").select(*rows.columns, out)
 
 
 def settings_as_of(msgs: DataFrame, settings_log: DataFrame, key: str, out: str) -> DataFrame:
