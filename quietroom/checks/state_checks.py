@@ -232,19 +232,20 @@ def _event_stream(spark, sf_dir):
     return rows.withColumn("ts", F.timestamp_seconds("ts_s"))
 
 
-# the last seconds stay open until the watermark passes them
 @query("stream_ban_brake", with_views(
-    "SELECT ts_s, recent_bans FROM burst WHERE recent_bans >= 2 AND ts_s < "
-    "(SELECT max(ts_s) FROM offences WHERE action IN ('ban', 'mute')) - 60", "offences",
-    more=BURST.format(w=60)))
+    "SELECT ts_s, recent_bans FROM burst WHERE recent_bans >= 2", "offences", more=BURST.format(w=60)))
 def _stream_brake(spark, sf_dir):
-    out = live.stream_ban_brake(_event_stream(spark, sf_dir), 2, 60)
+    # a ban a day after the others closes all their windows; its own stays open
+    rows = load(spark, sf_dir, "offences").select("id", "ts_s", "action")
+    closing = rows.agg(F.lit(-1).cast("bigint").alias("id"), (F.max("ts_s") + T.DAY).alias("ts_s"),
+                       F.lit("ban").alias("action"))
+    folder = new_folder(spark, "bans")
+    rows.unionByName(closing).write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).parquet(folder).withColumn("ts", F.timestamp_seconds("ts_s"))
     path = new_folder(spark, "brake")
-    live.start_offence_sink(out, path, new_folder(spark, "cp"), True).awaitTermination()
-    done = spark.read.parquet(path)
-    last = load(spark, sf_dir, "offences").filter("action IN ('ban', 'mute')").select(
-        F.max("ts_s") - 60).scalar()
-    return done.select("ts_s", "recent_bans").filter(F.col("ts_s") < last)
+    live.start_offence_sink(live.stream_ban_brake(stream, 2, 60), path, new_folder(spark, "cp"),
+                            True).awaitTermination()
+    return spark.read.parquet(path).select("ts_s", "recent_bans")
 
 
 @query("stream_offence_sink", with_views(

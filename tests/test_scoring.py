@@ -173,3 +173,11 @@ def test_equal_numbers_in_two_chats_stay_apart(spark, monkeypatch):
         out = score_messages(texts, ModerationConfig(), lambda f: M.attach_lists(f, lists)).collect()
         assert sorted((r.chat_id, r.verdict.reasons) for r in out) == [
             (1, ["unknown_link: b.com (+5)"]), (2, ["unknown_link: a.com/x (+5)"])]
+
+
+def test_every_payload_counts(spark):
+    df = spark.createDataFrame([(1, "", True, ["000201010212530370454065802VN", "tg://join?invite=x"])],
+                               "message_id bigint, text string, has_qr boolean, qr_payloads array<string>")
+    v = score_messages(df, ModerationConfig()).first().verdict
+    assert [r.split(" (")[0] for r in v.reasons if r.startswith("qr_")] == ["qr_code", "qr_payment", "qr_invite"]
+    assert v.score == 2 + 5 + 5
