@@ -5,7 +5,8 @@ union.  Texts are lower-cased in A-Z and cut into words at blanks, tabs, line fe
 carriage returns; a text with fewer words than a shingle is one shingle.
 
 **Prefixes.**  Let all shingles have one order.  If two sets link, and each takes its first
-``n - ceil(t·n) + l`` shingles, they share at least ``l`` of them.  The order here is by hash,
+``n - ceil(t·n) + l`` shingles, they share at least ``l`` of them; of prefixes of given lengths,
+two sets of known sizes must share the more, the closer their sizes.  The order here is by hash,
 but *heavy* shingles, which more than ``HEAVY`` prefixes hold, come last.  They are found in
 rounds: a document whose prefix holds heavy shingles is lengthened by as many others, so its
 ``l`` shared shingles must include light ones.  Where light lists still cost many
@@ -17,7 +18,8 @@ near copies) have heavy ones left in their prefix, and only these documents are
 component are never made.  First, each list links its members to one pivot, which costs as many
 pairs as members; the verified links are gathered into components.  When the pairs across
 components that are left are few, all of them are made, counted and verified.  Until then, more
-rounds with other pivots merge what is left.
+rounds with other pivots merge what is left.  The shingles kept from the first scan rule out
+most pairs; the others are verified on whole texts.
 
 **Copies.**  Equal sets are one class with one node; rows get their class's answer at the end.
 
@@ -33,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -46,12 +49,14 @@ from .components import components
 
 WIDTH, PERCENT = 5, 80
 #: A shingle in more prefixes than this is heavy.
-HEAVY = 64
+HEAVY = 16
 #: Mean number of other documents per light prefix shingle from which l is 2, and 3.
 COSTLY = (4, 12)
 MOST_MATCHES = 3
 #: Star rounds at most, and pairs left (per list entry) from which all are made at once.
-STAR_ROUNDS, PAIRS_PER_ENTRY = 6, 4
+STAR_ROUNDS, PAIRS_PER_ENTRY = 4, 8
+#: Nodes whose list is broadcast to fetch their texts; more are joined by a shuffle.
+FEW_NODES = 200_000
 
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 
@@ -171,7 +176,9 @@ class _Join:
 
     def texts_of(self, nodes: DataFrame) -> DataFrame:
         """(node, text) of the nodes given, from one row of each class."""
-        wanted = nodes.join(self.classes.select("node", "digest", "rep"), "node").select("node", "rep", "digest")
+        wanted = staged(nodes.join(self.classes.select("node", "digest", "rep"), "node").select("node", "rep", "digest"))
+        if wanted.count() <= FEW_NODES:
+            wanted = F.broadcast(wanted)  # some 50 bytes a row
         plain = self.docs.join(wanted.where("rep IS NOT NULL"), F.col("doc_id") == F.col("rep"))
         found = plain.select("node", "digest", "text")
         nameless = wanted.where("rep IS NULL")
@@ -192,10 +199,29 @@ class _Join:
                                   .count().where("count > 1").isEmpty())
         return self._repeated
 
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose kept shingles leave room for the similarity.
+
+        Up to the smaller of both last kept hashes, both sets are known; what one has there and
+        the other lacks is missing from the overlap for certain.
+        """
+        def side(name: str) -> DataFrame:
+            whole = F.size("tokens") == F.col("n")
+            return self.classes.select(
+                F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("tokens").alias(f"t_{name}"),
+                F.when(whole, F.lit((1 << 63) - 1)).otherwise(F.element_at("tokens", -1)).alias(f"to_{name}"))
+
+        met = pairs.join(side("b"), "b").join(side("a"), "a")
+        upto = F.least("to_a", "to_b")
+        missing = [F.size(F.array_except(F.filter(x, lambda t: t <= upto), F.col(y)))
+                   for x, y in (("t_a", "t_b"), ("t_b", "t_a"))]
+        most = F.least(F.col("n_a") - missing[0], F.col("n_b") - missing[1])
+        return met.where(most * (100 + self.percent) >= (F.col("n_a") + F.col("n_b")) * self.percent).select("a", "b")
+
     # --- prefixes ----------------------------------------------------------------------
 
-    def prefixes(self) -> tuple[DataFrame, DataFrame]:
-        """Entries (token, node, n, l, heavy) of all prefixes, in lists of two or more, and heavy tokens."""
+    def prefixes(self) -> DataFrame:
+        """Entries (token, node, n, length of the prefix) of all prefixes, in lists of two or more."""
         base = self.classes.select("node", "n", self.p.alias("p"), F.explode(F.slice("tokens", 1, self.p)).alias("token"))
         first = staged(base.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
         met = base.join(first, "token")
@@ -210,46 +236,58 @@ class _Join:
             .where("l > 1 OR stopped > 0"))
         heavy = staged(first.where(F.col("m") > self.heavy_from).select("token"))
         need = F.col("p") + F.col("l") - 1
-        state = lengthened.select("node", "n", "p", "l").withColumn("whole", F.lit(False))
-        whole = None
         own = self.classes.select("node", "tokens")
-        # from the kept shingles first; nodes that still lack light ones are read whole
-        more = staged(state.join(own, "node").select("node", "n", "p", "l", F.explode("tokens").alias("token")))
+        columns = ["node", "n", "p", "l", "token"]
+
+        def kept(nodes: DataFrame) -> DataFrame:
+            return nodes.join(own, "node").select("node", "n", "p", "l", F.explode("tokens").alias("token"))
+
+        def newly_heavy(added: DataFrame) -> DataFrame:
+            counts = added.groupBy("token").agg(F.count(F.lit(1)).alias("more"))
+            known = counts.join(first.select("token", "m"), "token", "left")
+            return staged(known.where(F.col("more") + F.coalesce("m", F.lit(0)) > self.heavy_from)
+                          .select("token").join(heavy, "token", "left_anti"))
+
+        # from the kept shingles first; nodes that still lack light ones are read whole.  A shingle
+        # that becomes heavy on the way concerns the nodes that hold it, and only these.
+        parts = [staged(kept(lengthened))]
+        late = newly_heavy(parts[0])
+        heavy = staged(heavy.union(late))
+        concerned = None
         while True:
-            counts = more.groupBy("token").agg(F.count(F.lit(1)).alias("m2"))
-            known = first.select("token", "m")
-            heavy2 = staged(counts.join(known, "token", "left").where(
-                F.col("m2") + F.coalesce("m", F.lit(0)) > self.heavy_from).select("token").union(heavy).distinct())
-            light = (more.join(heavy2, "token", "left_anti").groupBy("node").agg(F.count(F.lit(1)).alias("light")))
-            read = more.groupBy("node", "n", "p", "l").agg(F.count(F.lit(1)).alias("read"))
-            lacking = staged(read.join(light, "node", "left")
-                             .where((F.coalesce("light", F.lit(0)) < need) & (F.col("read") < F.col("n")))
+            more = reduce(DataFrame.unionByName, parts)
+            seen = more if concerned is None else more.join(concerned, "node", "left_semi")
+            state = seen.join(heavy.withColumn("_h", F.lit(True)), "token", "left").groupBy("node", "n", "p", "l").agg(
+                F.count(F.lit(1)).alias("read"), F.count_if(F.col("_h").isNull()).alias("light"))
+            lacking = staged(state.where((F.col("light") < need) & (F.col("read") < F.col("n")))
                              .select("node", "n", "p", "l"))
-            # nodes outside that hold a shingle which has become heavy meanwhile
-            late = heavy2.join(heavy, "token", "left_anti")
-            touched = (base.join(late, "token").select("node", "n", "p").distinct()
-                       .join(more.select("node").distinct(), "node", "left_anti").withColumn("l", F.lit(1)))
-            touched = staged(touched.select("node", "n", "p", "l"))
-            heavy = heavy2
+            touched = staged(base.join(late, "token").select("node", "n", "p").distinct()
+                             .join(more.select("node").distinct(), "node", "left_anti")
+                             .select("node", "n", "p", F.lit(1).alias("l")))
             if lacking.isEmpty() and touched.isEmpty():
                 break
-            rest = more.join(lacking.select("node"), "node", "left_anti")
-            added = touched.join(own, "node").select("node", "n", "p", "l", F.explode("tokens").alias("token"))
+            added = kept(touched)
             if not lacking.isEmpty():
                 sets = _whole_sets(self.texts_of(lacking.select("node")), self.width)
-                added = added.unionByName(lacking.join(sets, "node").select("node", "n", "p", "l", "token"))
-            more = staged(rest.unionByName(added))
+                added = added.unionByName(lacking.join(sets, "node").select(columns))
+                parts = [part.join(lacking.select("node"), "node", "left_anti") for part in parts]
+            added = staged(added)
+            parts.append(added)
+            late = newly_heavy(added)
+            heavy = staged(heavy.union(late))
+            holders = reduce(DataFrame.unionByName, parts).join(late, "token", "left_semi").select("node")
+            concerned = staged(holders.union(added.select("node")).distinct())
         plain = base.join(more.select("node").distinct(), "node", "left_anti").select(
-            "token", "node", "n", F.lit(1).alias("l"), F.lit(False).alias("heavy"))
+            "token", "node", "n", F.col("p").cast("int").alias("length"))
         marked = more.join(heavy.withColumn("_h", F.lit(True)), "token", "left").select(
-            "token", "node", "n", "l", need.alias("need"), F.coalesce("_h", F.lit(False)).alias("heavy"))
+            "token", "node", "n", need.alias("need"), F.coalesce("_h", F.lit(False)).alias("heavy"))
         order = Window.partitionBy("node").orderBy("heavy", "token")
         ordered = marked.withColumn("_at", F.row_number().over(order)).where("_at <= need").select(
-            "token", "node", "n", "l", "heavy")
+            "token", "node", "n", F.col("need").cast("int").alias("length"))
         entries = staged(plain.unionByName(ordered))
         lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
         out = staged(entries.join(lists.select("token"), "token"))
-        for t in (first, lengthened, more, entries):
+        for t in (first, lengthened, entries):
             discard(t)
         return out
 
@@ -259,30 +297,47 @@ class _Join:
         """Sets whose sizes allow the similarity."""
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
+    def _must_share(self, a: str = "a", b: str = "b") -> Column:
+        """How many shingles of both prefixes two sets share if they link.
+
+        With an overlap of at least o, the l-th shared shingle stands among the first n - o + l of
+        either set; so prefixes of these lengths hold l shared ones.
+        """
+        n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+        o = F.ceil((n_a + n_b) * self.percent / F.lit(100 + self.percent) - 1e-9)
+        return F.greatest(F.least(F.col(f"length_{a}") - n_a, F.col(f"length_{b}") - n_b) + o, F.lit(1))
+
     def star_pairs(self, entries: DataFrame, turn: int) -> DataFrame:
-        """Each list's members with its pivot, where both are in different components."""
-        key = F.struct(F.xxhash64(F.lit(turn), "node").alias("x"), "node", "n", "root")
-        pivots = entries.groupBy("token").agg(F.min(key).alias("pivot"))
-        met = entries.join(pivots, "token").where(
-            (F.col("root") != F.col("pivot.root")) & self._close("n", "pivot.n"))
-        return met.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+        """Members of lists with the pivot of each, where both are in different components.
+
+        A pair counts here only in the lists where the one is the other's pivot; half of what it
+        must share is asked for, as what is passed over now is found at the end.
+        """
+        key = F.struct(F.xxhash64(F.lit(turn), "node").alias("x"), "node", "n", "length", "root")
+        pivots = entries.groupBy("token").agg(F.min(key).alias("v"))
+        met = entries.join(pivots, "token").where((F.col("root") != F.col("v.root")) & self._close("n", "v.n"))
+        sides = met.select(F.col("node").alias("m"), F.col("v.node").alias("v"),
+                           *[x for c in ("n", "length") for x in (F.col(c).alias(f"{c}_m"), F.col(f"v.{c}").alias(f"{c}_v"))])
+        counted = sides.groupBy(*sides.columns).agg(F.count(F.lit(1)).alias("shared"))
+        return counted.where(F.col("shared") * 2 >= self._must_share("m", "v")).select(
+            F.least("m", "v").alias("a"), F.greatest("m", "v").alias("b")).distinct()
 
     def all_pairs(self, entries: DataFrame) -> DataFrame:
         """All pairs across components that share enough of their prefixes."""
-        one = entries.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "l", "root")])
-        two = entries.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "l", "root")])
-        met = one.join(two, "token").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
-                                           & self._close("n_a", "n_b"))
-        return (met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.least("l_a", "l_b").alias("l"))
-                .agg(F.count(F.lit(1)).alias("shared")).where("shared >= l").select("a", "b"))
+        sides = [entries.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "length", "root")])
+                 for x in "ab"]
+        met = sides[0].join(sides[1], "token").where(
+            (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & self._close("n_a", "n_b"))
+        return (met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", "length_a", "length_b")
+                .agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= self._must_share()).select("a", "b"))
 
     def links(self) -> tuple[DataFrame | None, DataFrame | None]:
         """Verified links that connect every component, and the components."""
-        entries = self.prefixes()
-        texts = staged(self.texts_of(entries.select("node").distinct()))
-        tried, links, roots = None, None, None
+        open_lists = self.prefixes()
+        tried, links, roots, fruitless = None, None, None, False
         for turn in range(STAR_ROUNDS + 1):
-            now = entries.withColumn("root", F.col("node")) if roots is None else entries.join(
+            now = open_lists.drop("root")
+            now = now.withColumn("root", F.col("node")) if roots is None else now.join(
                 roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             per = now.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
             mixed = staged(per.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), F.sum("c").alias("m"),
@@ -290,20 +345,26 @@ class _Join:
             open_pairs, open_entries = mixed.agg(F.sum(F.expr("(m * m - inner) div 2")), F.sum("m")).first()
             if not open_pairs:
                 break
-            open_lists = now.join(mixed.select("token"), "token")
-            last = turn == STAR_ROUNDS or (turn > 0 and open_pairs <= PAIRS_PER_ENTRY * open_entries)
+            open_lists = staged(now.join(mixed.select("token"), "token"))  # a closed list stays closed
+            last = fruitless or turn == STAR_ROUNDS or (turn > 0 and open_pairs <= PAIRS_PER_ENTRY * open_entries)
             pairs = self.all_pairs(open_lists) if last else self.star_pairs(open_lists, turn)
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = staged(pairs)
             tried = pairs if tried is None else tried.union(pairs)
-            good = staged(verified(pairs, texts, self.width, self.percent))
-            links = good if links is None else links.union(good)
-            if not good.isEmpty():
-                roots = staged(components(links, "a", "b"))
+            left = staged(self.possible(pairs))
+            fruitless = left.isEmpty()
+            if not fruitless:
+                nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+                texts = staged(self.texts_of(nodes))
+                good = staged(verified(left, texts, self.width, self.percent))
+                discard(texts)
+                fruitless = good.isEmpty()
+                if not fruitless:
+                    links = good if links is None else links.union(good)
+                    roots = staged(components(links, "a", "b"))
             if last:
                 break
-        discard(texts)
         return links, roots
 
 
