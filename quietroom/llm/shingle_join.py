@@ -55,6 +55,8 @@ COSTLY = (4, 12)
 MOST_MATCHES = 3
 #: Star rounds at most, and pairs left (per list entry) from which all are made at once.
 STAR_ROUNDS, PAIRS_PER_ENTRY = 4, 8
+#: Parts by shingle that are worked on one after the other, so that only one is in flight.
+SLICES = 4
 #: Nodes whose list is broadcast to fetch their texts; more are joined by a shuffle.
 FEW_NODES = 200_000
 
@@ -251,11 +253,12 @@ class _Join:
         # from the kept shingles first; nodes that still lack light ones are read whole.  A shingle
         # that becomes heavy on the way concerns the nodes that hold it, and only these.
         parts = [staged(kept(lengthened))]
+        kept_parts = list(parts)  # without the nodes that were read whole later
         late = newly_heavy(parts[0])
         heavy = staged(heavy.union(late))
         concerned = None
         while True:
-            more = reduce(DataFrame.unionByName, parts)
+            more = reduce(DataFrame.unionByName, kept_parts)
             seen = more if concerned is None else more.join(concerned, "node", "left_semi")
             state = seen.join(heavy.withColumn("_h", F.lit(True)), "token", "left").groupBy("node", "n", "p", "l").agg(
                 F.count(F.lit(1)).alias("read"), F.count_if(F.col("_h").isNull()).alias("light"))
@@ -270,12 +273,13 @@ class _Join:
             if not lacking.isEmpty():
                 sets = _whole_sets(self.texts_of(lacking.select("node")), self.width)
                 added = added.unionByName(lacking.join(sets, "node").select(columns))
-                parts = [part.join(lacking.select("node"), "node", "left_anti") for part in parts]
+                kept_parts = [part.join(lacking.select("node"), "node", "left_anti") for part in kept_parts]
             added = staged(added)
             parts.append(added)
+            kept_parts.append(added)
             late = newly_heavy(added)
             heavy = staged(heavy.union(late))
-            holders = reduce(DataFrame.unionByName, parts).join(late, "token", "left_semi").select("node")
+            holders = reduce(DataFrame.unionByName, kept_parts).join(late, "token", "left_semi").select("node")
             concerned = staged(holders.union(added.select("node")).distinct())
         plain = base.join(more.select("node").distinct(), "node", "left_anti").select(
             "token", "node", "n", F.col("p").cast("int").alias("length"))
@@ -284,11 +288,18 @@ class _Join:
         order = Window.partitionBy("node").orderBy("heavy", "token")
         ordered = marked.withColumn("_at", F.row_number().over(order)).where("_at <= need").select(
             "token", "node", "n", F.col("need").cast("int").alias("length"))
-        entries = staged(plain.unionByName(ordered))
-        lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
-        out = staged(entries.join(lists.select("token"), "token"))
-        for t in (first, lengthened, entries):
+        entries = staged(plain.unionByName(ordered).select("token", "node", "length"))
+        for t in (first, lengthened, heavy, *parts):
             discard(t)
+        # slice by slice, as most shingles stand in one prefix only and go again
+        found = []
+        for i in range(SLICES):
+            part = entries.where(F.pmod("token", F.lit(SLICES)) == i)
+            lists = part.groupBy("token").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
+            found.append(staged(part.join(lists.select("token"), "token")))
+        sizes = self.classes.select("node", "n")
+        out = staged(reduce(DataFrame.unionByName, found).join(sizes, "node"))
+        discard(entries)
         return out
 
     # --- candidates --------------------------------------------------------------------
