@@ -351,7 +351,7 @@ class Vocabulary:
     def encode_all(self, texts: list[str], n: int) -> list[list[tuple[int, np.ndarray]]]:
         names, upto = [], [0]
         for text in texts:
-            if text and self.cut and "  " in text:
+            if text and self.cut and "  " in " " + text:
                 names += [w[1:] for w in _WORDS.findall(" " + text)]
             elif text:
                 names += text.split(" ") if self.cut else [text]

@@ -42,6 +42,11 @@ def test_n_best_against_all_paths(text):
         assert all((s, tuple(p.tolist())) in all_paths for s, p in got)
 
 
+@pytest.mark.parametrize("text", [" the", " ", " \n ", " a b", "a "])
+def test_n_best_of_a_text_with_one_blank_in_front(text):
+    test_n_best_against_all_paths(text)
+
+
 def test_n_best_against_the_library():
     sentencepiece = pytest.importorskip("sentencepiece")
     proto = pytest.importorskip("sentencepiece.sentencepiece_model_pb2").ModelProto()
