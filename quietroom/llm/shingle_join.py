@@ -379,13 +379,18 @@ class _Join:
         return links, roots
 
 
-def read_digests(rows: DataFrame, width: int) -> DataFrame:
-    """(digest, text) of rows."""
+def digest_of(width: int):
+    """A column function: text to the digest of its set of shingles."""
     @F.pandas_udf("binary")
     def digest(text: pd.Series) -> pd.Series:
         return pd.Series([hashlib.blake2b(shingles(t, width).tobytes(), digest_size=16).digest() for t in text])
 
-    return rows.select(digest("text").alias("digest"), "text")
+    return digest
+
+
+def read_digests(rows: DataFrame, width: int) -> DataFrame:
+    """(digest, text) of rows."""
+    return rows.select(digest_of(width)("text").alias("digest"), "text")
 
 
 def keep_own(found: DataFrame, width: int) -> DataFrame:
@@ -398,10 +403,8 @@ def keep_own(found: DataFrame, width: int) -> DataFrame:
     return found.where(own("digest", "text")).select("node", "text")
 
 
-def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id",
-                text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
-    join = _Join(docs, width, percent, id_col, text_col, heavy)
+def _rooted(join: _Join) -> DataFrame:
+    """digest, rep, size, root, component_id for every class of equal sets."""
     _, roots = join.links()
     named = join.classes.select("node", "digest", "rep", "size")
     if roots is None:
@@ -409,7 +412,14 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_
     else:
         named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    answers = staged(named.join(least, "root").select("digest", "size", "component_id"))
+    return named.join(least, "root")
+
+
+def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id",
+                text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``."""
+    join = _Join(docs, width, percent, id_col, text_col, heavy)
+    answers = staged(_rooted(join).select("digest", "size", "component_id"))
     total = join.members.count()
     large = F.col("size") > max(1_000, total // 1_000)
     few = F.broadcast(answers.where(large).select("digest", "component_id"))  # under 1,000 rows
@@ -425,8 +435,24 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_
 def keep_one_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """One row of ``docs``, all columns, per group: the one whose id names the group.
-    Rows without an id stay."""
-    groups = near_groups(docs, width, percent, id_col, text_col)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, docs[id_col] == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return stay.unionByName(docs.where(docs[id_col].isNull()))
+    Rows without an id stay.
+
+    Where an id stands on rows with different texts, each text is a document of its own group;
+    if several of a group carry the id that names it, the one with the least digest stays.
+    """
+    join = _Join(docs, width, percent, id_col, text_col, HEAVY)
+    first = (_rooted(join).where("rep = component_id").groupBy("root", "component_id")
+             .agg(F.min("digest").alias("_set")).select(F.col("component_id").alias("_kept"), "_set"))
+    empty = join.members.where("n = 0 AND doc_id IS NOT NULL").select("doc_id", "digest").distinct()
+    kept = staged(first.union(empty))
+    nameless = docs.where(docs[id_col].isNull())
+    if not join.repeated_ids:
+        return docs.join(kept, docs[id_col] == F.col("_kept"), "left_semi").unionByName(nameless)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names))
+    row = F.struct(*names)
+    rows = docs.where(docs[id_col].isNotNull()).toDF(*names).withColumn("_digest", digest_of(width)(at[text_col]))
+    # grouped first, as copies under one id are combined inside each map task
+    one = rows.groupBy(at[id_col], "_digest").agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    same = (F.col(at[id_col]) == F.col("_kept")) & (F.col("_digest") == F.col("_set"))
+    return one.join(kept, same, "left_semi").select("_row.*").toDF(*docs.columns).unionByName(nameless)

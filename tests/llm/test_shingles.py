@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -72,6 +73,19 @@ def test_one_of_each(documents, odd):
     assert shingle_join.near_groups(documents([]), 3, 90).count() == 0
 
 
+def test_one_id_on_different_texts(documents):
+    near, clean, other = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, near), (9, near + " tail"), (9, clean), (9, ""), (9, clean), (4, other + " tail"), (4, other), (4, other + " end"),
+            (20, "a word"), (20, "two more words"), (30, other.upper())]
+    df = documents(rows, clash=True).repartition(3)
+    got = shingle_join.keep_one_each(df, 3, 90)
+    assert got.columns == df.columns
+    one_of_4 = min((t for i, t in rows if i == 4), key=lambda t: hashlib.blake2b(
+        shingle_join.shingles(t, 3).tobytes(), digest_size=16).digest())
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [
+        (1, near), (4, one_of_4), (9, ""), (9, clean), (20, "a word"), (20, "two more words")]
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 7), (300, 299), (299, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
