@@ -38,11 +38,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_pieces, score and piece ids of each document of the mix."""
-    encoded = pieces.encoder(spark, n=1)
+    """doc_id, source, lang, n_pieces, score and piece ids of each document of the mix, the scores of its
+    n best segmentations, and whether the best one, decoded, is the text."""
+    encoded = pieces.encoder(spark)
+    best = F.get("_found.paths", F.lit(0))
     return docs.withColumn("_found", encoded(F.col("text"))).select(
-        "doc_id", "source", "lang", F.size(F.get("_found.paths", F.lit(0))).alias("n_pieces"),
-        F.get("_found.scores", F.lit(0)).alias("score"), F.get("_found.paths", F.lit(0)).alias("piece_ids"))
+        "doc_id", "source", "lang", F.size(best).alias("n_pieces"),
+        F.get("_found.scores", F.lit(0)).alias("score"), best.alias("piece_ids"),
+        F.col("_found.scores").alias("scores"), F.col("_found.round_trip").alias("round_trip"))
 
 
 STAGES: list[tuple[str, Stage]] = [

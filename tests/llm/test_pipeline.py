@@ -60,6 +60,18 @@ def test_whole_pipeline_against_brute_force(spark, documents, tmp_path):
     assert all(r.n_pieces == len(r.piece_ids) for r in got)
 
 
+def test_last_stage_gives_n_best_scores_and_round_trip(spark, documents):
+    texts = ["the cat sat", " thereof", "a  b", ""]
+    got = corpus_pipeline.encode(spark, documents(list(enumerate(texts))), "").collect()
+    voc = pieces.read_vocabulary()
+    for r in got:
+        found = voc.encode(texts[r.doc_id], pieces.N_BEST)
+        assert r.scores == [s / pieces.UNIT for s, _ in found] and r.score == r.scores[0]
+        assert r.piece_ids == found[0][1].tolist() and r.n_pieces == len(r.piece_ids)
+        assert r.round_trip and voc.decode(r.piece_ids) == texts[r.doc_id]
+    assert max(len(r.scores) for r in got) == pieces.N_BEST
+
+
 def test_stages_return_documents(spark, documents, odd):
     df = documents(odd)
     for name, stage in corpus_pipeline.STAGES[:-1]:
