@@ -9,10 +9,11 @@ Records are ordered by (hash of the text, hash of the id, id), so equal texts ar
    either are sampled again by themselves and subdivided.
 3. Prefix sums over the ranges, then inside each range, give every record its exact position
    in bytes and rows.  Shard ``s`` takes the positions from s/n to (s+1)/n of all bytes.  A
-   group of equal texts stays whole unless it is larger than 1/64 of a shard.
+   group of equal texts stays whole unless it is larger than 1/64 of a shard, also where a
+   splitter cuts it: its bytes are then summed over its ranges.
 
 The driver holds the sample (at most about ``SAMPLE`` records per range, of at most
-``MAX_RANGES`` ranges) and the counts per range.
+``MAX_RANGES`` ranges), the counts per range, and the groups that splitters cut.
 
 Defined cases: a null text has size 1 and the checksum of the empty text.  An empty text has
 size 1 too.  Null ids are ordered first.  Repeated rows are records of their own.  An empty
@@ -113,6 +114,21 @@ def ranged(rows: DataFrame, shards: int) -> tuple[DataFrame, list]:
         splitters = sorted(finer)
 
 
+def _cut_groups(placed: DataFrame, sizes: dict[int, int], firsts: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(k, bytes, start) of the groups that a splitter cuts: they end one range and begin the next."""
+    edges = sorted(tuple(r) for r in placed.groupBy("range").agg(F.min("k"), F.max("k")).collect())
+    cut = sorted({a[2] for a, b in zip(edges, edges[1:]) if a[2] == b[1]})
+    if not cut:
+        return []
+    table = placed.sparkSession.createDataFrame([(k,) for k in cut], "_k long")
+    found: dict[int, list] = {}
+    for k, r, size in sorted(tuple(x) for x in placed.join(F.broadcast(table), F.col("k") == F.col("_k"))
+                             .groupBy("k", "range").agg(F.sum("size")).collect()):
+        found.setdefault(k, []).append((r, size))
+    return [(k, sum(b for _, b in parts), firsts[r] + sizes[r] - size)
+            for k, parts in found.items() for r, size in parts[:1]]
+
+
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``."""
     spark = docs.sparkSession
@@ -124,6 +140,9 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
         firsts.append((r, byte, row))
         byte, row = byte + b, row + c
     offsets = spark.createDataFrame(firsts, "range int, first_byte long, first_row long")
+    cut = spark.createDataFrame(
+        _cut_groups(placed, {r: b for r, b, _ in counts}, {r: b for r, b, _ in firsts}),
+        "_cut long, _cut_bytes long, _cut_start long")
     order = Window.partitionBy("range").orderBy(
         "k", "h", F.asc_nulls_first("doc_id"), "size", "text_crc32")
     group = Window.partitionBy("range", "k")
@@ -134,8 +153,9 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
             .withColumn("_start", F.col("first_byte") + F.sum("size").over(
                 order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
             .withColumn("_row", F.col("first_row") + F.row_number().over(order) - 1)
-            .withColumn("_group", F.sum("size").over(group))
-            .withColumn("_group_start", F.min("_start").over(group))
+            .join(F.broadcast(cut), F.col("k") == F.col("_cut"), "left")  # at most a row for each splitter
+            .withColumn("_group", F.coalesce("_cut_bytes", F.sum("size").over(group)))
+            .withColumn("_group_start", F.coalesce("_cut_start", F.min("_start").over(group)))
             .withColumn("shard", F.least(F.floor(middle * shards / F.lit(2.0 * max(total, 1))),
                                          F.lit(shards - 1)).cast("int")))
     laid = staged(laid.select("doc_id", "size", "text_crc32", "shard", "_row"))

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quietroom.llm import sharding
 
@@ -51,3 +52,22 @@ def test_overfull_ranges_are_cut(documents, monkeypatch):
     rows = sharding.staged(sharding.records(documents([(i, "same") for i in range(3000)])))
     _, counts = sharding.ranged(rows, 16)
     assert max(c for _, _, c in counts) <= 2 * 3000 / 64 + 1
+
+
+def test_small_groups_that_splitters_cut_stay_whole(documents, monkeypatch):
+    def cut_everywhere(rows, shards):
+        by = {}
+        for r in rows.select("k", "h").collect():
+            by.setdefault(r.k, []).append(r.h)
+        placed = sharding.staged(sharding._ranged(rows, sorted((k, sorted(hs)[2]) for k, hs in by.items())))
+        return placed, sorted(tuple(r) for r in placed.groupBy("range").agg(F.sum("size"), F.count("k")).collect())
+
+    monkeypatch.setattr(sharding, "ranged", cut_everywhere)
+    got = sharding.shard(documents([(i, f"text {i % 302:03d}") for i in range(4 * 302)]), 4).collect()
+    shards_of = {}
+    for r in got:
+        shards_of.setdefault(r.doc_id % 302, set()).add(r.shard)
+    assert len(got) == 4 * 302 and len(shards_of) == 302
+    assert all(len(s) == 1 for s in shards_of.values())
+    slots = {s: sorted(r.slot for r in got if r.shard == s) for s in range(4)}
+    assert all(x == list(range(len(x))) and 300 <= len(x) <= 304 for x in slots.values())
