@@ -35,7 +35,8 @@ from ..sources.shipping import ship
 
 HEAD, SEP, END = "### ", ": ", "</turn>\n"
 ASSISTANT = "assistant"
-_TURN = re.compile(r"### ((?:[^\\:#<]+|\\.)*): ((?:[^\\<#]+|\\.|<(?!/turn>)|#(?!## ))*)</turn>\n", re.S)
+# every repeat is possessive: what one alternative takes no other could, so a failed match is known after one pass
+_TURN = re.compile(r"### ((?:[^\\:#<]++|\\.)*+): ((?:[^\\<#]++|\\.|<(?!/turn>)|#(?!## ))*+)</turn>\n", re.S)
 _ESCAPE = re.compile(r"\\([\\#<:])")
 _IN_TEXT, _IN_ROLE = re.compile(r"[\\#<]"), re.compile(r"[\\#<:]")
 

@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -17,6 +18,24 @@ def test_round_trip_of_hostile_turns(turns):
     assert [x[:2] for x in chat.parse(formatted)] == turns
 
 
+plain = st.builds(lambda c, n: c * n, st.sampled_from(["a", "word ", "é", "# ", "< ", "\n"]), st.integers(0, 10_000))
+
+
+@settings(max_examples=60, deadline=1000)
+@given(st.lists(st.one_of(plain, bits), max_size=6).map("".join), st.sampled_from([" ### Title", "</turn>", "\\", "\\:", ""]))
+def test_long_plain_runs_before_conflicts_are_linear(text, end):
+    turns = [("user", text + end), (text + end, "x")]
+    assert [x[:2] for x in chat.parse(chat.render(turns))] == turns
+
+
+@pytest.mark.parametrize("end", [" ### Title", "a </turn> b", "\\"])
+def test_one_long_run_takes_no_time(end):
+    turn = ("user", "a" * 1_000_000 + end)
+    start = time.perf_counter()
+    assert chat.parse(chat.render([turn]))[0][:2] == turn
+    assert time.perf_counter() - start < 2
+
+
 def test_plain_text_is_left_alone():
     assert chat.render([("user", "hi # 1 < 2 \\o/")]) == "### user: hi # 1 < 2 \\o/</turn>\n"
     assert chat.parse("### user: no end") is None
