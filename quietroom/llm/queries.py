@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, linededup, mixing, pieces, quality, sharding, shingle_join, tokencount, topk
+from . import chat, divergence, exact_dedup, langid, linededup, mixing, pieces, quality, sharding, shingle_join, tokencount, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -201,3 +201,50 @@ SELECT k.doc_id, count(*) AS n_lines, count(common.key) AS n_dropped,
 FROM k LEFT JOIN common USING (key)
 GROUP BY k.doc_id, row
 """
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, top_terms=50)
+
+
+ORACLE["op12_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), u AS (
+  SELECT row, lang, source, unnest(terms) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS lang_n FROM u GROUP BY lang, term HAVING count(DISTINCT row) >= 30
+), size AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(lang_n)::HUGEINT AS total FROM kept GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), counted AS (
+  SELECT lang, source, term, count(*) AS n FROM u GROUP BY ALL
+), cells AS (
+  SELECT g.lang, g.source, kept.term, coalesce(n, 0)::HUGEINT AS n, lang_n, v, total,
+         (sum(coalesce(n, 0)) OVER (PARTITION BY g.lang, g.source))::HUGEINT AS own
+  FROM g JOIN kept ON kept.lang = g.lang JOIN size ON size.lang = g.lang
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), priced AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (own + 5 * v) AS p,
+         1 + (1000000000::HUGEINT * (lang_n + 5)) // (total + 5 * v) AS q
+  FROM cells
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM priced a JOIN priced b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL
+), every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM priced WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM every
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
