@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, divergence, exact_dedup, langid, linededup, mixing, pieces, quality, sharding, shingle_join, tokencount, topk
+from . import (chat, divergence, exact_dedup, langid, linededup, mixing, pieces, quality, sharding, shingle_join,
+               tokencount, topk, variants)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -248,3 +249,8 @@ WITH d AS (
 )
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
 """
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_groups(table(spark, sf_dir, "documents"), min_chars=6, min_count=5, factor=5)
