@@ -105,16 +105,23 @@ banned AS (SELECT message_id, list_sort(list(DISTINCT phrase)) AS hits FROM t JO
 @query("banned_phrase_hits", with_views(
     "SELECT message_id, array_to_string(hits, '|') AS hits FROM banned", "messages",
     "managed_chats", "keyword_blacklist", more=BANNED_VIEWS))
-def _banned(spark, sf_dir):
+def _banned(spark, sf_dir, phrases="keyword_blacklist"):
     m = messages(spark, sf_dir)
     m = m.withColumn("keep_text", normalize_keep_accents(F.concat_ws(
         " ", F.nullif("text", F.lit("")), F.nullif("caption", F.lit("")), "qr_payloads",
         F.nullif("ocr_text", F.lit("")))))
-    hits = L.with_banned_hits(m, load(spark, sf_dir, "keyword_blacklist"))
+    hits = L.with_banned_hits(m, load(spark, sf_dir, phrases))
     return hits.filter(F.size("banned_hits") > 0).select(
         "message_id", joined("banned_hits").alias("hits"))
 
 
+@query("banned_phrase_index", with_views(
+    "SELECT message_id, array_to_string(hits, '|') AS hits FROM banned", "messages",
+    "managed_chats", "text_phrases", more=BANNED_VIEWS.replace("keyword_blacklist", "text_phrases")))
+def _banned_index(spark, sf_dir):
+    return _banned(spark, sf_dir, "text_phrases")
+
+
 BENIGN_SQL = (f"NOT (has_media OR has_buttons OR has_qr OR has_entities) AND "
               f"(contains(text, '?') OR {QUESTION_SQL})")
 

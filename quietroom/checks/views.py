@@ -31,7 +31,7 @@ SELECT doc_id AS message_id,
     WHEN 2 THEN concat(text, ' see https://docs.example.org/en/guide for details')
     WHEN 3 THEN concat(text, ' visit http://promo-site.xyz/win?x=1 today')
     WHEN 4 THEN concat(text, ' short link tinyurl.com/abc123')
-    WHEN 5 THEN concat(text, ' join t.me/+AbCdEf now')
+    WHEN 5 THEN concat(text, ' join t.me/+QuietRoomers now')
     WHEN 6 THEN concat(text, ' wallet 0x', repeat('c0ffee12ab', 4))
     WHEN 7 THEN concat(text, ' call 09', lpad(CAST(doc_id AS {{string}}), 8, '0'),
                        ' or +84 912 345 678')
@@ -148,6 +148,14 @@ SELECT CAST(c_nationkey % 6 AS BIGINT) AS chat_id,
 SELECT DISTINCT CAST(p_size % 6 AS BIGINT) AS chat_id, p_name AS phrase FROM {part}
 UNION SELECT CAST(0 AS BIGINT), 'hỗ trợ nợ xấu'
 UNION SELECT CAST(3 AS BIGINT), 'short link'
+""",
+    # long lists: phrases of two and of three words that stand in the texts themselves
+    "text_phrases": """
+SELECT DISTINCT CAST(doc_id % 6 AS BIGINT) AS chat_id,
+  concat(split_part(text, ' ', 3), ' ', split_part(text, ' ', 4), ' ', split_part(text, ' ', 5)) AS phrase
+FROM {documents} WHERE n_chars > 40
+UNION SELECT DISTINCT CAST(doc_id % 7 AS BIGINT),
+  concat(split_part(text, ' ', 8), ' ', split_part(text, ' ', 9)) FROM {documents} WHERE n_chars > 60
 """,
     "presets": """
 SELECT p_brand AS name, concat('Products of ', p_brand) AS label, p_partkey AS pos,

@@ -18,13 +18,13 @@ from ..functions import entities as E
 from ..functions.phrases import banned_phrase_hits, phrase_forms
 from ..functions.text import squeeze_spaces
 from ..sources.storage import staged
+from .phrase_index import with_indexed_hits
 
 MAX_BROADCAST_ROWS = 500_000  # of a few short columns each
 # Lists of allowed entries travel as one bundle per scope; beyond this many entries in all
 # they are joined as tables instead.
 MAX_BUNDLE_ENTRIES = 500
-PHRASES_PER_BUNDLE = 500
-SCOPE_SALTS = 32
+PHRASES_PER_BUNDLE = 200
 
 
 def is_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> bool:
@@ -232,14 +232,11 @@ def chat_rules(entries: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 
 def phrase_bundles(keywords: DataFrame) -> DataFrame:
-    """``(scope, block, phrases)``: a scope's banned phrases, prepared, in blocks of a few hundred."""
+    """``(scope, phrases)``: the banned phrases of a scope, prepared, for scopes of checked size."""
     rows = keywords.select(F.col("chat_id").alias("scope"), "phrase").distinct()
-    sizes = rows.groupBy("scope").agg(F.ceil(F.count("*") / PHRASES_PER_BUNDLE).alias("_blocks"))
     forms = rows.withColumn("_forms", phrase_forms("phrase")).filter("_forms.keep <> ''")
     slim = F.struct(*[F.col(f"_forms.{c}").alias(c) for c in ("phrase", "keep_squeezed", "plain_squeezed")])
-    return staged(forms.join(sizes, "scope").groupBy(
-        "scope", F.pmod(F.xxhash64("phrase"), F.col("_blocks")).alias("block")).agg(
-        F.sort_array(F.collect_set(slim)).alias("phrases")))
+    return staged(forms.groupBy("scope").agg(F.sort_array(F.collect_set(slim)).alias("phrases")))
 
 
 def with_banned_hits(msgs: DataFrame, keywords: DataFrame, text: str = "keep_text",
@@ -247,34 +244,23 @@ def with_banned_hits(msgs: DataFrame, keywords: DataFrame, text: str = "keep_tex
     """Add ``banned_hits``: the banned phrases of the chat, and of all chats, inside canonical
     text ``text``.
 
-    A phrase may start anywhere, so phrases travel to the messages, as one bundle per scope.  A
-    scope with more phrases than fit a bundle has several: then each message, numbered and
-    written once, meets them one by one, and its hits are put together by its number.
+    A phrase may start anywhere, so phrases travel to the messages: as one bundle per scope where
+    all scopes are short, else through an index on their grams.
     """
-    skip = F.lit(False) if skip is None else skip
-    bundles = phrase_bundles(keywords)
-    everywhere = F.col("scope") == GLOBAL
-    if bundles.groupBy("scope").count().filter("count > 1").isEmpty():
-        own = bundles.filter(~everywhere).select(F.col("scope").alias("_scope"), F.col("phrases").alias("_own"))
-        shared = bundles.filter(everywhere).select(F.col("phrases").alias("_shared"))  # one row at most
-        both = (msgs.join(own, F.col("chat_id") == F.col("_scope"), "left")
-                .join(F.broadcast(shared), F.lit(True), "left"))
-        none = F.array().cast(bundles.schema["phrases"].dataType)
-        both = both.withColumn("_phrases", F.array_union(F.coalesce("_own", none), F.coalesce("_shared", none)))
-        hits = F.when(skip, E.no_strings()).otherwise(banned_phrase_hits("_squeezed", "_phrases"))
-        return (both.withColumn("_squeezed", squeeze_spaces(text)).withColumn("banned_hits", hits)
-                .select(*msgs.columns, "banned_hits"))
-    rows = staged(msgs.withColumns({"_squeezed": squeeze_spaces(text), "_row": F.monotonically_increasing_id()}))
-    need = rows.filter(~skip & (F.col("_squeezed") != "")).select("_row", "chat_id", "_squeezed")
-    own = need.join(bundles.filter(~everywhere), F.col("chat_id") == F.col("scope"))
-    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SCOPE_SALTS - 1).cast("bigint")))
-    shared = need.withColumn("_salt", F.pmod("_row", F.lit(SCOPE_SALTS))).join(
-        bundles.filter(everywhere).withColumn("_salt", salts), "_salt")
-    found = own.select("_row", "_squeezed", "phrases").unionByName(shared.select("_row", "_squeezed", "phrases"))
-    hits = found.select("_row", F.explode(banned_phrase_hits("_squeezed", "phrases")).alias("_hit")).groupBy(
-        "_row").agg(F.array_sort(F.collect_set("_hit")).alias("banned_hits"))
-    return rows.join(hits, "_row", "left").withColumn(
-        "banned_hits", F.coalesce("banned_hits", E.no_strings())).select(*msgs.columns, "banned_hits")
+    skip = F.coalesce(F.lit(False) if skip is None else skip, F.lit(False))
+    long_scopes = keywords.groupBy("chat_id").agg(F.count_distinct("phrase").alias("n"))
+    if not long_scopes.filter(F.col("n") > PHRASES_PER_BUNDLE).isEmpty():
+        return with_indexed_hits(msgs, keywords, F.when(~skip, squeeze_spaces(text)), "banned_hits", MAX_BROADCAST_ROWS)
+    bundles, everywhere = phrase_bundles(keywords), F.col("scope") == GLOBAL
+    own = bundles.filter(~everywhere).select(F.col("scope").alias("_scope"), F.col("phrases").alias("_own"))
+    shared = bundles.filter(everywhere).select(F.col("phrases").alias("_shared"))  # one row at most
+    both = (msgs.join(own, F.col("chat_id") == F.col("_scope"), "left")
+            .join(F.broadcast(shared), F.lit(True), "left"))
+    none = F.array().cast(bundles.schema["phrases"].dataType)
+    both = both.withColumn("_phrases", F.array_union(F.coalesce("_own", none), F.coalesce("_shared", none)))
+    hits = F.when(skip, E.no_strings()).otherwise(banned_phrase_hits("_squeezed", "_phrases"))
+    return (both.withColumn("_squeezed", squeeze_spaces(text)).withColumn("banned_hits", hits)
+            .select(*msgs.columns, "banned_hits"))
 
 
 # --- settings -----------------------------------------------------------------------
