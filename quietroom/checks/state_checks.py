@@ -8,13 +8,13 @@ from ..operators import actions as A
 from ..operators import images as I
 from ..operators import state as T
 from ..operators.scoring import score_both, text_features, without_texts
-from ..plans.moderate import moderate
+from ..plans.moderate import moderate, moderate_to_log
 from ..sources.storage import new_folder
-from ..sources.tables import read_message_stream
+from ..sources.tables import read_message_stream, read_offences
 from ..streaming import live
 from .base import messages, query, with_views
-from .rule_checks import (BANNED_VIEWS, BENIGN_SQL, CFG, FEATURES, FEATURE_SOURCES, LISTS, NORM_OF_TEXT, UNION, attach,
-                          lists_of, prepared)
+from .rule_checks import (BANNED_VIEWS, BENIGN_SQL, CFG, FEATURES, FEATURE_SOURCES, FWD_WEAK, LISTS, NORM_OF_TEXT, RULES_SQL,
+                          UNION, attach, lists_of, prepared)
 from .views import load, table, view_sql
 
 SLIM = ("message_id", "chat_id", "user_id", "sender_chat_id", "ts_s")
@@ -179,7 +179,7 @@ def _stream_verdicts(spark, sf_dir):
 
 
 @query("read_message_stream", "SELECT doc_id AS message_id, 1 + doc_id % 5 AS chat_id, "
-                              "length(text) AS n FROM documents")
+                              "text FROM documents")
 def _message_stream(spark, sf_dir):
     stream = read_message_stream(
         spark, sf_dir, table(spark, sf_dir, "documents").schema, start="earliest",
@@ -187,8 +187,7 @@ def _message_stream(spark, sf_dir):
         pathGlobFilter="documents.parquet")
     path = new_folder(spark, "stream")
     live.start_offence_sink(stream, path, new_folder(spark, "cp"), True).awaitTermination()
-    return spark.read.parquet(path).select("message_id", "chat_id",
-                                           F.length("text").cast("bigint").alias("n"))
+    return spark.read.parquet(path).select("message_id", "chat_id", "text")
 
 
 @query("stream_rule_refresh", with_views(
@@ -617,3 +616,94 @@ def _moderate(spark, sf_dir):
         "message_id", "chat_id", "offender_id", "is_new", "prior_offences",
         F.col("verdict.score").cast("bigint").alias("score"),
         F.array_join("verdict.reasons", "; ").alias("reasons"), "action", "until")
+
+
+# --- one call from messages to the log, with settings as they were at each message -----------
+
+
+def _stored(key):
+    return (f"(SELECT arg_max(value, (ts_s, id)) FROM settings_log l WHERE l.key = '{key}' "
+            f"AND l.ts_s <= m.ts_s)")
+
+
+def _on(name):
+    return f"coalesce(CASE {_stored('cfg:' + name)} WHEN '1' THEN TRUE WHEN '0' THEN FALSE END, TRUE) AS {name}"
+
+
+_SWITCHED = f"""
+judged_at AS (SELECT m.*, {', '.join(map(_on, ('block_links', 'block_phones', 'scan_qr', 'block_forwards')))},
+  lower(trim({_stored('action')})) AS stored, CAST({_stored('pause_until')} AS BIGINT) AS until_s FROM all_messages m),
+messages AS (SELECT * REPLACE (has_qr AND scan_qr AS has_qr, CASE WHEN scan_qr THEN qr_payload END AS qr_payload),
+  CASE WHEN stored IN ('ban', 'mute', 'delete', 'report') THEN stored ELSE 'ban' END AS mode
+  FROM judged_at WHERE NOT coalesce(until_s > ts_s, FALSE))"""
+_GATES = (  # what a switch that is off changes
+    ("CAST(1 AS BIGINT) AS hard, CAST(0 AS BIGINT) AS soft, 'unknown_link: '",
+     "CAST(CASE WHEN block_links THEN 1 ELSE 0 END AS BIGINT) AS hard, "
+     "CAST(CASE WHEN block_links THEN 0 ELSE 2 END AS BIGINT) AS soft, 'unknown_link: '"),
+    (f"CAST(1 AS BIGINT) AS hard, CAST(0 AS BIGINT) AS soft, {RULES_SQL['rule_phone'][3]} AS reason FROM g",
+     "CAST(CASE WHEN block_phones THEN 1 ELSE 0 END AS BIGINT) AS hard, CAST(CASE WHEN block_phones THEN 0 ELSE 2 END "
+     f"AS BIGINT) AS soft, CASE WHEN block_phones THEN {RULES_SQL['rule_phone'][3]} ELSE 'phone' END AS reason FROM g"),
+    (f" WHERE {RULES_SQL['rule_phone'][0]}",
+     f" WHERE {RULES_SQL['rule_phone'][0]} AND (block_phones OR norm <> '' OR len(urls) > 0)"),
+    (FWD_WEAK, f"(NOT block_forwards OR {FWD_WEAK})"),
+    ("m.sender_chat_id, m.ts_s, coalesce(a.p, 0)", "m.sender_chat_id, m.ts_s, m.mode, coalesce(a.p, 0)"),
+    ("message_id AS id, p_new, p_old, forced FROM pts", "message_id AS id, p_new, p_old, forced, mode FROM pts"),
+    ("0, id, 0, 0, NULL FROM joins", "0, id, 0, 0, NULL, NULL FROM joins"),
+    ("2, id, 0, 0, NULL FROM offences", "2, id, 0, 0, NULL, NULL FROM offences"),
+    ("CASE WHEN spam THEN NULL ELSE fs END, CASE WHEN spam THEN 0 ELSE cnt END",
+     "CASE WHEN spam AND mode = 'ban' THEN NULL ELSE fs END, CASE WHEN spam AND mode = 'ban' THEN 0 ELSE cnt END"),
+    ("'ban' AS action, CAST(NULL AS BIGINT) AS until FROM told",
+     "CASE WHEN mode = 'mute' AND sender_chat_id IS NOT NULL THEN 'ban' ELSE mode END AS action, "
+     "CAST(NULL AS BIGINT) AS until FROM told"),
+)
+
+
+def _with_settings(sql):
+    sql = sql.replace("messages AS (", "all_messages AS (", 1)
+    for old, new in _GATES:
+        if old not in sql:
+            raise ValueError(f"the query no longer says {old}")
+        sql = sql.replace(old, new)
+    return sql
+
+
+def _gated(body):
+    # the settings log is read by the messages, which therefore come after it
+    views = ("settings_log", *FEATURE_SOURCES, "keyword_blacklist", "blacklist", "forward_whitelist", "members",
+             "bot_admins", "admins", "admin_status", "joins", "offences")
+    return _with_settings(with_views(body, *views, more=_SWITCHED.lstrip("\n") + ",\n" + MODERATE.strip(), recursive=True))
+
+
+_LOGGED = f"""SELECT t.chat_id, offender_id AS user_id, all_messages.ts_s, score, t.action, t.reasons,
+  left(coalesce(nullif(text, ''), caption, ''), 400) AS excerpt, left(sender_name, 80) AS name, message_id
+FROM ({_MODERATED}) t JOIN all_messages USING (message_id)"""
+
+
+def _to_log(spark, sf_dir):
+    names = (*LISTS, "keyword_blacklist", "blacklist", "forward_whitelist", "members", "bot_admins")
+    path = new_folder(spark, "offences")
+    report = moderate_to_log(
+        messages(spark, sf_dir), lists_of(spark, sf_dir, *names), load(spark, sf_dir, "managed_chats"),
+        load(spark, sf_dir, "admins"), load(spark, sf_dir, "admin_status"), CFG, path, joins=load(spark, sf_dir, "joins"),
+        offences=past_offences(spark, sf_dir), owners=(6,), settings_log=load(spark, sf_dir, "settings_log"))
+    return path, report
+
+
+@query("moderate_to_log", _gated(_LOGGED))
+def _moderate_to_log(spark, sf_dir):
+    path, _ = _to_log(spark, sf_dir)
+    return read_offences(spark, path).select(
+        "chat_id", "user_id", "ts_s", F.col("score").cast("bigint").alias("score"), "action", "reasons", "excerpt",
+        "name", "message_id")
+
+
+@query("moderate_with_settings", _gated(_MODERATED))
+def _moderate_with_settings(spark, sf_dir):
+    names = (*LISTS, "keyword_blacklist", "blacklist", "forward_whitelist", "members", "bot_admins")
+    out = moderate(messages(spark, sf_dir), lists_of(spark, sf_dir, *names), load(spark, sf_dir, "managed_chats"),
+                   load(spark, sf_dir, "admins"), load(spark, sf_dir, "admin_status"), CFG, joins=load(spark, sf_dir, "joins"),
+                   offences=past_offences(spark, sf_dir), owners=(6,), settings_log=load(spark, sf_dir, "settings_log"))
+    return A.resolve_action(out, CFG).select(
+        "message_id", "chat_id", "offender_id", "is_new", "prior_offences",
+        F.col("verdict.score").cast("bigint").alias("score"), F.array_join("verdict.reasons", "; ").alias("reasons"),
+        "action", F.lit(None).cast("bigint").alias("until"))

@@ -143,10 +143,10 @@ def rule_crypto(scannable) -> Column:
 
 
 def rule_phone(unknown_phones, has_words, urls, cfg: ModerationConfig) -> Column:
-    some = F.size(col(unknown_phones)) > 0
-    if cfg.block_phones:
-        return _fires(some, _with_list("unknown_phone", unknown_phones, 2), hard=1)
-    return _fires(some & (col(has_words) | (F.size(col(urls)) > 0)), "phone", soft=2)
+    blocking = F.lit(cfg.block_phones)
+    some = (F.size(col(unknown_phones)) > 0) & (blocking | col(has_words) | (F.size(col(urls)) > 0))
+    reason = F.when(blocking, _with_list("unknown_phone", unknown_phones, 2)).otherwise("phone")
+    return _fires(some, reason, hard=F.when(blocking, 1).otherwise(0), soft=F.when(blocking, 0).otherwise(2))
 
 
 def rule_money(text) -> Column:

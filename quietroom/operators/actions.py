@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SERVICE_KINDS, ModerationConfig
-from .lists import broadcast_if_small
+from .lists import MAX_BROADCAST_ROWS, broadcast_if_small
 from .state import BANNING
 
 # --- fixed values -------------------------------------------------------------
@@ -45,22 +47,30 @@ def resolve_action(verdicts: DataFrame, cfg: ModerationConfig) -> DataFrame:
 
 
 def _each_chat(people: DataFrame, chats: DataFrame) -> DataFrame:
-    """Every person in every managed chat.  The chats are the few the moderator runs; their
-    ids travel as one array and are unfolded next to each person, so nothing is shuffled."""
-    ids = chats.select(F.collect_set("chat_id")).scalar()
-    return people.withColumn("chat_id", F.explode(ids))
+    """Every person of ``people`` (user_id, done: chats they need not be dealt with in) in every other
+    managed chat.  Chats are broadcast in parts of a checked size, next to which people stand."""
+    ids = chats.select("chat_id").distinct()
+    parts = max(1, -(-ids.count() // MAX_BROADCAST_ROWS))
+    part = F.pmod(F.xxhash64("chat_id"), F.lit(parts))
+    pairs = [people.join(F.broadcast(ids.filter(part == i)), ~F.array_contains(F.col("done"), F.col("chat_id")))
+             for i in range(parts)]
+    return reduce(DataFrame.unionByName, pairs)
 
 
-def _without(pairs: DataFrame, others: DataFrame) -> DataFrame:
-    others = others.select("chat_id", "user_id").distinct()
-    return pairs.join(broadcast_if_small(others), ["chat_id", "user_id"], "left_anti")
+def _with_done(people: DataFrame, others: DataFrame) -> DataFrame:
+    """Add ``done``: the chats that ``others`` (chat_id, user_id) names for each person.  People are
+    joined before they are multiplied by chats; a person's list is no longer than the chats."""
+    done = others.select("chat_id", "user_id").groupBy("user_id").agg(F.collect_set("chat_id").alias("done"))
+    return people.join(done, "user_id", "left").withColumn(
+        "done", F.coalesce("done", F.array().cast("array<bigint>")))
 
 
 def ban_fanout(bans: DataFrame, chats: DataFrame, admins: DataFrame) -> DataFrame:
     """Bans of users repeated in all other managed chats where they are not an admin."""
     users = bans.filter((F.col("action") == "ban") & ~F.col("by_channel")).select(
         F.col("offender_id").alias("user_id"), F.col("chat_id").alias("from_chat")).distinct()
-    return _without(_each_chat(users, chats).filter("chat_id <> from_chat"), admins)
+    known = _with_done(users, admins.join(users.select("user_id").distinct(), "user_id", "left_semi"))
+    return _each_chat(known.withColumn("done", F.array_union("done", F.array("from_chat"))), chats).drop("done")
 
 
 def forget_members(members: DataFrame, plan: DataFrame) -> DataFrame:
@@ -81,8 +91,10 @@ def banned_pairs(offences: DataFrame) -> DataFrame:
 
 def purge_plan(offences: DataFrame, chats: DataFrame, admins: DataFrame) -> DataFrame:
     """Everybody ever banned anywhere, in every managed chat not yet done and not theirs."""
-    todo = _each_chat(banned_users(offences), chats)
-    return _without(todo.join(banned_pairs(offences), ["chat_id", "user_id"], "left_anti"), admins)
+    users = banned_users(offences)
+    theirs = admins.select("chat_id", "user_id").join(users, "user_id", "left_semi")
+    others = banned_pairs(offences).unionByName(theirs)
+    return _each_chat(_with_done(users, others), chats).select("chat_id", "user_id")
 
 
 def purge_estimate(offences: DataFrame, chats: DataFrame) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import ModerationConfig
+from ..config import SWITCHES, ModerationConfig
 from ..sources.shipping import ship
 from ..sources.storage import staged
-from .lists import MAX_BROADCAST_ROWS, broadcast_if_small, is_small
+from .lists import broadcast_if_small, is_small
 from .running import running
 from .scoring import forced_verdict, total, verdict
 
@@ -32,7 +34,8 @@ def _timeline(msgs: DataFrame, joins: DataFrame | None, members: DataFrame | Non
     if joins is not None:
         rows = rows.unionByName(joins.select(
             *KEY, "ts_s", F.lit(0).alias("is_msg"), "id"), allowMissingColumns=True)
-    out = running(rows, KEY, ["ts_s", "is_msg", "id"], {
+    order = ["ts_s", "is_msg", "id", *[c for c in payload if c == "_row"]]
+    out = running(rows, KEY, order, {
         "first_seen": ("min", F.col("ts_s")),
         "msg_count": ("sum", F.col("is_msg").cast("bigint")),
     }, following={"next_ts": F.col("ts_s")}).filter("is_msg = 1")
@@ -120,6 +123,29 @@ def exclude_paused(msgs: DataFrame, settings_log: DataFrame) -> DataFrame:
     return now.filter(~F.coalesce(until > F.col("ts_s"), F.lit(False))).drop("_pause")
 
 
+def switches_as_of(msgs: DataFrame, settings_log: DataFrame, cfg: ModerationConfig) -> DataFrame:
+    """Add ``sw_<name>``, the state of every switch at each message.
+
+    Each change of a switch begins an epoch, in which all switches have the values last stored, so
+    that one look-up by time gives all of them.  Only "1" and "0" are understood; with any
+    other value the default holds.
+    """
+    log = settings_log.filter(F.col("key").isin(*[f"cfg:{s}" for s in SWITCHES]))
+    last = running(log, [], ["ts_s", "id"], {s: ("max", F.when(
+        F.col("key") == f"cfg:{s}", F.struct("ts_s", "id", "value"))) for s in SWITCHES})
+    raw = {s: F.col(s)["value"] for s in SWITCHES}
+    epochs = last.select("ts_s", "id", F.struct(*[
+        F.when(raw[s].isin("1", "0"), raw[s] == "1").alias(s) for s in SWITCHES]).alias("flags"))
+    now = as_of(msgs, staged(epochs), "flags", "_flags")
+    return now.withColumns({f"sw_{s}": F.coalesce(F.col(f"_flags.{s}"), F.lit(bool(getattr(cfg, s))))
+                            for s in SWITCHES}).drop("_flags")
+
+
+def at_each_message(cfg: ModerationConfig) -> ModerationConfig:
+    """The configuration whose switches are the columns of ``switches_as_of``."""
+    return replace(cfg, **{s: F.col(f"sw_{s}") for s in SWITCHES})
+
+
 FOREVER_SECONDS = 315_360_000  # fixed value: a pause without an end lasts ten years
 
 
@@ -355,32 +381,75 @@ def ban_brake(offences: DataFrame, limit: int, window: int) -> DataFrame:
         "brake", (F.col("recent_bans") >= limit) & F.lit(limit > 0))
 
 
-def _brakes(seconds: DataFrame, before: DataFrame | None, cfg: ModerationConfig) -> DataFrame:
-    """First brake per stretch, given the brakes of the stretches before it.
+def _own_brakes(seconds: DataFrame, cfg: ModerationConfig) -> DataFrame:
+    """Add ``own_brake``, where a stretch's own bans alone reach the limit; null if nowhere.
 
-    ``seconds`` holds ``ts_s, bans, stretch``.  All bans of a stretch up to its own brake were
-    carried out, so its own are counted in full; of earlier stretches only those that their
-    brakes let through.
+    ``seconds``: ts_s, bans, stretch.  Blocks as long as the window hold all a second looks back to.
     """
-    live = F.col("bans")
-    if before is not None:
-        seconds = seconds.join(before, "stretch", "left")
-        live = (F.when(F.col("brake_s").isNull() | (F.col("ts_s") < F.col("brake_s")), live)
-                .when(F.col("ts_s") == F.col("brake_s"), F.col("kept")).otherwise(0))
-    block = F.floor(F.col("ts_s") / max(cfg.brake_window, 1))
-    copies = seconds.select("ts_s", "stretch", "bans", live.alias("live"), block.alias("own"))
-    copies = copies.withColumn("block", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    every = Window.partitionBy("block").orderBy("ts_s").rangeBetween(-cfg.brake_window, 0)
-    mine = Window.partitionBy("block", "stretch").orderBy("ts_s").rangeBetween(
-        -cfg.brake_window, 0)
-    recent = F.sum("live").over(every) - F.sum("live").over(mine) + F.sum("bans").over(mine)
-    fired = copies.withColumn("recent", recent).filter(
+    own = F.floor(F.col("ts_s") / max(cfg.brake_window, 1))
+    copies = seconds.withColumn("own", own).withColumn("block", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    span = Window.partitionBy("stretch", "block").orderBy("ts_s").rangeBetween(-cfg.brake_window, 0)
+    fired = copies.withColumn("recent", F.sum("bans").over(span)).filter(
         (F.col("block") == F.col("own")) & (F.col("recent") >= cfg.brake_limit))
-    first = fired.groupBy("stretch").agg(F.min(F.struct(
-        "ts_s", (F.col("recent") - F.col("bans")).alias("earlier"))).alias("at"))
-    # the ban that reached the limit is the last one of its second to be carried out
-    kept = F.greatest(F.lit(cfg.brake_limit) - F.col("at.earlier"), F.lit(1))
-    return first.select("stretch", F.col("at.ts_s").alias("brake_s"), kept.alias("kept"))
+    first = fired.groupBy("stretch").agg(F.min("ts_s").alias("own_brake"))
+    return seconds.join(broadcast_if_small(staged(first)), "stretch", "left")
+
+
+def _chained(seconds: DataFrame, cfg: ModerationConfig) -> DataFrame:
+    """Add ``chain``: stretches of different chains cannot see each other's bans.
+
+    A stretch carries out no ban after its own brake, as bans of earlier stretches only bring the
+    brake forward.  So it reaches no further than that, or than its last ban, and one window more.
+    """
+    stretches = seconds.groupBy("stretch").agg(
+        F.min("ts_s").alias("first"), F.coalesce(F.max("own_brake"), F.max("ts_s")).alias("reach"))
+    seen = running(staged(stretches), [], ["first"], {"reached": ("max", F.col("reach"))}, inclusive=False)
+    alone = F.col("reached").isNull() | (F.col("reached") + cfg.brake_window < F.col("first"))
+    chains = running(staged(seen), [], ["first"], {"chain": ("max", F.when(alone, F.col("first")))})
+    return seconds.join(broadcast_if_small(staged(chains.select("stretch", "reach", "chain"))), "stretch")
+
+
+def _brakes(seconds: DataFrame, cfg: ModerationConfig) -> DataFrame:
+    """``stretch, brake_s, kept``: the second in which a stretch's brake fires, and how many of its
+    bans are still carried out.
+
+    Chains are settled beside each other, each in order.  Of a stretch only the seconds up to one
+    window after its start, which earlier stretches bear on, and those of the last window
+    before its own brake or end, which bear on later ones, are gone through: at most two windows,
+    however long it is.
+    """
+    every = staged(_chained(staged(_own_brakes(seconds, cfg)), cfg))
+    window, limit = cfg.brake_window, cfg.brake_limit
+    near = every.filter((F.col("ts_s") <= F.coalesce("own_brake", "ts_s")) & (
+        (F.col("ts_s") <= F.col("stretch") + window) | (F.col("ts_s") >= F.col("reach") - window)))
+    ship(seconds.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain = stretch = None
+        recent, total, fired = deque(), 0, False
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.chain != chain:
+                    chain, stretch = r.chain, None
+                    recent, total = deque(), 0
+                if r.stretch != stretch:
+                    stretch, fired = r.stretch, False
+                if fired:
+                    continue
+                while recent and recent[0][0] < r.ts_s - window:
+                    total -= recent.popleft()[1]
+                carried = r.bans
+                if total + r.bans >= limit:
+                    # the ban that reaches the limit is the last one of its second to be carried out
+                    fired, carried = True, max(limit - total, 1)
+                    out.append((r.stretch, r.ts_s, carried))
+                recent.append((r.ts_s, carried))
+                total += carried
+            yield pd.DataFrame(out, columns=["stretch", "brake_s", "kept"], dtype="int64")
+
+    in_order = near.select("chain", "ts_s", "stretch", "bans").repartition("chain").sortWithinPartitions("chain", "ts_s")
+    return in_order.mapInPandas(run, "stretch bigint, brake_s bigint, kept bigint")
 
 
 def apply_brake(verdicts: DataFrame, resets: DataFrame, cfg: ModerationConfig) -> DataFrame:
@@ -389,8 +458,7 @@ def apply_brake(verdicts: DataFrame, resets: DataFrame, cfg: ModerationConfig) -
     ``verdicts`` has ``id, ts_s, action``; ``resets`` has ``id, ts_s`` (moments at which an
     admin switched punishing back on).  Only bans that were carried out count, and a stretch
     that begins shortly after a brake still sees the bans before it.  The brakes are found
-    on per-second counts, in passes that are repeated until none of them moves; every pass
-    settles at least the earliest stretch that was not yet settled.
+    on per-second counts, in a fixed number of jobs however many resets there are.
     """
     if cfg.brake_limit <= 0:
         return verdicts.withColumn("effective_action", F.col("action"))
@@ -399,16 +467,7 @@ def apply_brake(verdicts: DataFrame, resets: DataFrame, cfg: ModerationConfig) -
         "stretch", F.coalesce("stretch", F.lit(_BEFORE_ALL))))
     bans = marked.filter(F.col("action").isin(*BANNING))
     seconds = staged(bans.groupBy("stretch", "ts_s").agg(F.count("*").alias("bans")))
-    brakes, seen = None, None
-    while True:
-        brakes = staged(_brakes(seconds, brakes, cfg))
-        now = brakes.agg(F.count("*").alias("n"),
-                         F.bit_xor(F.xxhash64("stretch", "brake_s", "kept"))).first()
-        if now["n"] <= MAX_BROADCAST_ROWS:
-            brakes = F.broadcast(brakes)
-        if now == seen:
-            break
-        seen = now
+    brakes = broadcast_if_small(staged(_brakes(seconds, cfg)))
     # only the bans of the second in which a brake fired are put in order
     rank = F.row_number().over(Window.partitionBy("stretch").orderBy("id"))
     second = bans.withColumnRenamed("ts_s", "brake_s").join(

@@ -11,8 +11,11 @@ from ..functions.text import normalize_keep_accents
 from ..operators import lists as L
 from ..operators.scoring import (forced_reason, score_both, text_features, with_defaults,
                                  without_texts)
-from ..operators.state import as_of, exclude_paused, replay_verdicts
+from ..operators.actions import resolve_action
+from ..operators.state import as_of, at_each_message, exclude_paused, replay_verdicts, switches_as_of
 from ..sources.storage import staged
+from ..sources.tables import write_offences
+from .reports import moderation_report, offence_rows
 
 Lists = dict[str, DataFrame]
 
@@ -85,11 +88,13 @@ def scan(msgs: DataFrame, lists: Lists, chats: DataFrame, admins: DataFrame,
          settings_log: DataFrame | None = None, own_username: str = "") -> DataFrame:
     """Scored messages of everybody who is moderated, ready for ``replay_verdicts``.
 
-    Cheap exemptions come first, so exempt messages never reach the text work.
+    Cheap exemptions come first, so exempt messages never reach the text work.  With a
+    ``settings_log``, the pause, the switches and the action hold as they were at each message.
     """
     m = L.exclude_exempt(msgs, admins, lists["bot_admins"], owners)
     if settings_log is not None:
-        m = exclude_paused(m, settings_log)
+        m = switches_as_of(exclude_paused(m, settings_log), settings_log, cfg)
+        cfg = at_each_message(cfg)
     m = L.require_known_admins(m, admin_status)
     m = L.blocked_sender(m, lists["blacklist"])
     m = L.exclude_trusted(m, lists["members"]) if "members" in lists else m
@@ -98,6 +103,11 @@ def scan(msgs: DataFrame, lists: Lists, chats: DataFrame, admins: DataFrame,
     m = m.withColumns({
         "is_forward": F.col("is_forward") & ~F.col("may_forward"),
         "forward_label": E.forward_label("forward_origin")})
+    if settings_log is not None:
+        qr, ocr = F.col("sw_scan_qr"), F.col("sw_scan_ocr")
+        m = m.withColumns({"has_qr": F.col("has_qr") & qr,
+                           "qr_payloads": F.when(qr, F.col("qr_payloads")).otherwise(E.no_strings()),
+                           "ocr_text": F.when(ocr, F.col("ocr_text")).otherwise("")})
     m = text_features(m, cfg).withColumn("keep_text", normalize_keep_accents(F.concat_ws(
         " ", F.nullif("text", F.lit("")), F.nullif("caption", F.lit("")), "qr_payloads",
         F.nullif("ocr_text", F.lit("")))))
@@ -121,3 +131,32 @@ def moderate(msgs: DataFrame, lists: Lists, chats: DataFrame, admins: DataFrame,
     """Offences with verdicts: ``scan`` followed by ``replay_verdicts``."""
     scored = scan(msgs, lists, chats, admins, admin_status, cfg, owners, settings_log, own_username)
     return replay_verdicts(scored, joins, cfg, lists.get("members"), offences)
+
+
+def with_texts(found: DataFrame, msgs: DataFrame) -> DataFrame:
+    """Give offences the texts and names of their messages back.
+
+    Only messages that were found are looked at again: their keys, broadcast after counting, go to
+    the texts.  A message that was delivered twice gives one of its copies.
+    """
+    key = ["chat_id", "message_id", "ts_s"]
+    have = [c for c in ("text", "caption", "sender_name", "username", "channel_title") if c in msgs.columns]
+    wanted = L.broadcast_if_small(staged(found.select(*key).distinct()))
+    texts = msgs.join(wanted, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*have)).alias("_m"))
+    out = found.join(L.broadcast_if_small(staged(texts)), key, "left")
+    given = {c: F.col(f"_m.{c}") if c in have else F.lit(None).cast("string")
+             for c in ("text", "caption", "sender_name", "username", "channel_title")}
+    return out.withColumns(given).drop("_m")
+
+
+def moderate_to_log(msgs: DataFrame, lists: Lists, chats: DataFrame, admins: DataFrame,
+                    admin_status: DataFrame, cfg: ModerationConfig, path: str, **more) -> DataFrame:
+    """From messages to the offence log under ``path``, and a report row per offence.
+
+    Takes what ``moderate`` takes.  Texts are left behind while verdicts are found, and only those
+    of offences are fetched again.
+    """
+    found = staged(resolve_action(moderate(msgs, lists, chats, admins, admin_status, cfg, **more), cfg))
+    told = staged(with_texts(found, msgs))
+    write_offences(offence_rows(told), path)
+    return moderation_report(told)
