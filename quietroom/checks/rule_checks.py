@@ -13,7 +13,7 @@ from ..operators.scoring import (forced_reason, forced_verdict, is_benign_questi
                                  list_features, score_messages, text_features, without_texts)
 from ..plans.moderate import attach_lists
 from .base import joined, messages, q, query, sql_keep, sql_norm, with_views
-from .entity_checks import (BODY_SQL, CRYPTO_SQL, EMOJI_SQL, INVITE_SQL, MONEY_SQL, SCAN_SQL,
+from .entity_checks import (BODY_SQL, CRYPTO_SQL, EMOJI_SQL, INVITE_SQL, MONEY_SQL, QR_SQL, SCAN_SQL,
                             SPELLED_SQL, mentions_sql, path_sql, phones_sql, urls_sql)
 from .text_checks import OBFUSCATION, QUESTION_SQL
 from .views import load
@@ -223,12 +223,11 @@ RULES_SQL = {
     "qr_code": ("has_qr AND qr_payload IS NOT NULL", "0", "2", "'qr_code'"),
     "qr_newcomer": ("has_qr AND qr_payload IS NOT NULL AND is_new_member", "0", "2",
                     "'qr_newcomer'"),
-    "rule_qr_payload": ("qr_payload IS NOT NULL AND message_id % 108 <> 90",
-                        "CASE WHEN message_id % 108 = 72 THEN 0 ELSE 1 END",
-                        "CASE WHEN message_id % 108 = 72 THEN 1 ELSE 0 END",
-                        """CASE message_id % 108 WHEN 0 THEN 'qr_payment'
-  WHEN 18 THEN 'qr_unknown_link: lucky-draw.example.biz' WHEN 36 THEN 'qr_wallet' WHEN 54 THEN 'qr_invite'
-  ELSE 'qr_allowed_link' END"""),
+    "rule_qr_payload": (f"qr_payload IS NOT NULL AND {QR_SQL} <> 'other'",
+                        f"CASE WHEN {QR_SQL} = 'allowed_link' THEN 0 ELSE 1 END",
+                        f"CASE WHEN {QR_SQL} = 'allowed_link' THEN 1 ELSE 0 END",
+                        f"""CASE {QR_SQL} WHEN 'unknown_link' THEN 'qr_unknown_link: ' ||
+  lower(regexp_extract(qr_payload, '^https?://([^/?#:]+)', 1)) ELSE 'qr_' || {QR_SQL} END"""),
     "rule_mentions": ("len(unknown_ats) > 0 OR len(handles) >= 3",
                       "CASE WHEN len(unknown_ats) > 0 THEN 1 ELSE 0 END",
                       "CASE WHEN len(unknown_ats) > 0 THEN 0 ELSE 2 END",
@@ -296,8 +295,6 @@ _rule("rule_shortener", lambda: R.rule_shortener("hosts"))
 _rule("rule_risky_tld", lambda: R.rule_risky_tld("hosts"))
 _rule("rule_invite", lambda: R.rule_invite("body"))
 _rule("rule_obfuscated_url", lambda: R.rule_obfuscated_url("body", "hosts"))
-_rule("rule_qr_payload", lambda: F.get(R.rule_qr_payload(
-    "qr_payloads", "allow_domains"), F.lit(0)), True)
 _rule("rule_mentions", lambda: R.rule_mentions("handles", "unknown_mentions", CFG), True)
 _rule("rule_crypto", lambda: R.rule_crypto("scannable"))
 _rule("rule_phone", lambda: R.rule_phone(
@@ -315,6 +312,26 @@ _rule("rule_new_member_link", lambda: R.rule_new_member_link(NEW, "unknown_hosts
 _rule("rule_no_username_link", lambda: R.rule_no_username_link(NEW, "has_username", "urls"))
 
 
+# a picture may hold several codes: the message's own, one with a link of its own, a note
+_CODES = ("unnest([qr_payload, 'https://seat' || message_id || '.example.net/menu', 'Table ' || message_id, "
+          "'https://docs.example.org/p/' || message_id])")
+_QR_FIRES, _QR_HARD, _QR_SOFT, _QR_REASON = RULES_SQL["rule_qr_payload"]
+
+
+@query("rule_qr_payload", with_views(
+    f"SELECT message_id, CAST({_QR_HARD} AS BIGINT) AS hard, CAST({_QR_SOFT} AS BIGINT) AS soft, {_QR_REASON} AS reason "
+    f"FROM (SELECT message_id, {_CODES} AS qr_payload FROM messages WHERE has_qr) WHERE {_QR_FIRES}", "messages"))
+def _qr_payload(spark, sf_dir):
+    number = F.col("message_id").cast("string")
+    codes = F.array(F.concat(F.lit("https://seat"), number, F.lit(".example.net/menu")), F.concat(F.lit("Table "), number),
+                    F.concat(F.lit("https://docs.example.org/p/"), number))
+    m = messages(spark, sf_dir).filter("has_qr").withColumn("qr_payloads", F.concat("qr_payloads", codes))
+    m = attach(spark, sf_dir)(without_texts(text_features(m, CFG)))
+    fired = list_features(m, CFG).select("message_id", F.explode(R.rule_qr_payload("qr_payloads", "allow_domains")).alias("r"))
+    return fired.filter("r IS NOT NULL").select("message_id", F.col("r.hard").cast("bigint").alias("hard"),
+                                                F.col("r.soft").cast("bigint").alias("soft"), "r.reason")
+
+
 @query("rule_qr_present", with_views(
     "SELECT message_id, CAST(CASE WHEN is_new_member THEN 4 ELSE 2 END AS BIGINT) AS points "
     "FROM messages WHERE has_qr AND qr_payload IS NOT NULL", "messages"))
