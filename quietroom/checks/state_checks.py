@@ -618,6 +618,57 @@ def _moderate(spark, sf_dir):
         F.array_join("verdict.reasons", "; ").alias("reasons"), "action", "until")
 
 
+# --- bans carried to the sender's other chats -------------------------------------------------
+
+#: One fold per sender over all chats (1 to 5): lists hold, per chat, first sight, messages, offences, and
+#: the second of a carried ban that has not been applied yet.
+_ACROSS = REPLAY[:REPLAY.index("ev AS (SELECT")] + """
+ev AS (SELECT e.*, row_number() OVER (PARTITION BY e.user_id ORDER BY ts_s, is_msg, id, e.chat_id) AS rn,
+    coalesce(exempt, []) AS exempt
+  FROM (SELECT chat_id, user_id, ts_s, 1 AS is_msg, message_id AS id, p_new, p_old, mode FROM pts
+    WHERE sender_chat_id IS NULL
+    UNION ALL SELECT chat_id, user_id, ts_s, 0, id, 0, 0, NULL FROM joins
+    UNION ALL SELECT chat_id, 1 + user_id % 37, ts_s, 2, id, 0, 0, NULL FROM offences) e
+  LEFT JOIN (SELECT user_id, list(chat_id) AS exempt FROM admins GROUP BY 1) x ON x.user_id = e.user_id),
+fold AS (
+  SELECT k.user_id, CAST(0 AS BIGINT) AS rn, CAST([NULL, NULL, NULL, NULL, NULL] AS BIGINT[]) AS fs,
+    CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS cnt, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS n,
+    CAST([NULL, NULL, NULL, NULL, NULL] AS BIGINT[]) AS waits, CAST(NULL AS BIGINT) AS message_id,
+    CAST(NULL AS BIGINT) AS ts_s, FALSE AS is_new, CAST(0 AS BIGINT) AS prior, CAST(0 AS BIGINT) AS score, FALSE AS spam
+  FROM (SELECT DISTINCT user_id FROM ev) k
+  UNION ALL
+  SELECT user_id, rn,
+    list_transform(range(1, 6), lambda c: CASE WHEN c = chat_id THEN CASE WHEN banned THEN NULL ELSE fs1 END
+      WHEN banned AND NOT list_contains(exempt, c) AND waits[c] < ts_s THEN NULL ELSE fs[c] END),
+    list_transform(range(1, 6), lambda c: CASE WHEN c = chat_id THEN CASE WHEN banned THEN 0 ELSE cnt1 END
+      WHEN banned AND NOT list_contains(exempt, c) AND waits[c] < ts_s THEN 0 ELSE cnt[c] END),
+    list_transform(range(1, 6), lambda c: n[c] + CASE WHEN c = chat_id AND (spam OR is_msg = 2) THEN 1 ELSE 0 END),
+    list_transform(range(1, 6), lambda c: CASE WHEN c = chat_id THEN CASE WHEN waits[c] < ts_s THEN NULL ELSE waits[c] END
+      WHEN banned AND NOT list_contains(exempt, c) THEN ts_s ELSE waits[c] END),
+    id, ts_s, is_new, prior, score, spam
+  FROM (SELECT *, spam AND mode = 'ban' AS banned
+    FROM (SELECT *, is_msg = 1 AND score >= CASE WHEN is_new THEN 3 ELSE 5 END AS spam
+    FROM (SELECT *, CAST(CASE WHEN is_new THEN p_new ELSE p_old END + CASE WHEN
+        CASE WHEN is_new THEN p_new ELSE p_old END > 0 THEN least(2 * prior, 4) ELSE 0 END AS BIGINT) AS score
+      FROM (SELECT *, coalesce(ts_s - fs1 < 86400, FALSE) OR cnt1 <= 3 AS is_new
+        FROM (SELECT e.*, f.fs, f.cnt, f.n, f.waits, f.n[e.chat_id] AS prior,
+            CASE WHEN is_msg = 2 THEN CASE WHEN waits[e.chat_id] < e.ts_s THEN NULL ELSE f.fs[e.chat_id] END
+              ELSE coalesce(CASE WHEN waits[e.chat_id] < e.ts_s THEN NULL ELSE f.fs[e.chat_id] END, e.ts_s) END AS fs1,
+            CASE WHEN waits[e.chat_id] < e.ts_s THEN 0 ELSE f.cnt[e.chat_id] END
+              + CASE WHEN is_msg = 1 THEN 1 ELSE 0 END AS cnt1
+          FROM fold f JOIN ev e ON e.user_id = f.user_id AND e.rn = f.rn + 1))))))"""
+
+
+@query("replay_across_chats", with_views(f"{_USERS} UNION ALL {_CHANNELS}", *REPLAY_SOURCES, "admins",
+                                         more=_ACROSS, recursive=True))
+def _replay_across(spark, sf_dir):
+    found = T.replay_across_chats(
+        scored_both(spark, sf_dir, with_edits(prepared(spark, sf_dir))), load(spark, sf_dir, "joins"), CFG,
+        load(spark, sf_dir, "managed_chats"), load(spark, sf_dir, "admins"), offences=past_offences(spark, sf_dir))
+    return found.select("message_id", "ts_s", "offender_id", "is_new", "prior_offences",
+                        F.col("verdict.score").cast("bigint").alias("score"))
+
+
 # --- one call from messages to the log, with settings as they were at each message -----------
 
 

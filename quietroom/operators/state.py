@@ -26,23 +26,37 @@ def _as_user(msgs: DataFrame) -> DataFrame:
     return msgs.filter(F.col("sender_chat_id").isNull()) if "sender_chat_id" in msgs.columns else msgs
 
 
+def _with_life(rows: DataFrame, resets: DataFrame | None) -> DataFrame:
+    """Add ``life``: how often the sender was forgotten in the chat before each row, by bans
+    carried over from elsewhere (``resets``: chat_id, user_id, ts_s).  One that falls into the
+    second of a row comes after it."""
+    if resets is None:
+        return rows.withColumn("life", F.lit(0).cast("bigint"))
+    both = rows.withColumn("_reset", F.lit(0)).unionByName(
+        resets.select(*KEY, "ts_s", F.lit(1).alias("_reset")), allowMissingColumns=True)
+    lives = running(both, KEY, ["ts_s", "_reset"], {"life": ("sum", F.col("_reset").cast("bigint"))})
+    return staged(lives.filter("_reset = 0").drop("_reset"))
+
+
 def _timeline(msgs: DataFrame, joins: DataFrame | None, members: DataFrame | None,
-              payload: tuple[str, ...] = ()) -> DataFrame:
-    """User messages with ``first_seen``, ``msg_count`` (this one included), ``next_ts``."""
+              payload: tuple[str, ...] = (), resets: DataFrame | None = None) -> DataFrame:
+    """User messages with ``first_seen``, ``msg_count`` (this one included), ``next_ts``, ``life``;
+    the first three begin anew with each life."""
     rows = _as_user(msgs).select(*KEY, "ts_s", F.lit(1).alias("is_msg"),
                                  F.col("message_id").alias("id"), *payload)
     if joins is not None:
         rows = rows.unionByName(joins.select(
             *KEY, "ts_s", F.lit(0).alias("is_msg"), "id"), allowMissingColumns=True)
+    rows = _with_life(rows, resets)
     order = ["ts_s", "is_msg", "id", *[c for c in payload if c == "_row"]]
-    out = running(rows, KEY, order, {
+    out = running(rows, KEY if resets is None else [*KEY, "life"], order, {
         "first_seen": ("min", F.col("ts_s")),
         "msg_count": ("sum", F.col("is_msg").cast("bigint")),
     }, following={"next_ts": F.col("ts_s")}).filter("is_msg = 1")
     if members is not None:
         known = members.select(*KEY, F.col("first_seen").alias("_seen"),
-                               F.col("msg_count").alias("_count"))
-        out = out.join(known, KEY, "left").withColumns({
+                               F.col("msg_count").alias("_count"), F.lit(0).cast("bigint").alias("life"))
+        out = out.join(known, [*KEY, "life"], "left").withColumns({
             "first_seen": F.coalesce("_seen", "first_seen"),
             "msg_count": F.col("msg_count") + F.coalesce("_count", F.lit(0)),
         }).drop("_seen", "_count")
@@ -56,7 +70,7 @@ def member_activity(msgs: DataFrame, joins: DataFrame | None = None,
     A join counts as first sight but not as a message.  Messages sent as a channel have no
     member behind them and are left out.
     """
-    return _timeline(msgs, joins, members).drop("next_ts")
+    return _timeline(msgs, joins, members).drop("next_ts", "life")
 
 
 def _newcomer(age: Column, count: Column, cfg: ModerationConfig) -> Column:
@@ -165,7 +179,7 @@ def _mark() -> Column:
     again, is a row of its own, told apart by time and row number."""
     return F.struct(F.col("ts_s").alias("ts"), F.col("message_id").alias("id"), F.col("_row").alias("row"),
                     F.col("msg_count").alias("n"), F.col("next_ts").alias("next_ts"),
-                    F.col("bans").alias("bans"))
+                    F.col("bans").alias("bans"), F.col("life").alias("life"))
 
 
 def _place(mark: Column) -> Column:
@@ -177,8 +191,10 @@ def _here() -> Column:
 
 
 def _new_since(mark: Column, cfg: ModerationConfig) -> Column:
-    """Is the sender a newcomer again, having been forgotten at ``mark``?"""
-    return _newcomer(F.col("ts_s") - mark["next_ts"], F.col("msg_count") - mark["n"], cfg)
+    """Is the sender a newcomer again, having been forgotten at ``mark``?  In a later life than the
+    mark's, what counts is when that life began."""
+    since = _newcomer(F.col("ts_s") - mark["next_ts"], F.col("msg_count") - mark["n"], cfg)
+    return F.when(mark["life"] == F.col("life"), since).otherwise(F.col("new0"))
 
 
 def _spam_cases(cfg: ModerationConfig) -> dict[str, Column]:
@@ -239,21 +255,39 @@ def replay_verdicts(scored: DataFrame, joins: DataFrame | None, cfg: ModerationC
     Should newcomers have the higher threshold, the last point does not hold, and candidates
     are folded in order, sender by sender, as a stream of sorted rows.
     """
+    slim = _slim(scored, cfg)
+    hits = staged(_hits(slim, joins, cfg, members, offences))
+    return _verdicts(slim, hits, cfg)
+
+
+def _slim(scored: DataFrame, cfg: ModerationConfig) -> DataFrame:
+    """What the history needs of scored messages, with a row number that is fixed by writing it.
+    Reasons stay in this table until the end."""
     scored = scored.withColumns({
         "points_new": total(F.col("signals_new")), "points_old": total(F.col("signals_old")),
         "bans": F.col("action") == "ban"})
+    everywhere = F.col("ban_all_groups") if "ban_all_groups" in scored.columns else F.lit(cfg.ban_all_groups)
+    scored = scored.withColumn("carried", F.col("bans") & everywhere)
     scored = scored.withColumns(_spam_cases(cfg)).withColumn(
         "_kept", F.when(F.col("c2") | F.col("u2"), F.struct("signals_new", "signals_old", "forced_reason",
                                                             "action")))
-    # the row number is fixed by writing it; reasons stay in this table until the end
-    cases = ("bans", "c0", "c1", "c2", "u0", "u1", "u2")
-    slim = staged(scored.select("message_id", *KEY, "sender_chat_id", "ts_s", "_kept", *cases,
+    return staged(scored.select("message_id", *KEY, "sender_chat_id", "ts_s", "_kept", *_CASES,
                                 F.monotonically_increasing_id().alias("_row")))
-    cand = _timeline(slim, joins, members, ("_row", *cases)).filter("c2 OR u2")
+
+
+_CASES = ("bans", "carried", "c0", "c1", "c2", "u0", "u1", "u2")
+
+
+def _hits(slim: DataFrame, joins: DataFrame | None, cfg: ModerationConfig, members: DataFrame | None,
+          offences: DataFrame | None, resets: DataFrame | None = None) -> DataFrame:
+    cand = _timeline(slim, joins, members, ("_row", *_CASES), resets).filter("c2 OR u2")
     cand = staged(_logged_before(cand, offences).withColumn("new0", _newcomer(
         F.col("ts_s") - F.col("first_seen"), F.col("msg_count"), cfg)))
     fold = _folded if cfg.threshold_for(True) > cfg.threshold_for(False) else _closed_form
-    hits = staged(fold(cand, cfg))
+    return fold(cand, cfg)
+
+
+def _verdicts(slim: DataFrame, hits: DataFrame, cfg: ModerationConfig) -> DataFrame:
     hits = running(hits, KEY, ORDER, {"_before": ("sum", F.lit(1).cast("bigint"))}, inclusive=False)
     hits = hits.withColumn("prior_offences", F.col("_before") + F.col("seed")).select(
         "_row", "is_new", "prior_offences")
@@ -267,7 +301,42 @@ def replay_verdicts(scored: DataFrame, joins: DataFrame | None, cfg: ModerationC
     return with_final_verdict(users.unionByName(channels), cfg)
 
 
-_HITS = [*KEY, "ts_s", "message_id", "_row", "is_new", "seed"]
+def replay_across_chats(scored: DataFrame, joins: DataFrame | None, cfg: ModerationConfig, chats: DataFrame,
+                        admins: DataFrame, members: DataFrame | None = None,
+                        offences: DataFrame | None = None) -> DataFrame:
+    """``replay_verdicts`` in which a ban is carried to the sender's other managed chats.
+
+    There the sender is forgotten, and is new again from the next second on, unless an admin of
+    that chat.  ``scored`` may say in ``ban_all_groups`` whether the switch was on at each message.
+
+    A fixed point: verdicts give carried bans, which give each sender's lives in the other chats,
+    which give verdicts.  A carried ban bears on later messages only, so each pass settles at
+    least the next one of every sender, and only senders whose carried bans changed are
+    looked at again.  Bans meet the chats in which their sender has messages that could be
+    offences, so no sender is unfolded over all chats.
+    """
+    slim = _slim(scored, cfg)
+    hits = staged(_hits(slim, joins, cfg, members, offences))
+    homes = slim.filter("sender_chat_id IS NULL AND (c2 OR u2)").select(*KEY).distinct()
+    homes = homes.join(broadcast_if_small(chats.select("chat_id").distinct()), "chat_id", "left_semi")
+    homes = staged(homes.join(broadcast_if_small(admins.select(*KEY).distinct()), KEY, "left_anti"))
+    resets = homes.select(*KEY, F.lit(0).cast("bigint").alias("ts_s")).limit(0)
+    while True:
+        bans = hits.filter("carried").select("user_id", F.col("chat_id").alias("from_chat"), "ts_s")
+        now = staged(bans.join(homes, "user_id").filter("chat_id <> from_chat").select(*KEY, "ts_s").distinct())
+        moved = staged(now.exceptAll(resets).unionByName(resets.exceptAll(now)).select("user_id").distinct())
+        if moved.isEmpty():
+            return _verdicts(slim, hits, cfg)
+        resets, moved = now, broadcast_if_small(moved)
+
+        def only(df: DataFrame | None) -> DataFrame | None:
+            return None if df is None else df.join(moved, "user_id", "left_semi")
+
+        again = _hits(only(slim), only(joins), cfg, only(members), only(offences), only(resets))
+        hits = staged(hits.join(moved, "user_id", "left_anti").unionByName(again))
+
+
+_HITS = [*KEY, "ts_s", "message_id", "_row", "is_new", "seed", "carried"]
 
 
 def _closed_form(cand: DataFrame, cfg: ModerationConfig) -> DataFrame:
@@ -291,18 +360,20 @@ def _closed_form(cand: DataFrame, cfg: ModerationConfig) -> DataFrame:
     since_base = F.when(F.col("base").isNotNull(), _new_since(F.col("base"), cfg)
                         ).otherwise(F.col("new0"))
     late = late.withColumn("new_base", since_base).drop("p1", "p2", "base", "new1")
-    late = staged(running(late, KEY, ORDER, {
+    # the record no longer grows, so each life stands alone
+    lives = [*KEY, "life"]
+    late = staged(running(late, lives, ORDER, {
         "last_x": ("max", F.when(F.col("bans"), _mark()))}, inclusive=False))
     since_x = F.when(F.col("last_x").isNotNull(), _new_since(F.col("last_x"), cfg)
                      ).otherwise(F.col("new_base"))
     here = F.struct(*ORDER)
-    late = staged(running(late, KEY, ORDER, {
+    late = staged(running(late, lives, ORDER, {
         "last_late": ("max", F.when(F.col("bans") & ~F.col("u2") & ~since_x, here)),
         "last_sure": ("max", F.when(F.col("bans") & F.col("u2"), here))}))
     unbroken = F.col("last_late").isNull() | F.coalesce(
         F.col("last_late") < F.col("last_sure"), F.lit(False))
     late = late.withColumn("banned", F.col("bans") & (F.col("u2") | unbroken))
-    late = running(late, KEY, ORDER, {
+    late = running(late, lives, ORDER, {
         "last_ban": ("max", F.when(F.col("banned"), _mark()))}, inclusive=False)
     since_ban = F.when(F.col("last_ban").isNotNull(), _new_since(F.col("last_ban"), cfg)
                        ).otherwise(F.col("new_base"))
@@ -317,12 +388,14 @@ def _folded(cand: DataFrame, cfg: ModerationConfig) -> DataFrame:
     ship(cand.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, base, own = None, None, 0
+        key, life, base, own = None, 0, None, 0
         for pdf in batches:
             kept, news = [], []
             for i, r in enumerate(pdf.itertuples(index=False)):
                 if (r.chat_id, r.user_id) != key:
-                    key, base, own = (r.chat_id, r.user_id), None, 0
+                    key, life, base, own = (r.chat_id, r.user_id), 0, None, 0
+                if r.life != life:
+                    life, base = r.life, None
                 new = bool(r.new0) if base is None else (
                     r.ts_s - base[0] < window or r.msg_count - base[1] <= messages)
                 record = min(int(r.seed) + own, 2)
@@ -333,12 +406,12 @@ def _folded(cand: DataFrame, cfg: ModerationConfig) -> DataFrame:
                 own += 1
                 if r.bans:
                     base = (r.next_ts, r.msg_count)
-            out = pdf.iloc[kept][["chat_id", "user_id", "ts_s", "message_id", "_row", "seed"]]
+            out = pdf.iloc[kept][[c for c in _HITS if c != "is_new"]]
             yield out.assign(is_new=news)[_HITS]
 
     in_order = cand.repartition(*KEY).sortWithinPartitions(*KEY, *ORDER)
     return in_order.mapInPandas(run, ", ".join(
-        f"{n} {'boolean' if n == 'is_new' else 'bigint'}" for n in _HITS))
+        f"{n} {'boolean' if n in ('is_new', 'carried') else 'bigint'}" for n in _HITS))
 
 
 def with_final_verdict(hits: DataFrame, cfg: ModerationConfig) -> DataFrame:

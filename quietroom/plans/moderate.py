@@ -12,7 +12,7 @@ from ..operators import lists as L
 from ..operators.scoring import (forced_reason, score_both, text_features, with_defaults,
                                  without_texts)
 from ..operators.actions import resolve_action
-from ..operators.state import as_of, at_each_message, exclude_paused, replay_verdicts, switches_as_of
+from ..operators.state import as_of, at_each_message, exclude_paused, replay_across_chats, replay_verdicts, switches_as_of
 from ..sources.storage import staged
 from ..sources.tables import write_offences
 from .reports import moderation_report, offence_rows
@@ -119,17 +119,22 @@ def scan(msgs: DataFrame, lists: Lists, chats: DataFrame, admins: DataFrame,
         m = as_of(m, settings_log.filter("key = 'action'"), "value", "_mode")
         mode = F.lower(E.strip_spaces("_mode"))
         action = F.when(mode.isin("ban", "mute", "delete", "report"), mode).otherwise(action)
-    return m.withColumn("action", action).select(
+    return m.withColumns({"action": action, "ban_all_groups": F.lit(cfg.ban_all_groups)}).select(
         "message_id", "chat_id", "user_id", "sender_chat_id", "ts_s", "signals_new",
-        "signals_old", "forced_reason", "action")
+        "signals_old", "forced_reason", "action", "ban_all_groups")
 
 
 def moderate(msgs: DataFrame, lists: Lists, chats: DataFrame, admins: DataFrame,
              admin_status: DataFrame, cfg: ModerationConfig, joins: DataFrame | None = None,
              offences: DataFrame | None = None, settings_log: DataFrame | None = None,
-             owners: tuple[int, ...] = (), own_username: str = "") -> DataFrame:
-    """Offences with verdicts: ``scan`` followed by ``replay_verdicts``."""
+             owners: tuple[int, ...] = (), own_username: str = "", carry_bans: bool = False) -> DataFrame:
+    """Offences with verdicts: ``scan`` followed by ``replay_verdicts``.
+
+    With ``carry_bans`` a ban also makes the sender's other chats forget them, within this replay.
+    """
     scored = scan(msgs, lists, chats, admins, admin_status, cfg, owners, settings_log, own_username)
+    if carry_bans:
+        return replay_across_chats(scored, joins, cfg, chats, admins, lists.get("members"), offences)
     return replay_verdicts(scored, joins, cfg, lists.get("members"), offences)
 
 

@@ -44,15 +44,22 @@ def random_log(seed, n, users=6, gap=20000):
     return rows, joins
 
 
-def by_hand(rows, joins, logged, members, cfg=CFG):
-    """The same history told one event at a time; ``logged`` holds (chat, user, time)."""
+def by_hand(rows, joins, logged, members, cfg=CFG, carry=None):
+    """The same history told one event at a time; ``logged`` holds (chat, user, time).
+
+    ``carry``: (managed chats, admins as (chat, user)); bans then reach the other chats a second later.
+    """
     events = [(r[4], 1, r[0], r) for r in rows] + [(j[3], 0, j[0], j) for j in joins]
     events += [(t, 2, i, (None, chat, user)) for i, (chat, user, t) in enumerate(logged)]
     seen, count, record = {}, Counter(), Counter()
     for (chat, user), (first, n) in members.items():
         seen[chat, user], count[chat, user] = first, n
-    out = []
+    out, pending = [], []
     for ts, is_msg, _, e in sorted(events, key=lambda e: e[:3]):
+        for at, chat, user in [x for x in pending if x[0] < ts]:
+            seen.pop((chat, user), None)
+            count[chat, user] = 0
+        pending = [x for x in pending if x[0] >= ts]
         key = (e[1], e[2])
         if is_msg == 2:
             record[key] += 1
@@ -79,6 +86,8 @@ def by_hand(rows, joins, logged, members, cfg=CFG):
             if mode == "ban":
                 del seen[key]
                 count[key] = 0
+                if carry:
+                    pending += [(ts, c, user) for c in carry[0] if c != chat and (c, user) not in carry[1]]
     return sorted(out)
 
 
@@ -100,6 +109,40 @@ def test_replay_against_hand(spark, seed, n, gap):
         assert sorted(tuple(r) for r in got) == by_hand(rows, joins, logged, members, cfg)
 
 
+@pytest.mark.parametrize("seed, n, gap", [(11, 500, 9000), (12, 600, 60000), (13, 400, 2000)])
+def test_bans_are_carried_to_other_chats(spark, seed, n, gap):
+    rows, joins = random_log(seed, n, gap=gap)
+    rnd = random.Random(seed)
+    chats = {(r[0]): rnd.randint(1, 4) for r in rows}  # every sender in several chats, two of them in the same second
+    rows = [(r[0], chats[r[0]], *r[2:]) for r in rows]
+    managed, admins = [1, 2, 3], {(2, 1), (3, 2)}
+    members = {(1, 1): (1_600_000_000, 50), (2, 5): (1_699_999_000, 2), (3, 1): (1_600_000_000, 9)}
+    logged = [(1, 2, 5), (1, 4, 5), (2, 3, 1_700_001_000)]
+    tables = (spark.createDataFrame([(c,) for c in managed], "chat_id bigint"),
+              spark.createDataFrame(sorted(admins), "chat_id bigint, user_id bigint"),
+              spark.createDataFrame([(*k, *v, False) for k, v in members.items()],
+                                    "chat_id bigint, user_id bigint, first_seen bigint, msg_count bigint, trusted boolean"),
+              spark.createDataFrame(logged, "chat_id bigint, user_id bigint, ts_s bigint"))
+    j = spark.createDataFrame(joins, "id bigint, chat_id bigint, user_id bigint, ts_s bigint")
+    for cfg in (CFG, ModerationConfig(new_member_threshold=7)):
+        got = T.replay_across_chats(spark.createDataFrame(rows, DDL), j, cfg, *tables).select(
+            "message_id", "offender_id", "is_new", "prior_offences", "verdict.score").collect()
+        want = by_hand(rows, joins, logged, members, cfg, (managed, admins))
+        assert sorted(tuple(r) for r in got) == want
+        if cfg is CFG:
+            assert want != by_hand(rows, joins, logged, members, cfg)
+
+
+def test_the_switch_keeps_bans_at_home(spark):
+    rows, joins = random_log(11, 200, gap=9000)
+    rows = [(r[0], r[0] % 3 + 1, *r[2:]) for r in rows]
+    scored = spark.createDataFrame(rows, DDL).withColumn("ban_all_groups", F.lit(False))
+    none = spark.createDataFrame([], "id bigint, chat_id bigint, user_id bigint, ts_s bigint")
+    got = T.replay_across_chats(scored, none, CFG, none, none).select(
+        "message_id", "offender_id", "is_new", "prior_offences", "verdict.score").collect()
+    assert sorted(tuple(r) for r in got) == by_hand(rows, [], [], {})
+
+
 def test_edited_messages_are_messages(spark):
     """One message, delivered four times as an offence, is four offences with a growing record."""
     spam = [("rule", 5)]
