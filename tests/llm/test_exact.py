@@ -47,3 +47,31 @@ def test_directory_splits_until_buckets_fit(spark):
     assert filled <= 40
     for r in slots:  # slots of one bucket are neighbours that share the bucket's own bits
         assert r.slot >> (depth - r.depth) == r.bucket >> (depth - r.depth)
+
+
+def test_the_directory_decides(documents, odd):
+    """Rows are found through the directory alone: without a slot's line they are not found."""
+    df = documents(odd)
+    index = exact_dedup.build_index(df, capacity=1)
+    assert index.directory.count() > 4
+    lost = index.directory.orderBy("slot").first().slot
+    index.directory = index.directory.where(f"slot <> {lost}")
+    hashes = [r.h for r in index.rows.collect()]
+    gone = [h for h in hashes if (h % 2 ** 64) >> (64 - index.depth) == lost]
+    assert index.located(index.rows).count() == len(hashes) - len(gone)
+
+
+def test_hot_texts_and_repeated_rows(documents):
+    rows = [(7, "hot  text")] * 3000 + [(i, "hot text") for i in range(1500)] + [(i % 900, f"t {i % 900}") for i in range(1800)]
+    got = exact_dedup.find_copies(documents(rows))
+    assert sorted(map(repr, map(tuple, got.select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256").distinct().collect()))) == sorted(set(brute_grouped(rows)))
+    assert got.count() == len(rows) and exact_dedup.deduplicate(documents(rows)).count() == 901
+
+
+def brute_grouped(rows):
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(re.sub("[ \t-\r]+", " ", t), []).append(i)
+    return [repr((i, min(ids), len(ids), i == min(ids), hashlib.sha256(n.encode()).hexdigest()))
+            for n, ids in groups.items() for i in ids]
