@@ -46,12 +46,11 @@ FAMILIES = {
 }
 _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 _NO_LETTER = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def features(text: str | None) -> np.ndarray | None:
     """Hashed n-gram frequencies of unit length; None for a text without a letter."""
-    if not text or not _LETTER.search(text):
+    if not text or not any(map(str.isalpha, text)):
         return None
     b = np.frombuffer(b" " + text.lower().encode().translate(_NO_LETTER) + b"  ", np.uint8).astype(np.uint32)
     one, two, three = b[:-2], b[1:-1], b[2:]
@@ -125,16 +124,24 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
         return Model(None, {})
     each = max(1, sample_rows // len(per))
     chance = F.create_map(*itertools.chain(*((F.lit(k), F.lit(min(1.0, each / n))) for k, n in per.items())))
-    dice = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "id"), 11) / F.lit(float(1 << 53))
+    # rows are drawn by id and text, so that one id on very many rows is not drawn with all or none of them
+    roll = F.xxhash64(F.lit("langid"), "id", "text")
+    dice = F.shiftrightunsigned(roll, 11) / F.lit(float(1 << 53))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set = set()  # a row that is repeated is learned from once
         for pdf in batches:
+            new = [key not in seen and not seen.add(key) for key in zip(pdf["roll"], pdf["lang"])]
+            pdf = pdf[new]
             xs = [features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"].astype(str), "lang": pdf["lang"],
+            pdf = pd.DataFrame({"id": pdf["id"].astype(str), "lang": pdf["lang"], "roll": pdf["roll"],
                                 "x": [None if x is None else x.tobytes() for x in xs]})
+            yield pdf[pdf["x"].notna()]
 
-    drawn = rows.where(dice < F.coalesce(F.element_at(chance, F.col("lang")), F.lit(0.0)))
-    sample = [r for r in drawn.mapInPandas(run, "id string, lang string, x binary").collect() if r.x is not None]
+    drawn = rows.withColumn("roll", roll).where(dice < F.coalesce(F.element_at(chance, F.col("lang")), F.lit(0.0)))
+    # chance draws about sample_rows; never are more than twice as many taken
+    sample = (drawn.mapInPandas(run, "id string, lang string, roll long, x binary").dropDuplicates(["roll", "lang"])
+              .orderBy("roll", "lang").limit(2 * sample_rows).collect())
     if not sample:
         return Model(None, {})
     sample.sort(key=lambda r: (r.lang, r.id, r.x))

@@ -98,15 +98,46 @@ def lay_out(sized: DataFrame, rows: int, seed: str = SEED, chunk_rows: int = CHU
     text = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     at = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
     bits = log2_parts(rows, chunk_rows)
-    # an id that very many rows share (null, say) is dealt by size and then by chance of order
     placed = sized.withColumn("_at", at).withColumn("_chunk", F.shiftright("_at", 60 - bits))
+    # an id that very many rows of a source share (null, say) stands as one row first
+    shared = staged(placed.groupBy("source_no", "_at").agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum("size").alias("size"), F.first("_chunk").alias("_chunk"))
+        .where(F.col("_rows") > chunk_rows).drop("_rows"))
+    if shared.isEmpty():
+        return _laid(placed).drop("_at", "_chunk")
+    keys = F.broadcast(shared.select("source_no", "_at"))  # at most rows / chunk_rows
+    alone = placed.join(keys, ["source_no", "_at"], "left_anti")
+    both = _laid(alone.withColumn("_shared", F.lit(False)).unionByName(
+        shared.withColumn("_shared", F.lit(True)), allowMissingColumns=True))
+    firsts = F.broadcast(staged(both.where("_shared").select("source_no", "_at", F.col("start").alias("_group"))))
+    return both.where("NOT _shared").drop("_at", "_chunk", "_shared").unionByName(
+        _laid_apart(placed.drop("_chunk").join(firsts, ["source_no", "_at"]), chunk_rows))
+
+
+def _laid(placed: DataFrame) -> DataFrame:
+    """Add ``start`` by place, id and size, one window for each chunk of a source."""
     before = _before(placed, ["source_no"], "_chunk", F.col("size"), "_first")
     inside = (Window.partitionBy("source_no", "_chunk")
               .orderBy("_at", F.asc_nulls_first("doc_id"), "size")
               .rowsBetween(Window.unboundedPreceding, -1))
     return (placed.join(before, ["source_no", "_chunk"])
             .withColumn("start", F.col("_first") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-            .drop("_at", "_chunk", "_first"))
+            .drop("_first"))
+
+
+def _laid_apart(rows: DataFrame, chunk_rows: int) -> DataFrame:
+    """The same for the rows of shared ids, from ``_group`` on: by size, and those of one size, which are
+    alike, dealt over as many parts as they need."""
+    one = ["source_no", "_at", "size"]
+    parts = rows.groupBy(*one).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("_parts"))
+    dealt = staged(rows.join(F.broadcast(parts.where("_parts > 1")), one, "left").withColumn("_part", F.pmod(
+        F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+        .withColumn("_run", F.struct("size", "_part")))
+    before = _before(dealt, ["source_no", "_at"], "_run", F.col("size"), "_first")
+    inside = (Window.partitionBy(*one, "_part").orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, -1))
+    return (dealt.join(before, ["source_no", "_at", "_run"])
+            .withColumn("start", F.col("_group") + F.col("_first") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+            .drop("_at", "_run", "_part", "_first", "_group"))
 
 
 def _radical_inverse(i: Column, bits: int) -> Column:
@@ -222,16 +253,16 @@ def repeated_documents(docs: DataFrame, weights: DataFrame | None = None, id_col
     words it gives comes nearest to.  Rows are told apart by id, source and size; rows that agree
     in all three share what the mix takes of them.
     """
-    keys = [F.coalesce(c.cast("string"), F.lit("")) for c in (F.col(id_col), F.col(source_col))]
-    nulls = [F.col(id_col).isNull(), F.col(source_col).isNull()]
-    of = lambda k, n, size: F.concat_ws(":", *[x.cast("string") for x in n], size.cast("string"), *k)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names))
+
+    def key(doc_id: Column, source: Column, size: Column) -> Column:
+        known = [F.coalesce(c.cast("string"), F.lit("")) for c in (doc_id, source)]
+        return F.concat_ws(":", doc_id.isNull().cast("string"), source.isNull().cast("string"), size.cast("string"), *known)
+
     taken = mixture(docs, weights, id_col, text_col, source_col, block_words, repeats, seed)
-    key = of([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source")],
-             [F.col("doc_id").isNull(), F.col("source").isNull()], F.col("size"))
-    copies = (taken.where("taken > 0").groupBy(key.alias("_mix_key"))
-              .agg(F.avg(F.col("taken") / F.col("size")).alias("_mix_times"))
-              .select("_mix_key", F.floor(F.col("_mix_times") + 0.5).cast("int").alias("_mix_times"))
-              .where("_mix_times > 0"))
-    rows = docs.withColumn("_mix_row_key", of(keys, nulls, word_count(F.col(text_col))))
-    met = rows.join(copies, F.col("_mix_row_key") == F.col("_mix_key"))
-    return met.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
+    copies = (taken.where("taken > 0").groupBy(key(F.col("doc_id"), F.col("source"), F.col("size")).alias("key"))
+              .agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("times")).where("times > 0"))
+    rows = docs.toDF(*names).withColumn("key", key(F.col(at[id_col]), F.col(at[source_col]), word_count(F.col(at[text_col]))))
+    met = rows.join(copies, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return met.select(*names).toDF(*docs.columns)

@@ -52,9 +52,13 @@ _CUTS = (
     re.compile(r" +[^ \n]*|[^ \n]+|\n"),
 )
 _WORDS = re.compile(r" +[^ ]*")
-#: Words and units kept per worker, texts and units worked on together, and length of units up to which
-#: they are.
-_CACHED, _TEXTS, _TOGETHER, _SHORT = 450_000, 500, 20_000, 48
+#: Bytes of words and of units kept per worker (about), words whose alternatives are kept, texts and units
+#: worked on together, and length of units up to which they are.
+_CACHED_BYTES, _SEARCHED, _TEXTS, _TOGETHER, _SHORT = 60 << 20, 20_000, 500, 20_000, 48
+#: What a cached stretch takes besides its characters and ids: string, list and dictionary entry, numbers.
+_EACH = 220
+#: Rows and bytes that go to a worker at a time: what comes back is several times the text.
+_BATCH_ROWS, _BATCH_BYTES = 500, 8 << 20
 #: Cost of the next best segmentation where there is none.
 _NONE = 1 << 62
 
@@ -94,7 +98,7 @@ class _Known(dict):
     the numbers of ids, for a list of stretches."""
 
     def __init__(self, find):
-        self.find, self.names, self.done = find, [], 0
+        self.find, self.names, self.done, self.bytes = find, [], 0, 0
         self.total, self.second = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
@@ -104,7 +108,7 @@ class _Known(dict):
         return number
 
     def numbers(self, units: list[str]) -> np.ndarray:
-        if len(self.names) > _CACHED:
+        if self.bytes > _CACHED_BYTES:
             self.__init__(self.find)
             self.clear()
         out = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
@@ -116,6 +120,7 @@ class _Known(dict):
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
             self.ids = np.concatenate([self.ids, ids])
             self.done = len(self.names)
+            self.bytes += sum(map(len, new)) + _EACH * len(new) + ids.nbytes
         return out
 
     def paths(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,7 +342,7 @@ class Vocabulary:
         """The n best segmentations of a word besides ``best``, its best one: (cost, ids)."""
         found = self.searched.get((n, text))
         if found is None:
-            if len(self.searched) >= _CACHED // 8:
+            if len(self.searched) >= _SEARCHED:
                 self.searched.clear()
             ids, every = best.tolist(), self.search(" " + text, n + 1)
             others = [(every[0][0] - s, x) for s, x in every if x != ids]
@@ -446,8 +451,17 @@ def _nested(found: list) -> pa.Array:
 
 def encoder(spark, path: str = MODEL, n: int = N_BEST):
     """A column function: text to struct<scores array<double>, paths array<array<int>>, round_trip
-    boolean>, best first.  ``round_trip`` says whether the best path, decoded, is the text."""
+    boolean>, best first.  ``round_trip`` says whether the best path, decoded, is the text.
+
+    Lowers the session's Arrow batches to ``_BATCH_ROWS`` rows and ``_BATCH_BYTES`` bytes where they are
+    larger, as the ids of a batch are held at once by the worker and by the executor.
+    """
     ship(spark)
+    for setting, most in (("maxRecordsPerBatch", _BATCH_ROWS), ("maxBytesPerBatch", _BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{setting}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
     vocabulary = spark.sparkContext.broadcast(read_vocabulary(path))
 
     @arrow_udf("struct<scores:array<double>,paths:array<array<int>>,round_trip:boolean>")

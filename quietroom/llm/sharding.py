@@ -35,20 +35,26 @@ MAX_RANGES = 4096
 RANGE_BYTES = 32 << 20
 WHOLE_GROUP = 64
 SEED = "shard-1"
+ROW_BITS = 24
 
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Narrow records: doc_id, size, text_crc32, and the order keys k and h."""
+    """Narrow records: doc_id, size, text_crc32, the order keys k and h, and g, by which ranges are cut.
+
+    g is h but for its last bits, which a row's number makes: equal rows of one id can be sampled,
+    and cut, like any others.  Where a range ends among rows equal in k and h, these are alike.
+    """
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     doc_id = F.col(id_col)
     return docs.select(
         doc_id.alias("doc_id"), (F.octet_length(data) + 1).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"), F.xxhash64(data).alias("k"),
-        F.xxhash64(F.lit(SEED), doc_id).alias("h"))
+        F.xxhash64(F.lit(SEED), doc_id).alias("h")).withColumn("g", F.shiftleft(F.shiftright("h", ROW_BITS), ROW_BITS).bitwiseOR(
+            F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - ROW_BITS)))
 
 
 def _splitters(sample: list, ranges: int) -> list[tuple[int, int]]:
-    """Quantiles of a weighted sample of (k, h, weight), without the ends."""
+    """Quantiles of a weighted sample of (k, g, weight), without the ends."""
     sample = sorted(sample)
     upto = np.cumsum([w for _, _, w in sample])
     if not len(upto):
@@ -60,9 +66,9 @@ def _splitters(sample: list, ranges: int) -> list[tuple[int, int]]:
 def _drawn(rows: DataFrame, weight, wanted: int) -> list:
     """Records by chance ``weight * wanted``; a record surer than 1 carries the excess along."""
     chance = weight * F.lit(float(wanted))
-    dice = F.shiftrightunsigned(F.xxhash64("h", "k", "size"), 11) / F.lit(float(1 << 53))
-    return [(r.k, r.h, r.w) for r in rows.where(dice < chance).select(
-        "k", "h", F.greatest(chance, F.lit(1.0)).alias("w")).collect()]
+    dice = F.shiftrightunsigned(F.xxhash64("g", "k", "size"), 11) / F.lit(float(1 << 53))
+    return [(r.k, r.g, r.w) for r in rows.where(dice < chance).select(
+        "k", "g", F.greatest(chance, F.lit(1.0)).alias("w")).collect()]
 
 
 def range_of(k: np.ndarray, h: np.ndarray, splitters: np.ndarray) -> np.ndarray:
@@ -85,7 +91,7 @@ def _ranged(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
     def place(k: pd.Series, h: pd.Series) -> pd.Series:
         return pd.Series(range_of(k.to_numpy(), h.to_numpy(), table.value).astype(np.int32))
 
-    return rows.withColumn("range", place("k", "h"))
+    return rows.withColumn("range", place("k", "g"))
 
 
 def ranged(rows: DataFrame, shards: int) -> tuple[DataFrame, list]:
@@ -167,9 +173,15 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id",
                  text_col: str = "text") -> None:
-    """Write ``docs`` as one folder per shard; ids must be unique."""
-    places = shard(docs, shards, id_col, text_col).select(
-        F.col("doc_id").alias("_place_of"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    (docs.join(places, docs[id_col].eqNullSafe(F.col("_place_of"))).drop("_place_of")
-     .repartition("_shard", F.floor(F.col("_slot") / 100_000))
-     .sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path))
+    """Write ``docs`` as one folder ``shard=<number>`` each; ids must be unique.
+
+    Of the columns of ``docs`` none may be called ``shard`` in any case, which is the folders' name.
+    """
+    if "shard" in {c.lower() for c in docs.columns}:
+        raise ValueError("a column is called like the folders: shard")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    places = shard(docs, shards, id_col, text_col).select(F.col("doc_id").alias("of"), "shard", "slot")
+    placed = docs.toDF(*names).join(places, F.col(names[docs.columns.index(id_col)]).eqNullSafe(F.col("of")))
+    placed = (placed.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot")
+              .select(*names, "shard").toDF(*docs.columns, "shard"))
+    placed.write.partitionBy("shard").parquet(path)

@@ -445,14 +445,15 @@ def keep_one_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, i
              .agg(F.min("digest").alias("_set")).select(F.col("component_id").alias("_kept"), "_set"))
     empty = join.members.where("n = 0 AND doc_id IS NOT NULL").select("doc_id", "digest").distinct()
     kept = staged(first.union(empty))
-    nameless = docs.where(docs[id_col].isNull())
-    if not join.repeated_ids:
-        return docs.join(kept, docs[id_col] == F.col("_kept"), "left_semi").unionByName(nameless)
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names))
+    every = docs.toDF(*names)
+    nameless = every.where(F.col(at[id_col]).isNull())
+    if not join.repeated_ids:
+        return every.join(kept, F.col(at[id_col]) == F.col("_kept"), "left_semi").union(nameless).toDF(*docs.columns)
     row = F.struct(*names)
-    rows = docs.where(docs[id_col].isNotNull()).toDF(*names).withColumn("_digest", digest_of(width)(at[text_col]))
+    rows = every.where(F.col(at[id_col]).isNotNull()).withColumn("_digest", digest_of(width)(at[text_col]))
     # grouped first, as copies under one id are combined inside each map task
     one = rows.groupBy(at[id_col], "_digest").agg(F.min_by(row, F.to_json(row)).alias("_row"))
     same = (F.col(at[id_col]) == F.col("_kept")) & (F.col("_digest") == F.col("_set"))
-    return one.join(kept, same, "left_semi").select("_row.*").toDF(*docs.columns).unionByName(nameless)
+    return one.join(kept, same, "left_semi").select("_row.*").union(nameless).toDF(*docs.columns)

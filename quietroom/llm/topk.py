@@ -13,7 +13,8 @@ block of queries with several blocks of vectors.
    where it was not collected.
 3. The remaining scores are resolved exactly, and each task passes on its k best per query.
 
-Components become floor(256 * x).  Sums are exact: in floating point while all stay below
+Components become floor(256 * x); where 256 * x is beyond the largest number, the component counts as
+non-finite.  Sums are exact: in floating point while all stay below
 2^53, else in whole numbers of any size.  A score beyond 64 bits is an error.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part.  Only
@@ -46,7 +47,8 @@ _FOUND = "query_block long, query_id long, vec_id long, score long"
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    # NaN is larger than every number here
+    finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x.cast("double") * 256.0) < F.lit(float("inf"))))
     return v.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)))
 
 
