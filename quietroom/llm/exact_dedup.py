@@ -36,7 +36,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import log2_parts, staged
+from .common import discard, log2_parts, staged
 
 #: Runs that are not one blank already: replacing only these gives the same text sooner.
 _RUN = r"[\t-\r][ \t-\r]*| [ \t-\r]+"
@@ -137,7 +137,11 @@ _FOUND = ["keep_id", "group_size", "text_sha256"]
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 capacity: int = CAPACITY, hash_bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, h."""
-    index = build_index(docs, id_col, text_col, capacity, hash_bits)
+    return look_up(build_index(docs, id_col, text_col, capacity, hash_bits))
+
+
+def look_up(index: Index) -> DataFrame:
+    """``find_copies`` for the rows that were filed."""
     probes = index.located(index.rows.select(F.col("id").alias("doc_id"), "h"))
     alone = index.entries.where("chain_length = 1").select("bucket", "h", *_FOUND)
     hot = F.broadcast(index.hot)
@@ -161,8 +165,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def key(sha: Column, doc_id: Column) -> Column:
         return F.concat_ws(":", sha, doc_id.cast("string"))
 
-    kept = (find_copies(docs, id_col, text_col, capacity, hash_bits).where("kept")
-            .select(key(F.col("text_sha256"), F.col("doc_id")).alias("_key")).distinct())
+    index = build_index(docs, id_col, text_col, capacity, hash_bits)
+    kept = staged(look_up(index).where("kept")
+                  .select(key(F.col("text_sha256"), F.col("doc_id")).alias("_key")).distinct())
+    discard(index.rows)
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names))
     sha = F.sha2(normalised(F.col(at[text_col])).cast("binary"), 256)
