@@ -19,7 +19,8 @@ FOLDER = "/root/testdata/sf0.001"
 PICKED = ("strip_diacritics", "extract_urls", "hostname", "url_allowed", "blocked_sender",
           "exclude_exempt", "settings_as_of", "member_activity", "ban_brake", "purge_plan",
           "service_delete_plan", "chat_stats", "recent_bans", "list_counts", "effective_config",
-          "pick_rendition", "undo_last_ban", "preset_summary", "stream_offence_sink")
+          "pick_rendition", "undo_last_ban", "preset_summary", "stream_offence_sink",
+          "banned_phrase_index", "moderate_to_log", "rule_qr_payload")
 
 
 @pytest.mark.parametrize("name", PICKED)
