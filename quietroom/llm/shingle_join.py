@@ -18,8 +18,11 @@ near copies) have heavy ones left in their prefix, and only these documents are
 component are never made.  First, each list links its members to one pivot, which costs as many
 pairs as members; the verified links are gathered into components.  When the pairs across
 components that are left are few, all of them are made, counted and verified.  Until then, more
-rounds with other pivots merge what is left.  The shingles kept from the first scan rule out
-most pairs; the others are verified on whole texts.
+rounds with other pivots merge what is left.  A pair that must share more shingles than either
+prefix has heavy ones also shares a light one, and is met there: heavy lists are joined only
+between documents whose sizes and numbers of heavy shingles let heavy ones alone be enough.  In
+large groups of documents made mostly of heavy shingles, these are still many pairs.  The shingles
+kept from the first scan rule out most pairs; the others are verified on whole texts.
 
 **Copies.**  Equal sets are one class with one node; rows get their class's answer at the end.
 
@@ -34,6 +37,7 @@ table gives an empty result.  Other columns take no part.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -55,6 +59,8 @@ COSTLY = (4, 12)
 MOST_MATCHES = 3
 #: Star rounds at most, and pairs left (per list entry) from which all are made at once.
 STAR_ROUNDS, PAIRS_PER_ENTRY = 4, 8
+#: Bands that the sizes a document of some size can link with are cut into.
+SIZE_BANDS = 16
 #: Parts by shingle that are worked on one after the other, so that only one is in flight.
 SLICES = 4
 #: Nodes whose list is broadcast to fetch their texts; more are joined by a shuffle.
@@ -223,7 +229,8 @@ class _Join:
     # --- prefixes ----------------------------------------------------------------------
 
     def prefixes(self) -> DataFrame:
-        """Entries (token, node, n, length of the prefix) of all prefixes, in lists of two or more."""
+        """Entries of all prefixes in lists of two or more: token, whether it is heavy, node, n, the length
+        of the node's prefix and the heavy shingles in it."""
         base = self.classes.select("node", "n", self.p.alias("p"), F.explode(F.slice("tokens", 1, self.p)).alias("token"))
         first = staged(base.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
         met = base.join(first, "token")
@@ -282,13 +289,15 @@ class _Join:
             holders = reduce(DataFrame.unionByName, kept_parts).join(late, "token", "left_semi").select("node")
             concerned = staged(holders.union(added.select("node")).distinct())
         plain = base.join(more.select("node").distinct(), "node", "left_anti").select(
-            "token", "node", "n", F.col("p").cast("int").alias("length"))
+            "token", "node", F.col("p").cast("int").alias("length"), F.lit(False).alias("heavy"),
+            F.lit(0).cast("long").alias("n_heavy"))
         marked = more.join(heavy.withColumn("_h", F.lit(True)), "token", "left").select(
             "token", "node", "n", need.alias("need"), F.coalesce("_h", F.lit(False)).alias("heavy"))
         order = Window.partitionBy("node").orderBy("heavy", "token")
         ordered = marked.withColumn("_at", F.row_number().over(order)).where("_at <= need").select(
-            "token", "node", "n", F.col("need").cast("int").alias("length"))
-        entries = staged(plain.unionByName(ordered).select("token", "node", "length"))
+            "token", "node", F.col("need").cast("int").alias("length"), "heavy",
+            F.count_if("heavy").over(Window.partitionBy("node")).alias("n_heavy"))
+        entries = staged(plain.unionByName(ordered))
         for t in (first, lengthened, heavy, *parts):
             discard(t)
         # slice by slice, as most shingles stand in one prefix only and go again
@@ -334,13 +343,39 @@ class _Join:
             F.least("m", "v").alias("a"), F.greatest("m", "v").alias("b")).distinct()
 
     def all_pairs(self, entries: DataFrame) -> DataFrame:
-        """All pairs across components that share enough of their prefixes."""
-        sides = [entries.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "length", "root")])
-                 for x in "ab"]
-        met = sides[0].join(sides[1], "token").where(
-            (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & self._close("n_a", "n_b"))
-        return (met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", "length_a", "length_b")
-                .agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= self._must_share()).select("a", "b"))
+        """All pairs across components that can share enough of their prefixes.
+
+        Light lists are short and joined as they are.  Two prefixes share no more heavy shingles than
+        either has; only where these alone could be enough must the pair be met in heavy lists.
+        That takes a size of the larger set near the upper end of what the smaller one allows,
+        so heavy lists are joined by bands of that size.
+        """
+        columns = ("node", "n", "length", "root", "n_heavy")
+
+        def side(rows: DataFrame, x: str, *keys: str) -> DataFrame:
+            return rows.select(*keys, *[F.col(c).alias(f"{c}_{x}") for c in columns])
+
+        percent = self.percent
+        step = max(math.log(100 / percent), 1e-6) / SIZE_BANDS
+        band = lambda n: F.floor(F.ln(n) / F.lit(step))
+        light, heavy = entries.where("NOT heavy"), entries.where("heavy")
+        # of the larger set: n_b >= (n_a - n_heavy·(1 + t) / t) / t, or more heavy ones would be needed
+        low = F.greatest(F.floor((F.col("n") - F.col("n_heavy") * (100 + percent) / percent) * 100 / percent) - 1, F.col("n"))
+        high = F.floor(F.col("n") * 100 / percent)
+        smaller = (heavy.withColumns({"_low": low, "_high": high}).where("_low <= _high")
+                   .withColumn("band", F.explode(F.sequence(band(F.col("_low")), band(F.col("_high"))))))
+        larger = heavy.withColumn("band", band(F.col("n")))
+        ordered = ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b"))))
+        wanted = ordered & (F.col("root_a") != F.col("root_b")) & self._close("n_a", "n_b")
+        asked, most = self._must_share(), F.least("n_heavy_a", "n_heavy_b")
+        in_light = side(light, "a", "token").join(side(light, "b", "token"), "token").where(wanted)
+        in_heavy = (side(smaller, "a", "token", "band").join(side(larger, "b", "token", "band"), ["token", "band"])
+                    .where(wanted & (asked <= most)).drop("band"))
+        met = in_light.withColumn("heavy", F.lit(False)).unionByName(in_heavy.withColumn("heavy", F.lit(True)))
+        keys = [f"{c}_{x}" for x in "ab" for c in columns if c != "root"]
+        counted = met.groupBy(*keys).agg(F.count_if(~F.col("heavy")).alias("light"), F.count_if("heavy").alias("heavy"))
+        return counted.where(F.col("light") + F.when(asked <= most, F.col("heavy")).otherwise(most) >= asked).select(
+            F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
     def links(self) -> tuple[DataFrame | None, DataFrame | None]:
         """Verified links that connect every component, and the components."""

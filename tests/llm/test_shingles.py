@@ -91,3 +91,23 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(20)}, 299: 299, 300: 299}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
+def test_near_copies_around_the_threshold(documents, width, percent, monkeypatch):
+    """A large group whose members link or just miss each other, with sizes apart as well as alike;
+    all pairs at once, as merging by pivots would leave few of them."""
+    chance = random.Random(percent)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(chance.choice([1, 2, 3, 4])):
+            w[chance.randrange(len(w))] = f"x{chance.randrange(40)}"
+        w = w[:len(w) - chance.choice([0, 0, 0, 2, 5, 9, 14])] + [f"t{i}"] * chance.choice([0, 0, 1])
+        rows.append((i + 1, " ".join(w)))
+    for rounds in (0, 4):
+        monkeypatch.setattr(shingle_join, "STAR_ROUNDS", rounds)
+        got = shingle_join.near_groups(documents(rows), width, percent, heavy=4)
+        assert Counter(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == brute(
+            rows, width, percent)
