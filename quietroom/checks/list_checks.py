@@ -261,6 +261,19 @@ def _blocked(spark, sf_dir):
         "message_id", "is_blocked")
 
 
+@query("blocked_sender_as_of", with_views(
+    "SELECT message_id, EXISTS (SELECT 1 FROM held h WHERE h.message_id = m.message_id AND op = 'add') "
+    "AS is_blocked FROM messages m", "messages", "blacklist", "blacklist_log", more="""
+every AS (SELECT chat_id, entity_id, -1 AS ts_s, -1 AS id, 'add' AS op FROM blacklist
+  UNION ALL SELECT chat_id, entity_id, ts_s, id, op FROM blacklist_log),
+held AS (SELECT message_id, e.chat_id, arg_max(op, (e.ts_s, e.id)) AS op FROM messages m JOIN every e
+  ON e.entity_id = coalesce(m.sender_chat_id, m.user_id) AND e.chat_id IN (m.chat_id, 0) AND e.ts_s <= m.ts_s
+  GROUP BY 1, 2)"""))
+def _blocked_as_of(spark, sf_dir):
+    held = L.list_ranges(load(spark, sf_dir, "blacklist"), load(spark, sf_dir, "blacklist_log"), ["chat_id", "entity_id"])
+    return L.blocked_sender(slim(spark, sf_dir), held).select("message_id", "is_blocked")
+
+
 @query("forward_exempt", with_views(
     f"SELECT message_id, sender_chat_id IS NULL AND NOT {BLOCKED} AND EXISTS (SELECT 1 FROM "
     "forward_whitelist f WHERE f.chat_id IN (m.chat_id, 0) AND f.user_id = m.user_id) "

@@ -131,6 +131,13 @@ UNION SELECT CAST(0 AS BIGINT), 't.me/news'
 SELECT DISTINCT CAST(event_id % 6 AS BIGINT) AS chat_id, CAST(1 + user_id % 37 AS BIGINT)
   AS entity_id FROM {events} WHERE event_type = 'error' AND value > 160
 UNION SELECT CAST(2 AS BIGINT), CAST(-1005 AS BIGINT)
+""",
+    # entries put on the deny list and taken off it in the course of time
+    "blacklist_log": """
+SELECT event_id AS id, {epoch} AS ts_s, CAST(event_id % 6 AS BIGINT) AS chat_id,
+  CAST(1 + user_id % 37 AS BIGINT) AS entity_id,
+  CASE WHEN event_type = 'error' THEN 'add' ELSE 'delete' END AS op
+FROM {events} WHERE event_type IN ('error', 'signup', 'purchase')
 """,
     "forward_whitelist": """
 SELECT DISTINCT CAST(event_id % 6 AS BIGINT) AS chat_id, CAST(1 + user_id % 37 AS BIGINT)

@@ -19,6 +19,7 @@ from ..functions.phrases import banned_phrase_hits, phrase_forms
 from ..functions.text import squeeze_spaces
 from ..sources.storage import staged
 from .phrase_index import with_indexed_hits
+from .running import running
 
 MAX_BROADCAST_ROWS = 500_000  # of a few short columns each
 # Lists of allowed entries travel as one bundle per scope; beyond this many entries in all
@@ -49,17 +50,49 @@ def effective_list(entries: DataFrame, chats: DataFrame, value: str) -> DataFram
     return seen.join(listed, "scope").select("chat_id", value).distinct()
 
 
+SINCE_EVER = -(1 << 40)  # before any message
+
+
+def list_ranges(table: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys..., valid_from, valid_until)``: when each entry of a list was on it.
+
+    ``table`` holds the entries before the first edit, ``log`` the edits ``(id, ts_s, keys..., op)``,
+    of which ``delete`` takes an entry off and any other puts it on.  An edit holds from its own second
+    on, the last of a second wins, and an entry's ranges do not overlap.  Entries with many edits
+    are split by time.
+    """
+    every = table.select(*keys).distinct().withColumns({
+        "ts_s": F.lit(SINCE_EVER).cast("bigint"), "id": F.lit(0).cast("bigint"), "op": F.lit("add")})
+    edits = log.select(*keys, F.col("ts_s").cast("bigint"), F.col("id").cast("bigint"), "op")
+    spans = running(staged(every.unionByName(edits)), keys, ["ts_s", "id"], {}, following={"valid_until": F.col("ts_s")})
+    held = (F.col("op") != "delete") & (F.col("valid_until").isNull() | (F.col("valid_until") > F.col("ts_s")))
+    return spans.filter(held).select(*keys, F.col("ts_s").alias("valid_from"), "valid_until")
+
+
 def _in_scope(df: DataFrame, entries: DataFrame, key: Column, value: str, flag: str) -> DataFrame:
-    """Add a boolean ``flag``: is ``key`` listed for the row's chat or globally?"""
-    own = entries.select(F.col("chat_id").alias("_c"), F.col(value).alias("_k")).distinct()
+    """Add a boolean ``flag``: is ``key`` listed for the row's chat or globally?
+
+    With the ranges of ``list_ranges`` as entries: was it listed at the row's ``ts_s``?
+    """
+    dated = "valid_from" in entries.columns
+    times = ["valid_from", "valid_until"] if dated else []
+
+    def now(side: str) -> Column:
+        if not dated:
+            return F.lit(True)
+        until = F.col(f"{side}_valid_until")
+        return (F.col("ts_s") >= F.col(f"{side}_valid_from")) & (until.isNull() | (F.col("ts_s") < until))
+
+    own = entries.select(F.col("chat_id").alias("_c"), F.col(value).alias("_k"), *times).distinct()
     everywhere = own.filter(F.col("_c") == GLOBAL).select(
-        F.col("_k").alias("_gk"), F.lit(True).alias("_g"))
-    own = own.filter(F.col("_c") != GLOBAL).withColumn("_o", F.lit(True))
+        F.col("_k").alias("_gk"), F.lit(True).alias("_g"), *[F.col(t).alias(f"_g_{t}") for t in times])
+    own = own.filter(F.col("_c") != GLOBAL).select(
+        "_c", "_k", F.lit(True).alias("_o"), *[F.col(t).alias(f"_o_{t}") for t in times])
     keyed = df.withColumn("_key", key)
     out = (keyed
            .join(broadcast_if_small(own), (F.col("chat_id") == F.col("_c"))
-                 & (F.col("_key") == F.col("_k")), "left")
-           .join(broadcast_if_small(everywhere), F.col("_key") == F.col("_gk"), "left"))
+                 & (F.col("_key") == F.col("_k")) & now("_o"), "left")
+           .join(broadcast_if_small(everywhere), (F.col("_key") == F.col("_gk")) & now("_g"), "left"))
     hit = F.coalesce(F.col("_o"), F.lit(False)) | F.coalesce(F.col("_g"), F.lit(False))
     return out.withColumn(flag, hit).select(*df.columns, flag)
 
