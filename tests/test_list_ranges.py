@@ -2,7 +2,12 @@ import random
 
 import pytest
 
+from quietroom.config import ModerationConfig
 from quietroom.operators import lists as L
+from quietroom.plans.moderate import moderate
+from quietroom.schemas import RULE_TABLES
+from quietroom.sources import tables as S
+from quietroom.sources.storage import new_folder
 
 KEYS = ["chat_id", "entity_id"]
 
@@ -50,3 +55,17 @@ def test_added_and_withdrawn_between_equal_messages(spark):
     assert {r.message_id: r.is_blocked for r in got} == {1: False, 2: True, 3: False}
     none = L.blocked_sender(msgs, L.list_ranges(empty, log.limit(0), KEYS)).collect()
     assert not any(r.is_blocked for r in none) and len(none) == 3
+
+
+def test_replay_with_a_list_that_changes(spark):
+    """Of three equal messages, the one sent while its sender was on the deny list is an offence."""
+    path, folder = new_folder(spark, "json"), new_folder(spark, "lists")
+    rows = [(i, 1, 5, t, "good morning") for i, t in ((1, 100), (2, 200), (3, 300))]
+    spark.createDataFrame(rows, "message_id bigint, chat_id bigint, user_id bigint, ts_s bigint, text string").write.json(path)
+    log = spark.createDataFrame([(1, 150, 1, 5, "add"), (2, 250, 1, 5, "delete")], "id long, ts_s long, chat_id long, entity_id long, op string")
+    lists = S.read_rules(spark, folder, optional=tuple(RULE_TABLES))
+    lists["blacklist"] = L.list_ranges(lists["blacklist"], log, KEYS)
+    out = moderate(S.read_messages(spark, path, "json"), lists, spark.createDataFrame([(1,)], "chat_id bigint"),
+                   spark.createDataFrame([(1, 9, "boss")], "chat_id bigint, user_id bigint, username string"),
+                   spark.createDataFrame([(1, True)], "chat_id bigint, known boolean"), ModerationConfig())
+    assert [(r.message_id, list(r.verdict.reasons)) for r in out.collect()] == [(2, ["blocked_sender"])]
