@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     entity_checks,
     list_checks,
+    live_checks,
     report_checks,
     rule_checks,
     state_checks,

@@ -131,6 +131,10 @@ SELECT chat_id, user_id, arg_min(first_seen, seq) AS first_seen,
   coalesce(arg_max(trusted, seq) FILTER (op = 'set'), arg_min(trusted, seq)) AS trusted
 FROM live GROUP BY 1, 2""".lstrip("\n"), "members").replace(")\n, log", "),\nlog"))
 def _upsert(spark, sf_dir):
+    return L.apply_list_changes(*member_edits(spark, sf_dir), ["chat_id", "user_id"], kept=("first_seen",))
+
+
+def member_edits(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     op = (F.when(F.col("event_type") == "error", "delete")
           .when(F.col("event_type") == "click", "set").otherwise("add"))
@@ -138,8 +142,7 @@ def _upsert(spark, sf_dir):
         (F.col("event_id") % 6).alias("chat_id"), (1 + F.col("user_id") % 37).alias("user_id"),
         op.alias("op"), F.col("event_id").alias("seq"), F.col("event_id").alias("first_seen"),
         (F.col("value") > 100).alias("trusted"))
-    members = load(spark, sf_dir, "members").select("chat_id", "user_id", "first_seen", "trusted")
-    return L.apply_list_changes(members, changes, ["chat_id", "user_id"], kept=("first_seen",))
+    return load(spark, sf_dir, "members").select("chat_id", "user_id", "first_seen", "trusted"), changes
 
 
 _SETTINGS_SQL = "latest AS (SELECT key, arg_max(value, (ts_s, id)) AS value FROM settings_log " \

@@ -12,6 +12,7 @@ from ..plans.moderate import moderate, moderate_to_log
 from ..sources.storage import new_folder
 from ..sources.tables import read_message_stream, read_offences
 from ..streaming import live
+from ..streaming.brake import stream_ban_brake
 from .base import messages, query, with_views
 from .rule_checks import (BANNED_VIEWS, BENIGN_SQL, CFG, FEATURES, FEATURE_SOURCES, FWD_WEAK, LISTS, NORM_OF_TEXT, RULES_SQL,
                           UNION, attach, lists_of, prepared)
@@ -116,6 +117,7 @@ _USERS = ("SELECT message_id, ts_s, user_id AS offender_id, is_new, prior AS pri
 _CHANNELS = ("SELECT message_id, ts_s, sender_chat_id, FALSE, CAST(0 AS BIGINT), CAST(p_old AS BIGINT) "
              "FROM pts WHERE sender_chat_id IS NOT NULL AND p_old >= 5")
 
+USERS_AND_CHANNELS = f"{_USERS} UNION ALL {_CHANNELS}"
 
 def scored_both(spark, sf_dir, m=None):
     m = prepared(spark, sf_dir) if m is None else m
@@ -135,7 +137,7 @@ def replayed(spark, sf_dir):
                              load(spark, sf_dir, "joins"), CFG, offences=past_offences(spark, sf_dir))
 
 
-@query("replay_verdicts", with_views(f"{_USERS} UNION ALL {_CHANNELS}", *REPLAY_SOURCES,
+@query("replay_verdicts", with_views(USERS_AND_CHANNELS, *REPLAY_SOURCES,
                                      more=REPLAY, recursive=True))
 def _replay(spark, sf_dir):
     return replayed(spark, sf_dir).select(
@@ -143,7 +145,7 @@ def _replay(spark, sf_dir):
         F.col("verdict.score").cast("bigint").alias("score"))
 
 
-def _scored_folder(spark, sf_dir):
+def scored_folder(spark, sf_dir):
     """First query of the live pipeline: the documents as a stream, scored batch by batch."""
     path, checkpoint = new_folder(spark, "scored"), new_folder(spark, "scoring")
     docs = (spark.readStream.schema(table(spark, sf_dir, "documents").schema)
@@ -166,10 +168,10 @@ def spark_messages(documents):
                           "forward_label": E.forward_label("forward_origin")}).drop("qr_payload")
 
 
-@query("stream_verdicts", with_views(f"{_USERS} UNION ALL {_CHANNELS}", *REPLAY_SOURCES,
+@query("stream_verdicts", with_views(USERS_AND_CHANNELS, *REPLAY_SOURCES,
                                      more=REPLAY, recursive=True))
 def _stream_verdicts(spark, sf_dir):
-    scored_path = _scored_folder(spark, sf_dir)
+    scored_path = scored_folder(spark, sf_dir)
     out = live.stream_verdicts(live.read_scored(spark, scored_path), CFG)
     path = new_folder(spark, "live")
     live.start_offence_sink(out, path, new_folder(spark, "sink"), True).awaitTermination()
@@ -242,7 +244,7 @@ def _stream_brake(spark, sf_dir):
     rows.unionByName(closing).write.parquet(folder)
     stream = spark.readStream.schema(rows.schema).parquet(folder).withColumn("ts", F.timestamp_seconds("ts_s"))
     path = new_folder(spark, "brake")
-    live.start_offence_sink(live.stream_ban_brake(stream, 2, 60), path, new_folder(spark, "cp"),
+    live.start_offence_sink(stream_ban_brake(stream, 2, 60), path, new_folder(spark, "cp"),
                             True).awaitTermination()
     return spark.read.parquet(path).select("ts_s", "recent_bans")
 
@@ -297,10 +299,13 @@ fold AS (
     FROM fold f JOIN steps e ON e.step = f.step + 1)))""", recursive=True))
 def _apply_brake(spark, sf_dir):
     cfg = ModerationConfig(brake_limit=5, brake_window=3600)
-    log = load(spark, sf_dir, "settings_log").filter(
-        "key = 'action' AND value IN ('ban', 'mute')").select("id", "ts_s")
     o = load(spark, sf_dir, "offences").select("id", "ts_s", "action")
-    return T.apply_brake(o, log, cfg)
+    return T.apply_brake(o, brake_resets(spark, sf_dir), cfg)
+
+
+def brake_resets(spark, sf_dir):
+    return load(spark, sf_dir, "settings_log").filter(
+        "key = 'action' AND value IN ('ban', 'mute')").select("id", "ts_s")
 
 
 _CHANGES = """
@@ -448,7 +453,7 @@ def _service_plan(spark, sf_dir):
 # --- pictures ------------------------------------------------------------------------------
 
 
-def _pictures(spark, sf_dir):
+def pictures(spark, sf_dir):
     r = load(spark, sf_dir, "image_renditions")
 
     def rendition(long_side):
@@ -479,10 +484,10 @@ CAP = 5_000_000
 @query("pick_rendition", with_views("SELECT message_id, file_id FROM pick", "image_renditions",
                                     more=_PICK))
 def _pick(spark, sf_dir):
-    return I.pick_rendition(_pictures(spark, sf_dir), CAP).select("message_id", "image.file_id")
+    return I.pick_rendition(pictures(spark, sf_dir), CAP).select("message_id", "image.file_id")
 
 
-def _decoded(spark, sf_dir):
+def decoded(spark, sf_dir):
     s = load(spark, sf_dir, "image_signals")
     return s.select("unique_id", "has_qr", F.when(F.col("has_qr"), F.array("qr_payload")).otherwise(
         F.array().cast("array<string>")).alias("qr_payloads"), "ocr_text")
@@ -494,8 +499,8 @@ SELECT message_id, coalesce(s.has_qr AND file_id IS NOT NULL, false) AS has_qr,
   ELSE ocr_text END AS ocr_text FROM pick p JOIN image_signals s USING (unique_id)""",
     "image_renditions", "image_signals", more=_PICK))
 def _attach_images(spark, sf_dir):
-    m = I.pick_rendition(_pictures(spark, sf_dir), CAP)
-    out = I.attach_image_signals(m, _decoded(spark, sf_dir))
+    m = I.pick_rendition(pictures(spark, sf_dir), CAP)
+    out = I.attach_image_signals(m, decoded(spark, sf_dir))
     return out.select("message_id", "has_qr", F.array_join("qr_payloads", "|").alias("payload"),
                       "ocr_text")
 
@@ -505,8 +510,8 @@ def _attach_images(spark, sf_dir):
     "(SELECT unique_id FROM image_signals WHERE has_qr)", "image_renditions", "image_signals",
     more=_PICK))
 def _undecoded(spark, sf_dir):
-    m = I.pick_rendition(_pictures(spark, sf_dir), CAP)
-    return I.undecoded_images(m, _decoded(spark, sf_dir).filter("has_qr"))
+    m = I.pick_rendition(pictures(spark, sf_dir), CAP)
+    return I.undecoded_images(m, decoded(spark, sf_dir).filter("has_qr"))
 
 
 @query("image_gates", with_views("""
@@ -517,7 +522,7 @@ FROM image_renditions JOIN image_signals s USING (unique_id)""", "image_renditio
     "image_signals"))
 def _gates(spark, sf_dir):
     cfg = ModerationConfig(qr_max_bytes=2_000_000, ocr_max_bytes=900_000)
-    m = load(spark, sf_dir, "image_renditions").join(_decoded(spark, sf_dir), "unique_id")
+    m = load(spark, sf_dir, "image_renditions").join(decoded(spark, sf_dir), "unique_id")
     out = I.image_gates(m.withColumn("image_bytes", F.col("file_size")), cfg)
     return out.select("message_id", "has_qr", F.array_join("qr_payloads", "|").alias("payload"),
                       "ocr_text")
@@ -659,7 +664,7 @@ fold AS (
           FROM fold f JOIN ev e ON e.user_id = f.user_id AND e.rn = f.rn + 1))))))"""
 
 
-@query("replay_across_chats", with_views(f"{_USERS} UNION ALL {_CHANNELS}", *REPLAY_SOURCES, "admins",
+@query("replay_across_chats", with_views(USERS_AND_CHANNELS, *REPLAY_SOURCES, "admins",
                                          more=_ACROSS, recursive=True))
 def _replay_across(spark, sf_dir):
     found = T.replay_across_chats(

@@ -19,7 +19,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import FORCED_SCORE, ModerationConfig
 from ..operators.scoring import total
-from ..operators.state import BANNING
 from ..sources.shipping import ship
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -221,25 +220,6 @@ def start_offence_sink(offences: DataFrame, path: str, checkpoint: str,
     return start_batches(offences, lambda batch, batch_id: batch, path, checkpoint, available_now)
 
 
-def stream_ban_brake(offences: DataFrame, limit: int, window: int,
-                     late: str = "1 minute") -> DataFrame:
-    """Seconds at which the bans of the last ``window`` seconds reach ``limit``.
-
-    Bans are first counted per second, so a burst costs the sliding windows one row a second.
-    ``offences`` needs ``ts timestamp`` and ``action``.
-    """
-    seconds = (offences.filter(F.col("action").isin(*BANNING)).withWatermark("ts", late)
-               .groupBy(F.window("ts", "1 second").alias("second"))
-               .agg(F.count("*").alias("bans")))
-    at = F.window_time("second")
-    sliding = seconds.select(at.alias("at"), "bans").groupBy(
-        F.window("at", f"{window + 1} seconds", "1 second").alias("span")).agg(
-        F.sum("bans").alias("recent_bans"), F.max("at").alias("last"))
-    ends = F.unix_seconds(F.col("span.end")) - 1
-    return sliding.filter((F.unix_seconds("last") == ends) & (F.col("recent_bans") >= limit)
-                          ).select(ends.alias("ts_s"), "recent_bans")
-
-
 def dedupe_edits(stream: DataFrame, within: str = "1 day") -> DataFrame:
     """Optional: scan each edit of a message once even if it is delivered again.
 
