@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NOT_LATIN1, SPACE, SPACES, WORD, col
+from .text import SPACE, SPACES, WORD, beyond_latin1, col
 
 # --- fixed values -------------------------------------------------------------
 LINK_TLDS = (
@@ -60,6 +60,10 @@ OTHER_FORWARD = "nguồn khác"
 CAPITALS = r"(?:[A-Z]|(?=[^\x00-\x7F])\p{Lu})+"
 _CAPITAL = r"(?:[A-Z]|(?=[^\x00-\x7F])\p{Lu})"
 THREE_CAPITALS = rf"{_CAPITAL}\P{{L}}*{_CAPITAL}\P{{L}}*{_CAPITAL}"
+# The same as patterns above (of the spelled-out link its ending), led by characters that texts seldom have.
+INVITE_AT_SLASH = (r"(?i)/(?:(?<=t\.me/|telegram\.me/)\+|(?<=t\.me/)joinchat/|(?<=telegram\.dog/))")
+SPELLED_ENDING = r"[.,tT](?<=[.,]|[dD][oO][tT])" + _SPELLED_TLD
+AMOUNT = rf"(?=[0-9$\x{{80}}-\x{{10FFFF}}])(?:{MONEY})"
 NO_STRINGS = "array<string>"
 
 
@@ -190,12 +194,13 @@ def has_crypto_address(c) -> Column:
 
 
 def has_money_amount(c) -> Column:
-    return has(c, MONEY)
+    return has(c, AMOUNT)
 
 
-def emoji_count(c) -> Column:
-    t = col(c)
-    return F.when(t.rlike(NOT_LATIN1), F.regexp_count(t, F.lit(EMOJI))).otherwise(0)
+def emoji_count(c, rare=None) -> Column:
+    """``rare`` may pass in ``beyond_latin1`` of the text."""
+    r = beyond_latin1(c) if rare is None else col(rare)
+    return F.when(r != "", F.regexp_count(r, F.lit(EMOJI))).otherwise(0)
 
 
 def caps_ratio(c) -> Column:
@@ -207,12 +212,11 @@ def caps_ratio(c) -> Column:
 
 def has_obfuscated_url(c) -> Column:
     """``name (dot) com`` and the like; its second half, quick to rule out, is tried first."""
-    ending = has(c, "[.,]" + _SPELLED_TLD) | has(c, "[dD][oO][tT]" + _SPELLED_TLD)
-    return ending & has(c, SPELLED_OUT_URL)
+    return has(c, SPELLED_ENDING) & has(c, SPELLED_OUT_URL)
 
 
 def has_invite_link(c) -> Column:
-    return has(c, INVITE)
+    return has(c, INVITE_AT_SLASH)
 
 
 def forward_label(origin_type) -> Column:

@@ -165,8 +165,8 @@ def rule_fake_admin(norm_name, is_real_admin, cfg: ModerationConfig) -> Column:
     return _fires(claims, F.concat(F.lit("fake_admin: "), title), hard=1)
 
 
-def rule_obfuscation(text) -> Column:
-    points = obfuscation_score(text)
+def rule_obfuscation(text, rare=None) -> Column:
+    points = obfuscation_score(text, rare)
     return _fires(points > 0, "obfuscation", soft=points)
 
 
@@ -177,8 +177,8 @@ def rule_caps(text) -> Column:
     return _fires(loud, "capitals", soft=1)
 
 
-def rule_emoji(text) -> Column:
-    n = E.emoji_count(text)
+def rule_emoji(text, rare=None) -> Column:
+    n = E.emoji_count(text, rare)
     return _fires(n >= 5, F.concat(F.lit("emoji: "), n.cast("string")),
                   soft=F.when(n >= 8, 2).otherwise(1))
 

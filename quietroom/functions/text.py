@@ -42,13 +42,12 @@ SPACE = (r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
 # ------------------------------------------------------------------------------
 
 INVISIBLE = "".join(chr(c) for lo, hi in INVISIBLE_RANGES for c in range(lo, hi + 1))
-# Classes of rare characters are slow to test; a look at "not ASCII" first spares most tests.
-ANY_INVISIBLE = rf"(?=[^\x00-\x7F])[{INVISIBLE}]"
+ANY_INVISIBLE = f"[{INVISIBLE}]"
 _LOOKALIKE_CASES = "".join(chr(c) for c in range(0x80, 0x10000) if chr(c).lower() in LOOKALIKES)
-ANY_LOOKALIKE = rf"(?=[^\x00-\x7F])[{_LOOKALIKE_CASES}]"
+ANY_LOOKALIKE = f"[{_LOOKALIKE_CASES}]"
 # letter, mark, letter, mark ... four times; begins at a mark, which most characters are not
 SPLIT_LETTERS = rf"[.\-_*|](?<=[{WORD}].)(?:[{WORD}][.\-_*|]){{3}}[{WORD}]"
-NOT_LATIN1 = r"[^\x00-\xFF]"
+LATIN1 = r"[\x00-\xFF]++"
 ICU_NORMALIZER = "com.ibm.icu.text.Normalizer"
 NOT_ASCII = r"[^\x00-\x7F]"
 
@@ -142,16 +141,24 @@ def squeeze_keep_accents(c) -> Column:
     return squeeze_spaces(normalize_keep_accents(c))
 
 
-def obfuscation_score(c) -> Column:
-    """3 for hidden characters, 3 for look-alike letters, 2 for s.p.l.i.t letters."""
+def beyond_latin1(c) -> Column:
+    """The characters beyond U+00FF, which are few or none; classes of rare characters, slow to test,
+    are looked for in these alone."""
+    return F.regexp_replace(col(c), LATIN1, "")
+
+
+def obfuscation_score(c, rare=None) -> Column:
+    """3 for hidden characters, 3 for look-alike letters, 2 for s.p.l.i.t letters.
+
+    ``rare`` may pass in ``beyond_latin1`` of the text.
+    """
     t = col(c)
-    odd = t.rlike(NOT_LATIN1)
-    hidden = t.contains("\u00ad") | (odd & t.rlike(ANY_INVISIBLE))
+    r = beyond_latin1(t) if rare is None else col(rare)
+    hidden = t.contains("\u00ad") | ((r != "") & r.rlike(ANY_INVISIBLE))
     latin = F.regexp_count(t, F.lit(r"[A-Za-z\x{130}\x{212A}]"))
-    fakes = F.regexp_count(t, F.lit(ANY_LOOKALIKE))
-    # letters are only counted in texts that hold a look-alike at all
-    fake_enough = (odd & t.rlike(ANY_LOOKALIKE)
-                   & (fakes >= F.greatest(F.lit(2), F.floor(latin / 10))))
+    fakes = F.regexp_count(r, F.lit(ANY_LOOKALIKE))
+    # letters are only counted in texts that hold look-alikes at all
+    fake_enough = (r != "") & (fakes >= 2) & (fakes >= F.floor(latin / 10))
     split_letters = t.rlike(SPLIT_LETTERS)
     points = (F.when(hidden, 3).otherwise(0) + F.when(fake_enough, 3).otherwise(0)
               + F.when(split_letters, 2).otherwise(0))

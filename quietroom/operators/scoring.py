@@ -10,7 +10,7 @@ from ..functions import entities as E
 from ..functions import rules as R
 from ..functions.dictionaries import WEIGHTS
 from ..functions.phrases import has_any_keyword, keyword_hits, noisy_keyword_points
-from ..functions.text import looks_like_question, normalize, squeeze_spaces
+from ..functions.text import beyond_latin1, looks_like_question, normalize, squeeze_spaces
 
 SIGNAL = "struct<reason:string,points:int>"
 # What an absent input column means.
@@ -51,7 +51,7 @@ def is_benign_question(norm=None) -> Column:
 
 
 HEAVY = ("text", "caption", "ocr_text", "entity_urls", "mentions", "body", "scannable", "norm",
-         "norm_name", "squeezed", "keep_text", "any_hit")
+         "norm_name", "squeezed", "keep_text", "any_hit", "rare")
 
 
 def text_features(df: DataFrame, cfg: ModerationConfig) -> DataFrame:
@@ -66,6 +66,7 @@ def text_features(df: DataFrame, cfg: ModerationConfig) -> DataFrame:
     df = df.withColumn("scannable", E.scannable_text("body", "qr_payloads", "ocr_text"))
     df = df.withColumns({
         "norm": normalize("scannable"),
+        "rare": beyond_latin1("body"),
         "norm_name": normalize("sender_name"),
         "urls": E.extract_urls("body", "entity_urls"),
         "handles": E.extract_mentions("body", "mentions"),
@@ -95,9 +96,9 @@ def text_features(df: DataFrame, cfg: ModerationConfig) -> DataFrame:
         "t_crypto": R.rule_crypto("scannable"),
         "t_money": R.rule_money("body"),
         "t_fake_admin": R.rule_fake_admin("norm_name", "is_real_admin", cfg),
-        "t_obfuscation": R.rule_obfuscation("body"),
+        "t_obfuscation": R.rule_obfuscation("body", "rare"),
         "t_caps": R.rule_caps("body"),
-        "t_emoji": R.rule_emoji("body"),
+        "t_emoji": R.rule_emoji("body", "rare"),
     })
 
 
