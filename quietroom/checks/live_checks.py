@@ -13,8 +13,8 @@ from ..streaming import pictures as P
 from .base import ORACLE, query, with_views
 from .list_checks import member_edits
 from .rule_checks import CFG, prepared
-from .state_checks import (CAP, REPLAY, REPLAY_SOURCES, USERS_AND_CHANNELS, brake_resets, decoded, past_offences,
-                           pictures, scored_both, scored_folder, with_edits)
+from .state_checks import (CAP, REPLAY, REPLAY_SOURCES, USERS_AND_CHANNELS, WHOLE_BATCH, brake_resets, decoded,
+                           past_offences, pictures, scored_both, scored_folder, with_edits)
 from .views import load
 
 
@@ -53,7 +53,7 @@ def _stream_after_batch(spark, sf_dir):
     feed = new_folder(spark, "scored")
     live.write_batch(rows, feed, 0)
     path = new_folder(spark, "live")
-    out = live.stream_verdicts(live.read_scored(spark, feed, 100_000), CFG, history)
+    out = live.stream_verdicts(live.read_scored(spark, feed, WHOLE_BATCH), CFG, history)
     live.start_offence_sink(out, path, new_folder(spark, "sink"), True).awaitTermination()
     columns = "message_id", "ts_s", "offender_id", "is_new", "prior_offences"
     return found.select(*columns, F.col("verdict.score").cast("bigint").alias("score")).unionByName(
@@ -76,7 +76,7 @@ def _history_after(spark, sf_dir):
 @query("read_history", _HISTORY)
 def _read_history(spark, sf_dir):
     checkpoint = new_folder(spark, "sink")
-    out = live.stream_verdicts(live.read_scored(spark, scored_folder(spark, sf_dir)), CFG)
+    out = live.stream_verdicts(live.read_scored(spark, scored_folder(spark, sf_dir), WHOLE_BATCH), CFG)
     live.start_offence_sink(out, new_folder(spark, "live"), checkpoint, True).awaitTermination()
     return H.read_history(spark, checkpoint)
 

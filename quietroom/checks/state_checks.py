@@ -16,7 +16,7 @@ from ..streaming.brake import stream_ban_brake
 from .base import messages, query, with_views
 from .rule_checks import (BANNED_VIEWS, BENIGN_SQL, CFG, FEATURES, FEATURE_SOURCES, FWD_WEAK, LISTS, NORM_OF_TEXT, RULES_SQL,
                           UNION, attach, lists_of, prepared)
-from .views import load, table, view_sql
+from .views import load, stream_path, table, table_stream, view_sql
 
 SLIM = ("message_id", "chat_id", "user_id", "sender_chat_id", "ts_s")
 
@@ -145,11 +145,14 @@ def _replay(spark, sf_dir):
         F.col("verdict.score").cast("bigint").alias("score"))
 
 
+#: More files than a scored batch has: history wants its rows in order of time, so none is read in parts.
+WHOLE_BATCH = 100_000
+
+
 def scored_folder(spark, sf_dir):
     """First query of the live pipeline: the documents as a stream, scored batch by batch."""
     path, checkpoint = new_folder(spark, "scored"), new_folder(spark, "scoring")
-    docs = (spark.readStream.schema(table(spark, sf_dir, "documents").schema)
-            .option("pathGlobFilter", "documents.parquet").parquet(sf_dir))
+    docs = table_stream(spark, sf_dir, "documents")
     more = load(spark, sf_dir, "joins"), past_offences(spark, sf_dir)
 
     def score(batch, batch_id):
@@ -172,7 +175,7 @@ def spark_messages(documents):
                                      more=REPLAY, recursive=True))
 def _stream_verdicts(spark, sf_dir):
     scored_path = scored_folder(spark, sf_dir)
-    out = live.stream_verdicts(live.read_scored(spark, scored_path), CFG)
+    out = live.stream_verdicts(live.read_scored(spark, scored_path, WHOLE_BATCH), CFG)
     path = new_folder(spark, "live")
     live.start_offence_sink(out, path, new_folder(spark, "sink"), True).awaitTermination()
     done = spark.read.parquet(path)
@@ -184,9 +187,8 @@ def _stream_verdicts(spark, sf_dir):
                               "text FROM documents")
 def _message_stream(spark, sf_dir):
     stream = read_message_stream(
-        spark, sf_dir, table(spark, sf_dir, "documents").schema, start="earliest",
-        mapping={"message_id": "doc_id", "chat_id": "1 + doc_id % 5"},
-        pathGlobFilter="documents.parquet")
+        spark, stream_path(sf_dir, "documents"), table(spark, sf_dir, "documents").schema, start="earliest",
+        mapping={"message_id": "doc_id", "chat_id": "1 + doc_id % 5"})
     path = new_folder(spark, "stream")
     live.start_offence_sink(stream, path, new_folder(spark, "cp"), True).awaitTermination()
     return spark.read.parquet(path).select("message_id", "chat_id", "text")
@@ -197,8 +199,7 @@ def _message_stream(spark, sf_dir):
     "split_part(split_part(url, '://', 2), '/', 1) = domain) AS listed FROM links",
     "links", "chat_whitelist"))
 def _rule_refresh(spark, sf_dir):
-    pages = (spark.readStream.schema(table(spark, sf_dir, "pages").schema)
-             .option("pathGlobFilter", "pages.parquet").parquet(sf_dir)).select("page_id", "url")
+    pages = table_stream(spark, sf_dir, "pages").select("page_id", "url")
     path = new_folder(spark, "refresh")
 
     def score(batch, lists):
@@ -227,8 +228,7 @@ def _ban_brake(spark, sf_dir):
 
 
 def _event_stream(spark, sf_dir):
-    events = (spark.readStream.schema(table(spark, sf_dir, "events").schema)
-              .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    events = table_stream(spark, sf_dir, "events")
     rows = spark.sql(view_sql("offences", "spark"), events=events)
     return rows.withColumn("ts", F.timestamp_seconds("ts_s"))
 
@@ -261,8 +261,7 @@ def _offence_sink(spark, sf_dir):
 @query("dedupe_edits", "SELECT DISTINCT user_id AS message_id, CAST(floor(value) AS BIGINT) % 3 "
                        "AS edited_s FROM events")
 def _dedupe(spark, sf_dir):
-    events = (spark.readStream.schema(table(spark, sf_dir, "events").schema)
-              .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    events = table_stream(spark, sf_dir, "events")
     edits = events.select(F.col("ts").cast("timestamp").alias("ts"),
                           F.col("user_id").alias("message_id"),
                           (F.floor("value") % 3).alias("edited_s"))
