@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import pandas as pd
@@ -19,6 +19,7 @@ from .scoring import forced_verdict, total, verdict
 
 KEY = ["chat_id", "user_id"]
 DAY = 86400
+SLOTS = 500_000  # slots of time, at most, into which a broadcast log is cut
 BANNING = ("ban", "mute")
 
 
@@ -99,22 +100,17 @@ def prior_offences(msgs: DataFrame, offences: DataFrame) -> DataFrame:
 def as_of(rows: DataFrame, log: DataFrame, value: str, out: str) -> DataFrame:
     """Add the latest ``log`` value at or before each row's ``ts_s``.
 
-    A log of checked size is turned into day-sized pieces of validity and broadcast: an
-    equi-join on the day, no shuffle of the rows.  A larger one is merged with the rows by
-    time slices.
+    A log of checked size is turned into pieces of validity, cut at the ends of short slots of time, and
+    broadcast: an equi-join on the slot, no shuffle of the rows.  A larger one is merged with the
+    rows by time slices.
     """
     changes = log.select("ts_s", F.col("id").alias("_id"), F.col(value).alias("_value"))
     if is_small(changes):
-        end = rows.select(F.max("ts_s")).scalar()
-        valid = changes.withColumn("_until", F.lead("ts_s").over(Window.orderBy("ts_s", "_id")))
-        stop = F.coalesce("_until", F.greatest(F.coalesce(end, F.col("ts_s")), F.col("ts_s")))
-        valid = valid.filter("_until IS NULL OR _until > ts_s").select(
-            F.col("ts_s").alias("_from"), "_until", "_value",
-            F.explode(F.sequence(F.floor(F.col("ts_s") / DAY), F.floor(stop / DAY))).alias("_day"))
-        inside = ((F.floor(rows["ts_s"] / DAY) == F.col("_day"))
+        valid, slot = _pieces(changes)
+        inside = ((slot(rows["ts_s"]) == F.col("_slot"))
                   & (rows["ts_s"] >= F.col("_from"))
                   & (F.col("_until").isNull() | (rows["ts_s"] < F.col("_until"))))
-        joined = rows.join(broadcast_if_small(valid), inside, "left")
+        joined = rows.join(F.broadcast(valid), inside, "left")
         return joined.select(*rows.columns, F.col("_value").alias(out))
     # the answer depends on the second alone, so only distinct seconds meet the log; a slice of
     # time then holds no more rows than it has seconds and changes
@@ -126,6 +122,27 @@ def as_of(rows: DataFrame, log: DataFrame, value: str, out: str) -> DataFrame:
     return rows.join(answers, rows["ts_s"] == F.col("_at"), "left").select(*rows.columns, out)
 
 
+def _pieces(changes: DataFrame) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """``(_from, _until, _value, _slot)``: how long each change holds, once per slot of time it reaches into,
+    and the slot of a time.
+
+    There are some slots for each change, but no more than ``SLOTS``: so a slot has few pieces, one a second at
+    most, and all of them stay in proportion to the log.  What comes after the last change is in its slot.
+    """
+    lo, hi, n = changes.agg(F.min("ts_s"), F.max("ts_s"), F.count("ts_s")).first()
+    width = 1 if lo is None else max(1, -((lo - hi) // min(8 * n, SLOTS)))
+    last = F.lit(0 if lo is None else hi // width).cast("bigint")
+
+    def slot(ts: Column) -> Column:
+        return F.least(F.floor(ts / width), last)
+
+    valid = changes.withColumn("_until", F.lead("ts_s").over(Window.orderBy("ts_s", "_id")))
+    valid = valid.filter("ts_s IS NOT NULL AND (_until IS NULL OR _until > ts_s)")
+    upto = F.coalesce(slot(F.col("_until") - 1), last)
+    return valid.select(F.col("ts_s").alias("_from"), "_until", "_value", F.explode(
+        F.sequence(slot(F.col("ts_s")), upto)).alias("_slot")), slot
+
+
 def settings_as_of(msgs: DataFrame, settings_log: DataFrame, key: str, out: str) -> DataFrame:
     return as_of(msgs, settings_log.filter(F.col("key") == key), "value", out)
 

@@ -230,6 +230,31 @@ def test_as_of_small_and_large_log(spark, monkeypatch):
     assert small == want and large == want
 
 
+@pytest.mark.parametrize("seconds,changes", [(86_400, 20_000), (40, 200), (1_000_000_000, 300), (1, 1)])
+def test_busy_day_is_cut_finely(spark, seconds, changes):
+    """A row meets a few pieces of a log, not all changes of its day; and the pieces are not many more than these."""
+    log = spark.range(changes).select(
+        F.col("id").alias("_id"), (700_000 + F.pmod(F.xxhash64("id"), F.lit(seconds))).alias("ts_s"),
+        F.col("id").cast("string").alias("_value"))
+    valid, slot = T._pieces(log)
+    sizes = [r["count"] for r in valid.groupBy("_slot").count().collect()]
+    assert max(sizes) <= 8 and sum(sizes) <= 10 * changes
+    ends = valid.select(F.max("_from").alias("x"), F.max("_slot").alias("s")).first()
+    far = spark.createDataFrame([(ends.x,), (ends.x + 10 ** 9,)], "ts_s bigint").select(slot(F.col("ts_s")).alias("s"))
+    assert {r.s for r in far.collect()} == {ends.s}
+
+
+def test_as_of_odd_rows(spark):
+    """Rows without a time, before and long after a log; a log with a change without a time; an empty log."""
+    df = spark.createDataFrame([(1, None), (2, 5), (3, 10), (4, 19), (5, 20), (6, 10 ** 10), (7, -50)],
+                               "id bigint, ts_s bigint")
+    log = spark.createDataFrame([(1, 10, "a"), (2, 20, "b"), (3, 20, None), (4, None, "x"), (5, -40, "n")],
+                                "id bigint, ts_s bigint, value string")
+    got = {r.id: r.v for r in T.as_of(df, log, "value", "v").collect()}
+    assert got == {1: None, 2: "n", 3: "a", 4: "a", 5: None, 6: None, 7: None}
+    assert {r.v for r in T.as_of(df, log.limit(0), "value", "v").collect()} == {None}
+
+
 def test_pause(spark):
     log = spark.createDataFrame([(1, 100, "pause_until", "200"), (2, 300, "pause_until", "bad"),
                                  (3, 400, "pause_until", "0")],
