@@ -20,6 +20,32 @@ def test_index_finds_what_is_inside(rows, text, chat):
     assert index.hits(text.encode(), chat) == want
 
 
+def test_needles_around_one_gram_are_not_searched_for():
+    """Of many needles that share their rarest gram, only those around its place are compared."""
+    compared = []
+
+    class Text(bytes):
+        def __contains__(self, needle):
+            compared.append(needle)
+            return super().__contains__(needle)
+
+        def startswith(self, needle, *at):
+            compared.append(needle)
+            return super().startswith(needle, *at)
+
+    ends = "abcdeghijklmnopqrstu"
+    index = P.PhraseIndex.of([(0, f"p{x}{y}", f"{x}commonwd{y}") for x in ends for y in ends])
+    assert index.hits(Text(b"vvbcommonwdkvv"), 1) == ["pbk"]
+    assert len(compared) <= 2
+
+
+@pytest.mark.parametrize("times", [P.OFTEN - 1, P.OFTEN + 1, 5000])
+def test_gram_that_a_text_repeats(times):
+    index = P.PhraseIndex.of([(0, "a", "vaytien"), (1, "b", "tienvay"), (2, "c", "tien"), (0, "d", "nvaytienx")])
+    assert index.hits(b"vaytien" * times, 1) == ["a", "b"]
+    assert index.hits(b"vaytien" * times + b"x", 2) == ["a", "c", "d"]
+
+
 def test_grams_are_all_places():
     assert P.grams(b"abcab", 3).tolist() == [int.from_bytes(b"abcab"[i:i + 3], "little") for i in range(3)]
     assert P.grams(b"ab", 3).tolist() == [] and P.grams(b"", 1).tolist() == []
