@@ -77,3 +77,44 @@ def test_random_strings(spark):
 def test_every_letter(spark):
     letters = [chr(c) for c in range(0x21, 0x2FF)] + [chr(c) for c in range(0x1E00, 0x2100)]
     assert run(spark, T.normalize, letters) == [by_character(c) for c in letters]
+
+
+def test_short_ways_through_a_text_change_nothing(spark):
+    """Texts up to U+00FF, and the first test of a text, take ways of their own; results are those of the plain ones."""
+    from quietroom.functions import entities as E
+
+    rnd = random.Random(11)
+    pool = [chr(c) for c in range(0x120)] + list(T.INVISIBLE) + list(T.LOOKALIKES) + [
+        "́", "ѐ", "한", "ﬁ", "Ａ", "٣", "Ɡ", "aaa", "111", "@@@", "  ", "　", " dot com",
+        "promo,", ". com", "x.", "http://a-b.", "com/", "0912345678", "+84 912", "BIG"]
+    texts = [None, "", " ", "null", *pool, *["a" + x + "b" for x in pool]]
+    texts += ["".join(rnd.choices(pool[:n], k=rnd.randint(1, 30))) for n in (128, 256, len(pool)) for _ in range(400)]
+    texts += ["".join(rnd.choices(pool[-14:] + [" ", "a", "Z"], k=rnd.randint(2, 9))) for _ in range(400)]
+    t = F.col("t")
+    folded = T._translate(F.lower(T.nfkc(t)), T._to_plain_letters(), T.INVISIBLE)
+    folded = T._spaced(F.regexp_replace(folded, r"\p{Mn}+", ""), T.ALNUM)
+    n = F.char_length(t)
+    few = n - F.char_length(F.regexp_replace(t, "[a-z]+", "")) < 0.31 * n
+    url = E.URL.replace(r"(?=(?:https?://)?[a-z0-9-]++\.)", "")
+    assert url != E.URL
+    long_way = {
+        "norm": F.trim(T.collapse_repeats(folded, f"[{T.ALNUM}]")),
+        "rare": F.regexp_replace(t, T.LATIN1, ""),
+        "fakes": F.regexp_count(t, F.lit(f"[{T._LOOKALIKE_CASES}]")),
+        "hidden": t.rlike(f"[{T.INVISIBLE}]"),
+        "few": F.coalesce(few, F.lit(False)),
+        "spelled": E.has(t, E.SPELLED_ENDING) & (E.has(t, E.SPELLED_CLOSE) | E.has(t, E.SPELLED_NAME)),
+        "urls": E.find_all(t, url),
+        "phones": E.find_all(t, E.PHONE),
+    }
+    short = {
+        "norm": T.normalize(t), "rare": T.beyond_latin1(t), "fakes": F.regexp_count(t, F.lit(T.ANY_LOOKALIKE)),
+        "hidden": t.rlike(T.ANY_INVISIBLE), "few": E.few_small_letters(t, 0.31), "spelled": E.has_obfuscated_url(t),
+        "urls": E.find_all(t, E.URL), "phones": F.when(t.rlike(E.PHONE_START), E.find_all(t, E.PHONE)).otherwise(E.no_strings()),
+    }
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(
+        "t", *[c.alias(f"{k}_a") for k, c in long_way.items()], *[short[k].alias(f"{k}_b") for k in long_way]).collect()
+    assert len(rows) == len(texts)
+    for k in long_way:
+        assert [(r.t, r[f"{k}_a"]) for r in rows] == [(r.t, r[f"{k}_b"]) for r in rows], k
+    assert all(sum(bool(r[k]) for r in rows) > 5 for k in ("spelled_a", "urls_a", "few_a", "phones_a", "fakes_a"))
