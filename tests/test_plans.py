@@ -126,6 +126,24 @@ def test_report_rows(spark):
     assert S.read_offences(spark, path).count() == 6
 
 
+def test_a_day_of_offences_is_one_file_unless_it_is_large(spark, monkeypatch):
+    monkeypatch.setattr(S, "ROWS_PER_FILE", 100)
+    conf = spark.conf
+    conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with many partitions
+    try:
+        hours = spark.range(1000).selectExpr("id", "CASE WHEN id >= 600 THEN id * 3600 WHEN id % 2 = 0 THEN 7200 END AS ts_s")
+        rows = hours.selectExpr("id AS message_id", "id % 5 AS chat_id", "id % 37 AS user_id", "ts_s", "'x' AS excerpt")
+        path = new_folder(spark, "offences")
+        S.write_offences(rows, path)
+    finally:
+        conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = S.read_offences(spark, path).withColumn("file", F.input_file_name())
+    assert back.drop("date", "file").exceptAll(rows).isEmpty() and back.count() == 1000
+    files = {str(r.date): r.n for r in back.groupBy("date").agg(F.countDistinct("file").alias("n")).collect()}
+    assert 2 <= files.pop("1970-01-01") <= 4 and 2 <= files.pop("None") <= 4
+    assert len(files) == 17 and set(files.values()) == {1}
+
+
 def test_panel_states(spark):
     off = spark.createDataFrame([(1, "ban")], "ts_s bigint, action string")
 
