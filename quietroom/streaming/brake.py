@@ -8,6 +8,7 @@ whose ``action`` is null) for its last seconds to be handed on.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -46,22 +47,31 @@ class BurstRing(StatefulProcessor):
         ring = deque((int(t), int(n)) for t, n in self.ring.get()) if self.ring.exists() else deque()
         on = bool(self.on.get()[0]) if self.on.exists() else False
         recent, out = sum(n for _, n in ring), []
-        for ts, bans, reset in zip(batch["ts_s"], batch["bans"], batch["reset"]):
-            while ring and ring[0][0] < ts - self.window:
-                recent -= ring.popleft()[1]
-            if reset and on:
+        seconds, counts, resets = (batch[c].tolist() for c in ("ts_s", "bans", "reset"))
+        turns = [i for i, reset in enumerate(resets) if reset]
+        at = 0
+        while at < len(seconds):
+            if on:  # nothing is carried out before the next reset
+                turn = bisect_left(turns, at)
+                if turn == len(turns):
+                    break
+                at = turns[turn]
+            ts, kept = seconds[at], counts[at]
+            recent -= self._expire(ring, ts)
+            if on:
                 on = False
                 out.append((ts, recent, 0, False))
-            if not bans or on:
-                continue
-            kept = bans
-            if recent + bans >= self.limit:
-                if self.feedback:
-                    # the ban that reaches the limit is the last one of its second to be carried out
-                    on, kept = True, max(self.limit - recent, 1)
-                out.append((ts, recent + kept, kept, True))
-            ring.append((int(ts), int(kept)))
-            recent += kept
+            if kept:
+                if recent + kept >= self.limit:
+                    if self.feedback:
+                        # the ban that reaches the limit is the last one of its second to be carried out
+                        on, kept = True, max(self.limit - recent, 1)
+                    out.append((ts, recent + kept, kept, True))
+                ring.append((ts, kept))
+                recent += kept
+            at += 1
+        if seconds:
+            self._expire(ring, seconds[-1])
         if ring:
             self.ring.put(list(ring))
         elif self.ring.exists():
@@ -69,6 +79,13 @@ class BurstRing(StatefulProcessor):
         self.on.update((on,))
         yield pd.DataFrame(out, columns=["ts_s", "recent_bans", "kept", "braked"])
 
+    def _expire(self, ring: deque, ts: int) -> int:
+        """Take the seconds that have left the window off the ring; how many bans they held."""
+        gone = 0
+        while ring and ring[0][0] < ts - self.window:
+            gone += ring.popleft()[1]
+        return gone
+
     def close(self) -> None:
         pass
 
@@ -77,12 +94,14 @@ def _rings(verdicts: DataFrame, limit: int, window: int, late: str, feedback: bo
     spark = verdicts.sparkSession
     spark.conf.set(PROVIDER, ROCKSDB)
     ship(spark)
-    # no filter before the count: it would be pushed below the watermark and keep heartbeats from it
     bans = F.count(F.when(F.col("action").isin(*BANNING), True))
     reset = F.coalesce(F.max(F.col("action") == RESET), F.lit(False))
-    seconds = (verdicts.withWatermark("ts", late).groupBy(F.window("ts", "1 second").alias("second"))
+    # only seconds with bans or resets become state.  The condition names the time, or it would be pushed below
+    # the watermark and keep heartbeats from it
+    counts = F.when(F.col("ts").isNotNull(), F.col("action").isin(*BANNING, RESET))
+    seconds = (verdicts.withWatermark("ts", late).filter(counts).groupBy(F.window("ts", "1 second").alias("second"))
                .agg(bans.alias("bans"), reset.alias("reset")))
-    rows = seconds.filter("bans > 0 OR reset").select(
+    rows = seconds.select(
         F.lit(0).alias("everywhere"), F.unix_seconds("second.start").alias("ts_s"), "bans", "reset")
     return rows.groupBy("everywhere").transformWithStateInPandas(
         BurstRing(limit, window, feedback), BRAKES, outputMode="Append", timeMode="None")
